@@ -49,3 +49,37 @@ def held_out(key: Column, modulus: int, remainder: int) -> Column:
 
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, skip: int = 0, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0, max_chars: int | None = None) -> DataFrame:
+    """(id, text, label): at most per_class rows of each label, outside the held-out remainder.
+
+    The rows are the first by a hash of the id after ``skip``, so the sample is bounded
+    whatever the input; max_chars leaves longer texts out of the sample (whole texts only).
+    """
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & ~held_out(F.col("id"), modulus, remainder)).groupBy("id").agg(F.max("label").alias("label"))
+    chosen = None
+    for label in (0, 1):
+        part = marked.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(skip + per_class)
+        part = part.orderBy(F.xxhash64("id").desc(), F.col("id").desc()).limit(per_class) if skip else part
+        chosen = part if chosen is None else chosen.unionByName(part)
+    # 2 x per_class rows of an id and a label at most
+    chosen = stored(chosen.select(F.col("id").alias("chosen_id"), "label"), "labelled")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.where(F.length("text") <= max_chars) if max_chars else texts
+    return texts.join(F.broadcast(chosen), texts["id"] == F.col("chosen_id")).select("id", "text", "label")
+
+
+def fit_logistic(x, y, rounds: int = 50, ridge: float = 1e-3):
+    """Weights of a small logistic regression by Newton steps; x has the constant column already."""
+    import numpy as np
+
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (y - p) - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

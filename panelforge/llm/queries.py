@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import mixing, ppm, quality_rules, url_filter
+from panelforge.llm import compression_quality, mixing, neighbours, ppm, quality_rules, token_files, toxicity, url_filter
 from panelforge.llm.common import table
 
 
@@ -15,11 +15,24 @@ def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op3_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", F.col("mix_copy").alias("copy_no"), F.col("mix_copies").alias("n_copies"), F.col("mix_key").alias("shuffle_key"), "text")
 
 
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.count_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_documents(table(spark, sf_dir, "documents"))
 
@@ -29,10 +42,19 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compression_quality.score_documents(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm_score": op1_ppm_score,
+        "op2_multiprobe_neighbours": op2_multiprobe_neighbours,
+        "op3_toxic_lexicon": op3_toxic_lexicon,
         "op4_poisson_mixing": op4_poisson_mixing,
+        "op5_separator_scan": op5_separator_scan,
         "op7_quality_cascade": op7_quality_cascade,
         "op8_url_rules": op8_url_rules,
+        "op10_compression_quality": op10_compression_quality,
     }
