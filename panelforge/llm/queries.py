@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import compression_quality, mixing, neighbours, ppm, quality_rules, token_files, toxicity, url_filter
+from panelforge.llm import compression_quality, mixing, neighbours, pieces, ppm, quality_rules, token_files, toxicity, url_filter
 from panelforge.llm.common import table
 
 
@@ -33,6 +33,12 @@ def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.crc32(F.array_join(F.col("piece_ids").cast("array<string>"), ",").cast("binary"))
+    return pieces.round_trips(encoded).select("doc_id", F.size("piece_ids").alias("n_pieces"), "n_chunks", digest.alias("ids_crc32"), "decoded_equal")
+
+
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxic_lexicon": op3_toxic_lexicon,
         "op4_poisson_mixing": op4_poisson_mixing,
         "op5_separator_scan": op5_separator_scan,
+        "op6_sentencepiece_scan": op6_sentencepiece_scan,
         "op7_quality_cascade": op7_quality_cascade,
         "op8_url_rules": op8_url_rules,
         "op10_compression_quality": op10_compression_quality,
