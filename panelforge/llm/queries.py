@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import compression_quality, mixing, neighbours, pieces, ppm, quality_rules, token_files, toxicity, url_filter
+from panelforge.llm import compression_quality, jaccard, mixing, neighbours, pieces, ppm, quality_rules, token_files, toxicity, url_filter
 from panelforge.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return compression_quality.score_documents(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -63,5 +67,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentencepiece_scan": op6_sentencepiece_scan,
         "op7_quality_cascade": op7_quality_cascade,
         "op8_url_rules": op8_url_rules,
+        "op9_jaccard_components": op9_jaccard_components,
         "op10_compression_quality": op10_compression_quality,
     }
