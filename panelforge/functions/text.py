@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Upper-case words that bare detection ignores.
 BARE_BLOCKLIST = [
@@ -34,7 +36,7 @@ BEFORE = [(r"(?m)^>+(?U:\s)?", " "), (r"(?m)^[-*_]{3,}(?U:\s)*$", " "), (r"(?i)/
 AFTER = [("|".join(p.replace(".", r"\.") for p in BOILERPLATE), " "), (r"[^a-z0-9 .,'!\?%\(\)\-]", " "), (r"\s+", " ")]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """HTML entities to characters; used only on rows with an ampersand."""
     return texts.map(html.unescape, na_action="ignore")
@@ -132,7 +134,6 @@ def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
 def scorer_udf(load, batch: int = 32):
     """A pandas UDF around a pluggable model: load() gives texts -> (n, 3) logits, once for each worker. Blank texts are neutral."""
     import numpy as np
-    from collections.abc import Iterator
 
     @F.pandas_udf("prob_positive double, prob_negative double, prob_neutral double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +119,7 @@ def dump_rows(lines: DataFrame, column: str, ordinals: dict[str, int]) -> DataFr
     return rows.select([F.get("fields", F.lit(i)).alias(n) for n, i in ordinals.items()])
 
 
-@F.udf("array<string>")
+@F.udf(ArrayType(StringType()))
 def _cells(page: str):
     """First cells of the rows of the table with id constituents (of any table, if none)."""
     if page is None:
