@@ -43,7 +43,7 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
         ),
         lambda acc: acc["all"],
     )
-    return rated.select("mix_source", "rate", F.when(F.col("rate") > 0, grown).otherwise(F.array(F.lit(1.0))).alias("cdf"))
+    return rated.select("mix_source", F.col("rate").alias("mix_rate"), F.when(F.col("rate") > 0, grown).otherwise(F.array(F.lit(1.0))).alias("mix_cdf"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5, total: float | None = None, seed: int = 17) -> DataFrame:
@@ -57,7 +57,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """
     rates = stored(source_rates(docs, source_col, weights, temperature, total), "mix-rates")
     sources = rates.count()
-    docs = docs.drop("mix_copy", "mix_copies", "mix_key", "mix_source")
+    docs = docs.drop("mix_copy", "mix_copies", "mix_key", "mix_source", "mix_rate", "mix_cdf", "mix_unit", "mix_salt")
     named = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     unit = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named)), 1, 13), 16, 10).cast("double") / F.lit(_UNIT)
     if sources <= BROADCAST_SOURCES:
@@ -66,8 +66,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         salted = docs.withColumn("mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
         spread = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("mix_salt", F.col("mix_salt").cast("long"))
         joined = salted.join(spread, salted[source_col].eqNullSafe(spread["mix_source"]) & (salted["mix_salt"] == spread["mix_salt"])).drop(spread["mix_salt"]).drop("mix_salt")
-    counted = joined.withColumn("mix_unit", unit).withColumn("mix_copies", F.size(F.filter("cdf", lambda c: c <= F.col("mix_unit"))).cast("int"))
+    counted = joined.withColumn("mix_unit", unit).withColumn("mix_copies", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_unit"))).cast("int"))
     copies = counted.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), named, F.col("mix_copy").cast("string"))))
-    out = keyed.drop("mix_source", "rate", "cdf", "mix_unit").repartition(default_partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
+    out = keyed.drop("mix_source", "mix_rate", "mix_cdf", "mix_unit").repartition(default_partitions(docs.sparkSession), "mix_key").sortWithinPartitions("mix_key")
     return out
