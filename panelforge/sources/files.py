@@ -41,8 +41,7 @@ def read_folder(spark: SparkSession, path: str, fmt: str = "csv", **options) ->
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON object a file; files that do not parse are left out."""
-    kinds = StructType.fromDDL(schema).add("_bad", "string")
-    return spark.read.schema(kinds).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").where("_bad is null").drop("_bad")
+    return spark.read.schema(StructType.fromDDL(schema)).json(path, multiLine=True, mode="DROPMALFORMED")
 
 
 def swap_parquet(df: DataFrame, path: str) -> None:
