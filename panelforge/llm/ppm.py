@@ -34,7 +34,7 @@ PAD, SEP, END = 0x09, 0x20, 0x0A  # none of them occurs inside a word
 ALPHABET = 256 - 6 + 2  # bytes of words, the separator, the end
 CROSS = 2  # so many bytes of the word before are still context
 FIRST = ORDER - 1  # so many symbols of a word can see them
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 12_000_000
 _HEAD = bytes([PAD] * (ORDER - 1) + [SEP])
 
 
