@@ -28,9 +28,9 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     else:
         weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("mix_source")) if weights else F.lit(None).cast("double"), F.lit(0.0)).cast("double")
     counts = stored(counts.withColumn("w", weight), "mix-counts")
-    whole = counts.agg(F.sum("n").alias("rows"), F.sum("w").alias("sum_w"))
-    wanted = F.lit(float(total)) if total is not None else F.col("rows")
-    rated = counts.join(F.broadcast(whole)).withColumn("rate", F.coalesce(F.try_divide(wanted * F.col("w"), F.col("sum_w") * F.col("n")), F.lit(0.0)))
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("rows"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("sum_w")).first()
+    wanted = float(total) if total is not None else whole.rows
+    rated = counts.withColumn("rate", F.coalesce(F.try_divide(F.lit(wanted) * F.col("w"), F.lit(whole.sum_w) * F.col("n")), F.lit(0.0)))
     # log p(k) = -rate + k log(rate) - log k!, summed up to where the tail is under 2^-52
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     grown = F.aggregate(
