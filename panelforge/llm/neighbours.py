@@ -73,8 +73,15 @@ def _hashed(probes: int):
     return run
 
 
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
 def _rank(k: int):
-    """The k best members of a block for each visitor, with all that may tie with the last of them."""
+    """The k best ids of a block for each visitor, each by the best of its rows."""
 
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -85,27 +92,34 @@ def _rank(k: int):
             return t["id"].to_numpy(), _unit(np.stack([np.frombuffer(v, np.float64) for v in t["vec"].to_pylist()]))
 
         (q_id, q), (m_id, m) = loaded(queries), loaded(members)
-        order = np.argsort(m_id, kind="stable")
-        m_id, m = m_id[order], m[order]
         # equal vectors tie exactly: of each kind the k + 1 smallest ids are enough for any query
         _, kind = np.unique(m, axis=0, return_inverse=True)
-        by_kind = np.argsort(kind, kind="stable")
-        sorted_kind = kind[by_kind]
-        place = np.arange(len(kind)) - np.searchsorted(sorted_kind, sorted_kind)
-        keep = np.sort(by_kind[place <= k])
+        order = np.lexsort((m_id, kind))
+        order = order[_first(kind[order], m_id[order])]
+        sorted_kind = kind[order]
+        place = np.arange(len(order)) - np.searchsorted(sorted_kind, sorted_kind)
+        keep = order[place <= k]
+        keep = keep[np.argsort(m_id[keep], kind="stable")]
         m_id, m = m_id[keep], m[keep]
+        starts = np.flatnonzero(_first(m_id))
+        sizes = np.diff(np.append(starts, len(m_id)))
+        last = max(0, len(starts) - k)
         out_q, out_m = [], []
         for at in range(0, len(q_id), 512):
             sims = q[at : at + 512] @ m.T
             sims[q_id[at : at + 512, None] == m_id[None, :]] = -np.inf
-            floor = np.partition(sims, max(0, sims.shape[1] - k), axis=1)[:, max(0, sims.shape[1] - k)]
-            hit = np.nonzero((sims >= floor[:, None] - _SLACK) & np.isfinite(sims))
+            best = np.maximum.reduceat(sims, starts, axis=1)  # of each id
+            floor = np.partition(best, last, axis=1)[:, last]
+            least = np.maximum(np.repeat(best, sizes, axis=1), floor[:, None])
+            hit = np.nonzero((sims >= least - _SLACK) & np.isfinite(sims))
             out_q.append(hit[0] + at)
             out_m.append(hit[1])
         at_q, at_m = np.concatenate(out_q), np.concatenate(out_m)
         score = (q[at_q] * m[at_m]).sum(1)
-        # within a block: ties by id, then k rows for each query
-        order = np.lexsort((m_id[at_m], -score, at_q))
+        # the best row of each id, then k ids for each query, ties by id
+        order = np.lexsort((-score, m_id[at_m], at_q))
+        order = order[_first(at_q[order], m_id[at_m[order]])]
+        order = order[np.lexsort((m_id[at_m[order]], -score[order], at_q[order]))]
         at_q, at_m, score = at_q[order], at_m[order], score[order]
         first = np.searchsorted(at_q, at_q)
         take = np.arange(len(at_q)) - first < k
@@ -138,7 +152,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     x = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    )
+    ).distinct()
     asked = rows.where(F.pmod("id", F.lit(every)) == 0)
     kind = "dim int, table int, bucket long, id long, vec binary"
     members = stored(rows.mapInArrow(_hashed(0), kind), "ann-index")

@@ -90,6 +90,15 @@ def test_large_bucket_of_copies(spark):
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
 
 
+def test_neighbours_count_ids_not_rows(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    once = sorted(map(tuple, neighbours.search(rows).collect()))
+    assert sorted(map(tuple, neighbours.search(rows.union(rows)).collect())) == once
+    near = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 + 0.0001 * i]) for i in range(6)] + [(1, [2.0, 0.002])] * 6 + [(i, [1.0, 0.01 * i]) for i in range(2, 9)]
+    got = neighbours.search(spark.createDataFrame(near, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and got[0].score == pytest.approx(1 / math.sqrt(1 + 1e-6), abs=1e-12)
+
+
 def test_toxicity(spark, odd):
     lex = toxicity.Lexicon({"idiot": 4.0, "lowei*": 4.0, "trash": 4.0}, weights=(-3.0, 2.0, 1.0))
     texts = ["you IDI0T, really", "уou іdiоt", "loweichen are here", "put it in the trash can now", "idiotic plans", "", None]
