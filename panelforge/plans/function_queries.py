@@ -15,8 +15,9 @@ _POST = "'check $TSLA and $BRK.B vs AAPL! IT is SO good ' || CASE WHEN {k} % 3 =
 
 
 def _posts(spark, sf):
+    """A planted head and the whole text of each document."""
     k = F.col("doc_id")
-    return read(spark, sf, "documents").select("doc_id", F.concat(F.lit("check $TSLA and $BRK.B vs AAPL! IT is SO good "), F.when(k % 3 == 0, "MSFT").otherwise("msft"), F.lit(" $A $"), F.when(k % 2 == 0, "NVDA").otherwise("GME")).alias("post"))
+    return read(spark, sf, "documents").select("doc_id", F.concat(F.lit("check $TSLA and $BRK.B vs AAPL! IT is SO good "), F.when(k % 3 == 0, "MSFT").otherwise("msft"), F.lit(" $A $"), F.when(k % 2 == 0, "NVDA").otherwise("GME"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("post"))
 
 
 @query("f1_f2_symbols", "SELECT c_custkey, replace(upper(trim(lower(' ' || c_mktsegment || '.b '))), '.', '-') AS norm, replace(replace(upper(c_mktsegment) || '-B', '-', '/'), '/', '-') AS there_and_back FROM customer")

@@ -81,3 +81,13 @@ def test_hac_matches_plain_mean():
     alpha, t = stats.ols_hac(y, np.zeros((24, 0)), lags=0)
     assert alpha == pytest.approx(y.mean()) and t == pytest.approx(y.mean() / np.sqrt(((y - y.mean()) ** 2).sum()) * 24)
     assert stats.ols_hac(y[:5], np.zeros((5, 0))) == (None, None)
+
+
+def test_detection_reads_whole_texts(spark, tmp_path):
+    from panelforge.plans import registry
+
+    rows = [(1, "word " * 2000 + "then $AMD and $ZZZ"), (2, None), (3, "plain words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    f6, f9 = ({r.doc_id: set(r.tickers) for r in registry.queries()[n](spark, str(tmp_path)).collect()} for n in ("f6_f7_f8_detect", "f9_title_cashtags"))
+    assert "AMD" in f6[1] and "ZZZ" not in f6[1] and all("AMD" not in f6[i] and "TSLA" in f6[i] for i in (2, 3))
+    assert {"AMD", "ZZZ"} <= f9[1] and not {"AMD", "ZZZ"} & (f9[2] | f9[3])
