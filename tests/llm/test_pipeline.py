@@ -21,3 +21,10 @@ def test_pipeline(spark):
         model = pieces.Pieces(f.read())
     for r in got[:50]:
         assert r.text == alone[r.doc_id].text and list(r.piece_ids) == model.lib.encode(r.text)
+
+
+def test_jaccard_stage_links_at_four_fifths(spark):
+    text = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 200), ("a", 242), ("b", 200), ("b", 252))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(text)], "doc_id long, text string, lang string, source string, n_chars int")
+    # five-word Jaccard 196 / 238 = 0.824 and 196 / 248 = 0.790
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_stage(spark, docs, SF).collect()) == [0, 2, 3]
