@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +14,15 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir). Where none is set, a temporary one in local mode only."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", set_dir)
         spark.conf._jconf.set("spark.checkpoint.dir", set_dir)
@@ -26,11 +33,49 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Inside, a job's shuffle files go when it ends: what it wrote is whole, so nobody reads them again."""
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote, once nothing lazy reads them any more."""
+    for one in tables:
+        delete_path(one.sparkSession, one.stored_at)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Operators that keep a row where its scan put it.
+_NARROW = re.compile(r"^(Project|Filter|ColumnarToRow|FileScan|Scan|LocalTableScan|Range|Generate|\*|\(\d+\))")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs, if each run deals its rows alike (a plain scan with narrow steps); else a written copy that does."""
+    query = docs._jdf.queryExecution()
+    lines = [x.lstrip(" :+-") for x in query.sparkPlan().toString().split("\n") if x.strip()]
+    narrow = query.optimizedPlan().deterministic() and all(_NARROW.match(x) for x in lines)
+    return docs if narrow else stored(docs, "placed")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +96,13 @@ def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, skip: int = 0, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0, max_chars: int | None = None) -> DataFrame:
-    """(id, text, label): at most per_class rows of each label, outside the held-out remainder.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, skip: int = 0, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0) -> DataFrame:
+    """(id, text, label): at most per_class rows of each label, outside the held-out remainder; texts whole, of any length.
 
-    The rows are the first by a hash of the id after ``skip``, so the sample is bounded
-    whatever the input; max_chars leaves longer texts out of the sample (whole texts only).
+    The ids are the first by a hash after ``skip``; an id with contradicting labels
+    counts as 1. Each id gives one row, of rows that repeat it the one with the least
+    text (combined before the shuffle), so the number of rows is bounded whatever the
+    input. A null text is empty.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & ~held_out(F.col("id"), modulus, remainder)).groupBy("id").agg(F.max("label").alias("label"))
     chosen = None
@@ -66,8 +113,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     # 2 x per_class rows of an id and a label at most
     chosen = stored(chosen.select(F.col("id").alias("chosen_id"), "label"), "labelled")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.where(F.length("text") <= max_chars) if max_chars else texts
-    return texts.join(F.broadcast(chosen), texts["id"] == F.col("chosen_id")).select("id", "text", "label")
+    return texts.join(F.broadcast(chosen), texts["id"] == F.col("chosen_id")).groupBy("id", "label").agg(F.min("text").alias("text")).select("id", "text", "label")
 
 
 def fit_logistic(x, y, rounds: int = 50, ridge: float = 1e-3):

@@ -1,20 +1,20 @@
 """Prediction by partial matching over a byte-context trie.
 
 A text is the sequence of its words (ASCII letters lower-cased), each closed by one
-separator byte, and one end symbol. The trie holds, for every context of up to
-``ORDER`` bytes back to the word before, how often each next
-symbol followed it in the training texts (plus the last ``CROSS`` bytes of the
-word before, which tell the language). A symbol unseen in the longest context
-escapes to the next shorter one (method C: the escape weighs as many as the
-distinct symbols), and symbols of the longer context are excluded below; below
+separator byte, and one end symbol; contexts reach across words. The trie holds, for
+every context of up to ``ORDER`` bytes, how often each next symbol followed it in the
+training texts. A symbol unseen in the longest context escapes to the next shorter
+one (method D: of n occurrences of q symbols the escape gets q / 2n, a symbol seen c
+times (2c - 1) / 2n), and symbols of the longer context are excluded below; below
 order 0 the rest of the alphabet shares equally. So the probabilities of all next
 symbols sum to one in every context.
 
-Contexts are short, so a corpus holds far fewer distinct ones than bytes: chunks of
-documents list their distinct words and 7-byte windows (6 bytes of context, one
-symbol) with training counts; the counts meet by key in a shuffle that grows with
-the corpus, each window gets its log-probability beside all others that share its
-last two context bytes, and the values go back to the chunks that asked.
+Over a corpus the trie is a table of windows (a context and its symbol). Chunks of
+documents list their distinct windows and words with training counts, which meet by
+key in a shuffle that grows with the corpus. Contexts of two bytes and less make a
+table that the alphabet bounds; each window takes its row of that from a join, and
+gets its log-probability beside the others that share its last three context bytes.
+The values go back to the chunks that asked, and there the texts stream past them.
 """
 
 from __future__ import annotations
@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import default_partitions, held_out, stored
+from panelforge.llm.common import default_partitions, discard, held_out, placed, stored
 
-ORDER = 6
+ORDER = 5
 PAD, SEP, END = 0x09, 0x20, 0x0A  # none of them occurs inside a word
 ALPHABET = 256 - 6 + 2  # bytes of words, the separator, the end
-CROSS = 2  # so many bytes of the word before are still context
-FIRST = ORDER - 1  # so many symbols of a word can see them
-CHUNK_CHARS = 12_000_000
+#: Rows go to one chunk until their texts have so many characters; chunks bound memory and change no result.
+CHUNK_CHARS = 24_000_000
+#: Windows are sorted and looked up by so many at a time.
+SLICE = 1 << 20
+_ROWS = 50_000  # of an outgoing batch
 _HEAD = bytes([PAD] * (ORDER - 1) + [SEP])
 
 
@@ -51,12 +53,9 @@ class ByteTrie:
     @staticmethod
     def steps(words):
         """(context, symbol) of every symbol of a text."""
-        tail = b""
-        for word in [*words, None]:
-            text = (_HEAD[:-1] + tail + b" ")[-ORDER:] + (bytes([END]) if word is None else word + bytes([SEP]))
-            for i in range(ORDER, len(text)):
-                yield text[i - ORDER : i], text[i]
-            tail = word[-CROSS:] if word else b""
+        text = spelled(words)
+        for i in range(ORDER, len(text)):
+            yield text[i - ORDER : i], text[i]
 
     def add(self, context: bytes, symbol: int, n: int = 1) -> None:
         for k in range(ORDER + 1):
@@ -71,9 +70,9 @@ class ByteTrie:
             left = {s: n for s, n in seen.items() if s not in excluded}
             if not left:
                 continue
-            size = sum(left.values()) + len(left)
+            size = 2 * sum(left.values())
             if symbol in left:
-                return total + math.log10(left[symbol] / size)
+                return total + math.log10((2 * left[symbol] - 1) / size)
             total += math.log10(len(left) / size)
             excluded = frozenset(seen)
         return total - math.log10(ALPHABET - len(excluded))
@@ -92,6 +91,11 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()
 
 
+def spelled(words: list[bytes]) -> bytes:
+    """The first symbol's context, each word with its separator, the end."""
+    return _HEAD + b" ".join([*words, b"\n"])
+
+
 def adaptive_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adaptive code length: every document starts from an empty trie and learns as it goes.
 
@@ -113,230 +117,323 @@ def adaptive_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumnRenamed("id", id_col)
 
 
-class _Chunk:
-    """The documents of one chunk as word ids."""
+def slices(texts):
+    """From spelled texts: (first row, rows, sorted windows with the row's place in the low 16 bits).
 
-    def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {b"\n": 0}
-        self.docs: list[np.ndarray] = []
-        self.held: list[bool] = []
-
-    def add(self, raw: bytes, held: bool) -> None:
-        ids, words = self.ids, words_of(raw)
-        for w in words:
-            if w not in ids:
-                ids[w] = len(ids)
-        words.append(b"\n")
-        self.docs.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
-        self.held.append(held)
-
-    def spell(self):
-        """Turn tokens into windows.
-
-        The first FIRST symbols of a word see the end of the word before, so they
-        are taken by pair (that end, those symbols); the others by word. Returns
-        the tokens' word ids, the tokens' pair ids, and for the pairs and then
-        the words (packed windows, begin of each one's windows, which one).
-        """
-        self.words = list(self.ids)
-        tails, firsts = {b"": 0}, {}
-        tail = np.fromiter((tails.setdefault(w[-CROSS:], len(tails)) for w in self.words), np.int64, len(self.words))
-        first = np.fromiter((firsts.setdefault((w + b" ")[:FIRST] if i else w, len(firsts)) for i, w in enumerate(self.words)), np.int64, len(self.words))
-        self.lengths = np.fromiter(map(len, self.docs), np.int64, len(self.docs))
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        flat = np.concatenate(self.docs)
-        before = np.empty(len(flat), np.int64)
-        before[1:] = tail[flat[:-1]]
-        before[self.starts] = 0
-        pairs, pair = np.unique(before * len(firsts) + first[flat], return_inverse=True)
-        heads = [(_HEAD[:-1] + t + b" ")[-ORDER:] for t in tails]
-        begin = list(firsts)
-        n = len(firsts)
-        by_pair = (*_windows([heads[p // n] + begin[p % n] for p in pairs.tolist()]), np.arange(len(pairs)))
-        long = np.flatnonzero(np.fromiter((len(w) >= FIRST for w in self.words), bool, len(self.words)))
-        by_word = (*_windows([b" " + self.words[i] + b" " for i in long.tolist()]), long)
-        return flat, pair, by_pair, by_word
-
-
-def _windows(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed windows of strings, each ORDER bytes of context and then its symbols, and where each string's begin.
-
-    A packed window holds the context from its last byte (highest) to its sixth, then the symbol.
+    A window is packed with the last context byte highest and the symbol lowest. A
+    slice holds whole texts up to SLICE bytes; a longer text is spread over slices of
+    its own, which begin inside the one before by a context.
     """
-    if not spelled:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) - ORDER
+    first, parts, size = 0, [], 0
+    for row, text in enumerate(texts):
+        if parts and (size + len(text) > SLICE or row - first >= 1 << 16):
+            yield first, len(parts), _packed(parts)
+            parts, size = [], 0
+        if not parts:
+            first = row
+        if len(text) > SLICE:
+            for at in range(0, len(text) - ORDER, SLICE):
+                yield row, 1, _packed([text[at : at + SLICE + ORDER]])
+            continue
+        parts.append(text)
+        size += len(text)
+    if parts:
+        yield first, len(parts), _packed(parts)
+
+
+def _packed(parts: list[bytes]) -> np.ndarray:
+    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     keys = data[ORDER:].copy()
     for k in range(1, ORDER + 1):
-        keys |= data[ORDER - k : len(data) - k] << (8 * (ORDER - k + 1))
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    return keys[np.arange(lengths.sum()) + ORDER * np.repeat(np.arange(len(spelled)), lengths)], starts
+        keys |= data[ORDER - k : len(data) - k] << np.uint64(8 * (ORDER - k + 1))
+    row = np.repeat(np.arange(len(parts), dtype=np.uint64), lengths)[ORDER:]
+    inside = np.ones(len(keys), bool)  # the first ORDER bytes of a part are context alone
+    starts = np.cumsum(lengths)[:-1] - ORDER
+    inside[(starts[:, None] + np.arange(ORDER)).ravel()] = False
+    out = (keys << np.uint64(16) | row)[inside]
+    out.sort()
+    return out
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal sorted keys begin."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
 
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    first = _runs(keys)
     return keys[first], np.add.reduceat(weights[order], first)
 
 
-def _gather(batches):
-    """Per chunk: distinct words and windows with their counts in training documents."""
-    chunks: dict[int, _Chunk] = defaultdict(_Chunk)
-    for batch in batches:
-        for chunk, raw, held in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            chunks[chunk].add(raw or b"", held)
-    for label in list(chunks):
-        chunk = chunks.pop(label)
-        flat, pair, by_pair, by_word = chunk.spell()
-        weight = np.repeat(~np.array(chunk.held), chunk.lengths)
-        n = np.bincount(flat, weight, len(chunk.words)).astype(np.int64)
-        n_pair = np.bincount(pair, weight).astype(np.int64)
-        keys, weights = [], []
-        for (wins, starts, which), counts in ((by_pair, n_pair), (by_word, n)):
-            keys.append(wins)
-            weights.append(np.repeat(counts[which], np.diff(np.append(starts, len(wins)))))
-        wins, sums = _summed(np.concatenate(keys), np.concatenate(weights))
-        order = sorted(range(len(chunk.words)), key=chunk.words.__getitem__)
-        words, n = [chunk.words[i] for i in order], n[order]
-        for at in range(0, max(len(words), len(wins)), 100_000):
-            for keys, values, kind in ((words, n, 0), (wins, sums, 1)):
-                if len(part := keys[at : at + 100_000]):
-                    blank = pa.nulls(len(part), pa.int64() if kind == 0 else pa.binary())
-                    key = pa.array(part, pa.int64() if kind else pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), label), pa.int64()), blank if kind else key, key if kind else blank, pa.array(values[at : at + 100_000], pa.int64())], ["chunk", "word", "win", "n"])
-
-
-def _level(keys: np.ndarray, n: np.ndarray, k: int):
-    """Counts of (context of k bytes, symbol): pair ids of the rows, pairs' counts, pairs' contexts."""
+class _Chunk:
+    """Words and windows of one chunk with their counts in training texts."""
+
+    def __init__(self) -> None:
+        self.words: Counter = Counter()
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.whole = 0  # windows in the first of parts, which is merged
+
+    def add(self, raws: list[bytes | None], held: list[bool]) -> None:
+        split = [words_of(raw or b"") for raw in raws]
+        for words, out in zip(split, held, strict=True):
+            if out:
+                for w in words:
+                    self.words.setdefault(w, 0)
+                self.words.setdefault(b"\n", 0)
+            else:
+                self.words.update(words)
+                self.words[b"\n"] += 1
+        train = ~np.array(held)
+        for first, rows, packed in slices(map(spelled, split)):
+            keys = packed >> np.uint64(16)
+            begin = _runs(keys)
+            n = np.add.reduceat(train[first : first + rows][(packed & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int64), begin)
+            self.parts.append((keys[begin].view(np.int64), n))
+            if sum(len(k) for k, _ in self.parts[1:]) > max(self.whole, 4 * SLICE):
+                self.merge()
+
+    def merge(self) -> None:
+        self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.whole = len(self.parts[0][0])
+
+    def rows(self, label: int):
+        self.merge()
+        keys, n = self.parts[0]
+        words = sorted(self.words)
+        for at in range(0, len(keys), _ROWS):
+            part = keys[at : at + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), label), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(part), pa.array(n[at : at + _ROWS])], ["chunk", "word", "win", "n"])
+        for at in range(0, len(words), _ROWS):
+            part = words[at : at + _ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), label), pa.int64()), pa.array(part, pa.binary()), pa.nulls(len(part), pa.int64()), pa.array([self.words[w] for w in part], pa.int64())], ["chunk", "word", "win", "n"])
+
+
+def _labelled(parts: int, chunk_chars: int):
+    """From (part, text, ...) in scan order: batches of one chunk, with its label. Chunks end by text length alone, so every pass cuts alike."""
+
+    def run(batches):
+        number = chars = 0
+        for batch in batches:
+            sizes = pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < batch.num_rows:
+                ends = chars + np.cumsum(sizes[at:])
+                stop = at + 1 + int(np.searchsorted(ends, chunk_chars))
+                stop = min(stop, batch.num_rows)
+                yield number * parts + batch.column(0)[0].as_py(), batch.slice(at, stop - at)
+                chars = int(ends[stop - at - 1])
+                if chars >= chunk_chars:
+                    number, chars = number + 1, 0
+                at = stop
+
+    return run
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, k: int):
+    """Counts of (context of k bytes, symbol): each row's pair, the pairs' counts and contexts."""
     pair = keys if k == ORDER else (keys >> (8 * (ORDER - k + 1)) << 8) | (keys & 255)
     pairs, row = np.unique(pair, return_inverse=True)
     return row, np.bincount(row, n, len(pairs)), pairs >> 8
 
 
-def window_log10(keys: np.ndarray, n: np.ndarray, short: np.ndarray) -> np.ndarray:
-    """log10 probabilities of packed windows; all windows that share two context bytes are here.
+def _escape(out: np.ndarray, done: np.ndarray, mine: np.ndarray, left_n: np.ndarray, left_q: np.ndarray) -> None:
+    """One order's share of the log-probabilities: rows whose symbol occurs end here, others pay the escape."""
+    live = ~done & (left_q > 0)
+    hit = live & (mine > 0)
+    miss = live & ~hit
+    out[hit] += np.log10((2 * mine[hit] - 1) / (2 * left_n[hit]))
+    out[miss] += np.log10(left_q[miss] / (2 * left_n[miss]))
+    done |= hit
+
 
-    short[c, s]: how often s followed byte c in training, over the whole corpus.
+def short_log10(pair: np.ndarray, n: np.ndarray, one: np.ndarray):
+    """Of windows of two context bytes, all of a context here: the context's count, its distinct symbols, and the
+    log-probability from order 1 down once the context's symbols are excluded.
+
+    one[c, s]: how often s followed byte c in training, over the whole corpus.
     """
-    levels = {k: _level(keys, n, k) for k in range(ORDER, 1, -1)}
-    c1, symbol = keys >> 48, keys & 255
-    out, done = np.zeros(len(keys)), np.zeros(len(keys), bool)
-    #: of the context just left, for each row: training count at the next level and distinct symbols of its symbols
-    gone_n, gone_q = np.zeros(len(keys)), np.zeros(len(keys))
-    zero = short.sum(0)
-    for k in range(ORDER, -1, -1):
-        if k >= 2:
-            row, cnt, ctx = levels[k]
-            contexts, of = np.unique(ctx, return_inverse=True)
-            total = np.bincount(of, cnt, len(contexts))[of[row]]
-            distinct = np.bincount(of, cnt > 0, len(contexts))[of[row]]
-            mine = cnt[row]
-        elif k == 1:
-            total, distinct, mine = short.sum(1)[c1], (short > 0).sum(1)[c1], short[c1, symbol]
-        else:
-            total, distinct, mine = np.full(len(keys), zero.sum()), np.full(len(keys), (zero > 0).sum()), zero[symbol]
-        left_n, left_q = total - gone_n, distinct - gone_q
-        size = left_n + left_q
-        live = ~done & (left_q > 0)
-        hit = live & (mine > 0)
-        out[hit] += np.log10(mine[hit] / size[hit])
-        miss = live & ~hit
-        out[miss] += np.log10(left_q[miss] / size[miss])
-        done |= hit
-        gone_q = distinct
-        if k > 1:
-            # what the symbols of this context count for one level up the suffix chain
-            if k - 1 >= 2:
-                up_row, up_cnt, _ = levels[k - 1]
-                pair_up = np.zeros(len(cnt), np.int64)
-                pair_up[row] = up_row
-                weight = np.where(cnt > 0, up_cnt[pair_up], 0)
-            else:
-                pair_c1, pair_s = np.zeros(len(cnt), np.int64), np.zeros(len(cnt), np.int64)
-                pair_c1[row], pair_s[row] = c1, symbol
-                weight = np.where(cnt > 0, short[pair_c1, pair_s], 0)
-            gone_n = np.bincount(of, weight, len(contexts))[of[row]]
-        elif k == 1:
-            gone_n = ((short > 0) * zero[None, :]).sum(1)[c1]
-    rest = ~done
-    out[rest] -= np.log10(ALPHABET - (zero > 0).sum())
+    contexts, of = np.unique(pair >> 8, return_inverse=True)
+    total, distinct = np.bincount(of, n, len(contexts))[of], np.bincount(of, n > 0, len(contexts))[of]
+    c, symbol, zero = pair >> 16, pair & 255, one.sum(0)
+    out, done = np.zeros(len(pair)), np.zeros(len(pair), bool)
+    gone = np.bincount(of, np.where(n > 0, one[c, symbol], 0), len(contexts))[of]
+    _escape(out, done, one[c, symbol], one.sum(1)[c] - gone, (one > 0).sum(1)[c] - distinct)
+    gone = ((one > 0) * zero[None, :]).sum(1)[c]
+    _escape(out, done, zero[symbol], zero.sum() - gone, (zero > 0).sum() - (one > 0).sum(1)[c])
+    out[~done] -= np.log10(ALPHABET - (zero > 0).sum())
+    return total, distinct, out
+
+
+def window_log10(win: np.ndarray, n: np.ndarray, n2: np.ndarray, total2: np.ndarray, distinct2: np.ndarray, below2: np.ndarray) -> np.ndarray:
+    """log10 probabilities of packed windows, all that share three context bytes here.
+
+    n2: the count of the window's symbol after its last two context bytes; the others
+    are what short_log10 gives of that pair.
+    """
+    levels = {k: _levels(win, n, k) for k in range(ORDER, 2, -1)}
+    out, done = np.zeros(len(win)), np.zeros(len(win), bool)
+    gone_n, gone_q = np.zeros(len(win)), np.zeros(len(win))
+    for k in range(ORDER, 2, -1):
+        row, cnt, ctx = levels[k]
+        contexts, of = np.unique(ctx, return_inverse=True)
+        distinct = np.bincount(of, cnt > 0, len(contexts))[of[row]]
+        _escape(out, done, cnt[row], np.bincount(of, cnt, len(contexts))[of[row]] - gone_n, distinct - gone_q)
+        # what the context's symbols count for one order down
+        down = np.zeros(len(cnt))
+        down[row] = n2 if k == 3 else levels[k - 1][1][levels[k - 1][0]]
+        gone_n, gone_q = np.bincount(of, np.where(cnt > 0, down, 0), len(contexts))[of[row]], distinct
+    _escape(out, done, n2, total2 - gone_n, distinct2 - gone_q)
+    out[~done] += below2[~done]
     return out
 
 
+def _by_groups(shift: int, body, names: list[str]):
+    """From rows sorted by their first column: body over blocks of whole groups (the first column, shifted), a bounded number of rows at a time beyond a group."""
+
+    def run(batches):
+        wait: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            wait.append(batch)
+            if sum(b.num_rows for b in wait) < 500_000:
+                continue
+            table = pa.Table.from_batches(wait)
+            group = table[0].to_numpy() >> shift
+            cut = int(np.searchsorted(group, group[-1]))
+            wait = table.slice(cut).combine_chunks().to_batches()
+            if cut:
+                yield from emit(table.slice(0, cut))
+        if wait:
+            yield from emit(pa.Table.from_batches(wait))
+
+    def emit(table):
+        out = body(*(c.to_numpy() for c in table.columns))
+        for at in range(0, len(out[0]), _ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + _ROWS]) for x in out], names)
+
+    return run
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, remainder: int = 2, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Score every text by a byte-level PPM model pretrained on the documents not held out.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram
     words) and score, one row per input row; all sums are log10. A null text counts
     as empty: it has the end token alone. A null id is never held out. Repeated rows
-    each get a row. Other columns are ignored, whatever their names. An empty table
-    gives an empty result.
+    each get a row and are spread over tasks as they lie. A text of any length is
+    read whole, by slices; what must fit in memory is one text and the distinct words
+    and windows of a chunk. Ties cannot occur. Other columns are ignored, whatever
+    their names. An empty table gives an empty result. The tables that the result
+    reads stay in the shared folder.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(1, math.ceil(chars / chunk_chars))
-    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).alias("chunk"), "text", held_out(F.col("id"), modulus, remainder).alias("held"), "id")
-    if chunks <= 2048:  # labels that hash to one partition each
-        labels: dict[int, int] = {}
-        for r in spark.range(chunks * 32).select("id", F.pmod(F.hash("id"), F.lit(chunks)).alias("b")).collect():
-            labels.setdefault(r.b, r.id)
-        free = iter(range(chunks * 32, chunks * 33))
-        rows = rows.withColumn("chunk", F.array(*[F.lit(labels.get(b) if b in labels else next(free)).cast("long") for b in range(chunks)])[F.col("chunk").cast("int")])
-    rows = rows.repartition(chunks, "chunk")
-    keys = stored(rows.select("chunk", "text", "held").mapInArrow(_gather, "chunk long, word binary, win long, n long"), "ppm-keys")
+    rows = placed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    parts = max(1, rows.rdd.getNumPartitions())
+    rows = rows.select(F.spark_partition_id().cast("long").alias("part"), "text", held_out(F.col("id"), modulus, remainder).alias("held"), "id")
+    cut = _labelled(parts, chunk_chars)
+
+    def gather(batches):
+        label, chunk = None, None
+        for now, batch in cut(batches):
+            if now != label:
+                if chunk is not None:
+                    yield from chunk.rows(label)
+                label, chunk = now, _Chunk()
+            chunk.add(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist())
+        if chunk is not None:
+            yield from chunk.rows(label)
+
+    keys = stored(rows.mapInArrow(gather, "chunk long, word binary, win long, n long"), "ppm-keys")
     asked_words = keys.where("word is not null").select("chunk", "word", "n")
     asked_wins = keys.where("win is not null").select("chunk", "win", "n")
     words = stored(asked_words.groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
     wins = stored(asked_wins.groupBy("win").agg(F.sum("n").alias("n")), "ppm-windows")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    short = np.zeros((256, 256))
-    pairs = wins.where("n > 0").groupBy(F.shiftright("win", 48).alias("a"), F.col("win").bitwiseAND(255).alias("b")).agg(F.sum("n").alias("n"))
-    for r in pairs.collect():  # 65,536 rows at most: one for each pair of bytes
-        short[r.a, r.b] = r.n
-
-    def values(batches):
-        got = [b for b in batches if b.num_rows]
-        if got:
-            table = pa.Table.from_batches(got)
-            win = table["win"].to_numpy()
-            out = window_log10(win, table["n"].to_numpy(), short)
-            for at in range(0, len(win), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(win[at : at + 100_000]), pa.array(out[at : at + 100_000])], ["win", "lp"])
-
-    parts = default_partitions(spark)
-    scored = wins.repartition(parts, F.shiftright("win", 40)).mapInArrow(values, "win long, lp double")
-    answers = (
-        asked_words.select("chunk", "word").join(words, "word").select("chunk", "word", F.lit(None).cast("long").alias("win"), F.col("c").cast("double").alias("value"))
-        .unionByName(asked_wins.select("chunk", "win").join(scored, "win").select("chunk", F.lit(None).cast("binary").alias("word"), "win", F.col("lp").alias("value")))
-    ).repartition(chunks, "chunk")
-    n_train, base = int(total.n), math.log10(total.n + total.v + 1) if total.n + total.v else 0.0
 
-    def score(asked: pa.Table, answered: pa.Table) -> pa.Table:
-        known = answered.filter(answered["word"].is_valid())
-        windows = answered.filter(answered["win"].is_valid())
-        win, lp = windows["win"].to_numpy(), windows["value"].to_numpy()
-        order = np.argsort(win)
-        win, lp = win[order], lp[order]
-        chunk = _Chunk()
-        for raw in asked["text"].combine_chunks().cast(pa.binary()).to_pylist():
-            chunk.add(raw, False)
-        flat, pair, by_pair, by_word = chunk.spell()
-        code = {}
-        for name, size, (keys, starts, which) in (("pair", len(by_pair[2]), by_pair), ("word", len(chunk.words), by_word)):
-            code[name] = np.zeros(size)
-            if len(keys):
-                code[name][which] = np.add.reduceat(lp[np.searchsorted(win, keys)], starts)
-        counts = np.zeros(len(chunk.words))
-        counts[np.fromiter(map(chunk.ids.__getitem__, known["word"].to_pylist()), np.int64, known.num_rows)] = known["value"].to_numpy()
-        unigram = np.log10(counts + 1) - base
-        return pa.table({
-            "id": asked["id"], "held_out": asked["held"], "n_tokens": chunk.lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64)[flat], chunk.starts),
-            "train_tokens": np.full(len(chunk.lengths), n_train, np.int64), "base_score": np.add.reduceat(unigram[flat], chunk.starts), "score": np.add.reduceat(code["pair"][pair] + code["word"][flat], chunk.starts),
-        })
+    # contexts of two bytes: 252^3 rows at most; of one byte: 65,536, brought here
+    pair = F.shiftleft(F.shiftright("win", 32), 8).bitwiseOR(F.col("win").bitwiseAND(255))
+    pairs = stored(wins.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")), "ppm-pairs")
+    one = np.zeros((256, 256))
+    for r in pairs.where("n > 0").groupBy(F.shiftright("pair", 16).cast("int").alias("c"), F.col("pair").bitwiseAND(255).cast("int").alias("s")).agg(F.sum("n").alias("n")).collect():
+        one[r.c, r.s] = r.n
+    tasks = default_partitions(spark)
+    short = _by_groups(8, lambda p, n: (p, n, *short_log10(p, n, one)), ["pair", "n2", "total2", "distinct2", "below2"])
+    pairs = pairs.repartition(tasks, F.shiftright("pair", 8)).sortWithinPartitions("pair").select("pair", "n").mapInArrow(short, "pair long, n2 long, total2 double, distinct2 double, below2 double")
+    high = wins.withColumn("pair", pair).join(pairs, "pair").select("win", "n", "n2", "total2", "distinct2", "below2")
+    high = high.repartition(tasks, F.shiftright("win", 24)).sortWithinPartitions("win")
+    scored = stored(high.mapInArrow(_by_groups(24, lambda w, *x: (w, window_log10(w, *x)), ["win", "value"]), "win long, value double"), "ppm-scored")
+    none = F.lit(None)
+    answers = stored(
+        asked_words.select("chunk", "word").join(words.where("c > 0"), "word").select("chunk", "word", none.cast("long").alias("win"), F.col("c").cast("double").alias("value"))
+        .unionByName(asked_wins.select("chunk", "win").join(scored, "win").select("chunk", none.cast("binary").alias("word"), "win", "value")), "ppm-answers")
+    chunks = 1 + (keys.agg(F.max("chunk")).first()[0] or 0)
+    discard(keys, words, wins, scored)
+    n_train, base = int(total.n), math.log10(total.n + total.v + 1) if total.n + total.v else 0.0
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts_at = f"chunk long, word binary, win long, value double, text string, held boolean, id {kind}"
+    names = ["chunk", "word", "win", "value", "text", "held", "id"]
+
+    def label(batches):
+        for now, b in cut(batches):
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, now), pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), b.column(1), b.column(2), b.column(3)], names)
+
+    def score(batches):
+        at, known, win, value, got = None, {}, None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            labels = table["chunk"].to_numpy()
+            for begin, stop in zip(b := _runs(labels), [*b[1:], len(labels)], strict=True):
+                rows = table.slice(begin, stop - begin)
+                if labels[begin] != at:
+                    at, known, win, value, got = labels[begin], {}, None, None, []
+                asked = rows["text"].is_valid()
+                answered = rows.filter(pa.compute.invert(asked))
+                rows = rows.filter(asked)
+                if answered.num_rows:
+                    of_word = answered.filter(answered["word"].is_valid())
+                    known.update(zip(of_word["word"].to_pylist(), of_word["value"].to_pylist(), strict=True))
+                    of_win = answered.filter(answered["win"].is_valid())
+                    got.append((of_win["win"].to_numpy(), of_win["value"].to_numpy()))
+                if not rows.num_rows:
+                    continue
+                if win is None:
+                    win, value = (np.concatenate(x) for x in zip(*got, strict=True))
+                    order, got = np.argsort(win), []
+                    win, value = win[order], value[order]
+                yield scores(rows, known, win, value)
+
+    def scores(rows, known, win, value):
+        split = [words_of(raw) for raw in rows["text"].combine_chunks().cast(pa.binary()).to_pylist()]
+        lengths = np.fromiter(map(len, split), np.int64, len(split)) + 1
+        counts = np.fromiter((known.get(w, 0.0) for words in split for w in [*words, b"\n"]), np.float64, int(lengths.sum()))
+        starts = np.cumsum(lengths) - lengths
+        total = np.zeros(len(split))
+        for first, n, packed in slices(map(spelled, split)):
+            keys = packed >> np.uint64(16)
+            begin = _runs(keys)
+            each = keys[begin].view(np.int64)
+            found = np.minimum(np.searchsorted(win, each), len(win) - 1)
+            if not np.array_equal(win[found], each):
+                raise ValueError("the input's rows have moved between two passes")
+            per = np.repeat(value[found], np.diff(np.append(begin, len(keys))))
+            total[first : first + n] += np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), per, n)
+        return pa.RecordBatch.from_arrays([
+            rows["id"].combine_chunks(), rows["held"].combine_chunks(), pa.array(lengths), pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
+            pa.array(np.full(len(split), n_train, np.int64)), pa.array(np.add.reduceat(np.log10(counts + 1), starts) - lengths * base), pa.array(total),
+        ], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    # texts come first in the union, so each part keeps the number under which the first pass saw it
+    texts = rows.mapInArrow(label, texts_at)
+    both = texts.unionByName(answers.select("chunk", "word", "win", "value", none.cast("string").alias("text"), none.cast("boolean").alias("held"), none.cast(kind).alias("id")))
+    targets = min(chunks, tasks)
+    dealt = both.repartitionById(targets, F.pmod("chunk", F.lit(targets)).cast("int")).sortWithinPartitions("chunk", F.col("text").isNotNull())
+    out = dealt.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
