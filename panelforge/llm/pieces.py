@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import default_partitions, stored
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 8192
 GIANT_CHARS = 2 * CHUNK_CHARS
 SPACE = "▁"
-_MEMO = 400_000
+_MEMO = 60_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 CUT = (0, 0)  # the state of an edge that no piece crosses and where all paths meet
 
@@ -54,7 +56,7 @@ class Pieces:
             raise ValueError("a piece reaches across the start of a word")
         self.longest = max(map(len, self.ids))
         self.memo: dict[str, bytes] = {}
-        self.step = lru_cache(1 << 18)(self._step)
+        self.step = lru_cache(1 << 14)(self._step)
 
     def unit(self, text: str) -> list[int]:
         """Ids of a text that starts at a cut, given with SPACE for blanks."""
@@ -261,90 +263,110 @@ def _ids_array(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)), pa.array(flat))
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, chunk_chars: int = CHUNK_CHARS, giant_chars: int = GIANT_CHARS) -> DataFrame:
-    """docs with piece_ids (array<int>) and n_chunks added.
+def encode_documents(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, chunk_chars: int = CHUNK_CHARS, giant_chars: int = GIANT_CHARS, check: bool = False) -> DataFrame:
+    """docs with piece_ids (array<int>) and n_chunks added; with check also decoded_equal: whether decoding gives the text back.
 
     Texts up to giant_chars are encoded where they lie. Longer ones are cut into
     chunks that are worked on by any task: matrices first, then one small scan for
-    each document, then the chunks' own paths, put together by document. A null or
-    empty text has no pieces. Repeated rows each get a row. Columns of docs named
-    piece_ids or n_chunks are replaced.
+    each distinct text, then the chunks' own paths, put together by text. Equal giants
+    are one job, known by the SHA-256 of the text; a task passes on a text once. A null
+    or empty text has no pieces. Repeated rows each get a row; there are no ties to
+    break. An empty table gives an empty result. Columns of docs named piece_ids,
+    n_chunks or, with check, decoded_equal are replaced; other columns may have any
+    name.
     """
     with open(model_path, "rb") as f:
         proto = f.read()  # half a megabyte, sent along with the code
-    docs = docs.drop("piece_ids", "n_chunks")
-    names = docs.columns
-    giant = F.coalesce(F.length(text_col) > giant_chars, F.lit(False))
+    pad = 2 * Pieces(proto).longest  # on both sides of a chunk: more than the pieces that may reach across its edges
+    added = ["piece_ids", "n_chunks", *(["decoded_equal"] if check else [])]
+    docs = docs.drop(*added)
+    types = dict(docs.dtypes)
+    # inside, columns have names of their own, so none of the input's can clash
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    back = [F.col(c).alias(name) for c, name in zip(own, docs.columns, strict=True)]
+    rows = docs.toDF(*own)
+    text = own[docs.columns.index(text_col)]
+    giant = F.coalesce(F.length(text) > giant_chars, F.lit(False))
+    key = F.sha2(text, 256)
+    results = "piece_ids array<int>, n_chunks int" + (", decoded_equal boolean" if check else "")
+    schema = ", ".join([*(f"{c} {types[name]}" for c, name in zip(own, docs.columns, strict=True)), results])
+
+    def decoded(lib, texts, packed):
+        return [pa.array([lib.decode(np.frombuffer(p, np.int32).tolist()) == (t or "") for t, p in zip(texts, packed, strict=True)], pa.bool_())] if check else []
 
     def small(batches):
         model = _model(proto)
         for batch in batches:
-            texts = batch.column(names.index(text_col)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, _ids_array([model.encode(t) for t in texts]), pa.array(np.ones(len(texts), np.int32))], [*names, "piece_ids", "n_chunks"])
-
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), "piece_ids array<int>", "n_chunks int"])
-    encoded = docs.where(~giant).mapInArrow(small, schema)
-
-    # giants: equal rows are one job; its rows come back at the end
-    jobs = docs.where(giant).groupBy(*names).agg(F.count(F.lit(1)).alias("piece_copies"))
-    jobs = jobs.withColumn("piece_job", F.xxhash64(*names))
-    pad = 64  # more than the longest piece, on both sides
-    whole = F.concat(F.lit(SPACE), F.translate(text_col, " ", SPACE))
-    length = F.length(text_col) + 1
-    chunked = jobs.select("piece_job", whole.alias("whole"), length.alias("size"), F.explode(F.sequence(F.lit(0), length - 1, F.lit(chunk_chars))).alias("lo"))
-    begin = F.greatest(F.col("lo") - pad, F.lit(0))
-    hi = F.least(F.col("lo") + chunk_chars, F.col("size"))
-    chunked = chunked.select("piece_job", "lo", hi.cast("int").alias("hi"), begin.cast("int").alias("origin"), "size", F.substring("whole", begin + 1, F.least(hi + pad, F.col("size")) - begin).alias("part"))
-    chunked = chunked.repartition("piece_job", "lo")
+            texts = batch.column(own.index(text)).to_pylist()
+            packed = [model.encode(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _ids_array(packed), pa.array(np.ones(len(texts), np.int32)), *decoded(model.lib, texts, packed)], [*own, *added])
+
+    def cut(batches):
+        seen: set = set()  # keys of this task's giants
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k in seen:
+                    continue
+                seen.add(k)
+                whole = SPACE + t.replace(" ", SPACE)
+                los = list(range(0, len(whole), chunk_chars))
+                for at in range(0, len(los), 256):
+                    lo = los[at : at + 256]
+                    begins = [max(0, x - pad) for x in lo]
+                    his = [min(x + chunk_chars, len(whole)) for x in lo]
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(lo)), *(pa.array(x, pa.int32()) for x in (lo, his, begins)), pa.array([whole[b : h + pad] for b, h in zip(begins, his, strict=True)])], ["job", "lo", "hi", "origin", "part"])
 
     def matrices(batches):
-        model = _model(proto)
+        model, seen = _model(proto), set()
         for batch in batches:
-            rows = batch.to_pydict()
-            out = []
+            jobs, los = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            fresh = []
+            for i, one in enumerate(zip(jobs, los, strict=True)):
+                if one not in seen:  # copies from other tasks
+                    seen.add(one)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            rows, out = batch.to_pydict(), []
             for lo, hi, origin, part in zip(rows["lo"], rows["hi"], rows["origin"], rows["part"], strict=True):
                 left, right, m = transfer(model, part, lo - origin, hi - origin)
                 shift = lambda s, o=origin: [-1, -1] if s == CUT else [s[0] + o, s[1] + o]
                 out.append(([x for s in left for x in shift(s)], [x for s in right for x in shift(s)], m.ravel().tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["piece_job", "lo", "entry", "exit", "weights"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.float64()))], [*batch.schema.names, "entry", "exit", "weights"])
 
     def scan(table: pa.Table) -> pa.Table:
         table = table.sort_by("lo")
         rows = table.to_pydict()
+
         def states(flat):
             return [CUT if flat[i] < 0 else (flat[i], flat[i + 1]) for i in range(0, len(flat), 2)]
+
         chunks = [(states(a), states(b), np.array(w).reshape(len(a) // 2, len(b) // 2)) for a, b, w in zip(rows["entry"], rows["exit"], rows["weights"], strict=True)]
         at = [list(s) if s != CUT else [-1, -1] for s in settle(chunks)]
-        return pa.table({"piece_job": table["piece_job"], "lo": table["lo"], "enter": pa.array(at[:-1], pa.list_(pa.int32())), "leave": pa.array(at[1:], pa.list_(pa.int32()))})
-
-    settled = chunked.mapInArrow(matrices, "piece_job long, lo int, entry array<int>, exit array<int>, weights array<double>").groupBy("piece_job").applyInArrow(scan, "piece_job long, lo int, enter array<int>, leave array<int>")
+        return pa.table({"job": table["job"], "lo": table["lo"], "enter": pa.array(at[:-1], pa.list_(pa.int32())), "leave": pa.array(at[1:], pa.list_(pa.int32()))})
 
     def paths(batches):
         model = _model(proto)
         for batch in batches:
-            rows = batch.to_pydict()
-            out = []
+            rows, out = batch.to_pydict(), []
             for lo, hi, origin, part, enter, leave in zip(rows["lo"], rows["hi"], rows["origin"], rows["part"], rows["enter"], rows["leave"], strict=True):
                 state = [CUT if s[0] < 0 else (s[0] - origin, s[1] - origin) for s in (enter, leave)]
                 out.append(backtrace(model, part, lo - origin, hi - origin, *state))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ids_array(out)], ["piece_job", "lo", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["job", "lo", "ids"])
 
-    traced = chunked.join(settled, ["piece_job", "lo"]).select("piece_job", "lo", "hi", "origin", "part", "enter", "leave").mapInArrow(paths, "piece_job long, lo int, ids array<int>")
-    joined = traced.groupBy("piece_job").agg(F.array_sort(F.collect_list(F.struct("lo", "ids"))).alias("parts")).select("piece_job", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("piece_ids"), F.size("parts").alias("n_chunks"))
-    giants = jobs.join(joined, "piece_job").withColumn("piece_copies", F.explode(F.sequence(F.lit(1).cast("long"), "piece_copies"))).select(*names, "piece_ids", "n_chunks")
-    return encoded.unionByName(giants)
-
-
-def round_trips(encoded: DataFrame, text_col: str = "text", model_path: str = MODEL) -> DataFrame:
-    """encoded with decoded_equal added: whether decoding piece_ids gives the text back."""
-    from pyspark.sql.pandas.functions import arrow_udf
-
-    with open(model_path, "rb") as f:
-        proto = f.read()
-
-    @arrow_udf("boolean")
-    def equal(texts: pa.Array, ids: pa.Array) -> pa.Array:
+    def finish(batches):
         lib = _model(proto).lib
-        return pa.array([lib.decode(i.as_py()) == (t or "") for t, i in zip(texts.to_pylist(), ids, strict=True)])
-
-    return encoded.withColumn("decoded_equal", equal(F.col(text_col), F.col("piece_ids")))
+        for batch in batches:
+            packed = [b"".join(parts) for parts in batch.column(len(own)).to_pylist()]
+            counts = pa.array([len(parts) for parts in batch.column(len(own)).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], _ids_array(packed), counts, *decoded(lib, batch.column(own.index(text)).to_pylist(), packed)], [*own, *added])
+
+    encoded = rows.where(~giant).mapInArrow(small, schema)
+    giants = rows.where(giant).withColumn("job", key)
+    tasks = default_partitions(docs.sparkSession)
+    chunked = giants.select("job", text).mapInArrow(cut, "job string, lo int, hi int, origin int, part string").repartition(tasks, "job", "lo")
+    chunked = stored(chunked.mapInArrow(matrices, "job string, lo int, hi int, origin int, part string, entry array<int>, exit array<int>, weights array<double>"), "piece-chunks")
+    settled = chunked.select("job", "lo", "entry", "exit", "weights").groupBy("job").applyInArrow(scan, "job string, lo int, enter array<int>, leave array<int>")
+    traced = stored(chunked.select("job", "lo", "hi", "origin", "part").join(settled, ["job", "lo"]).mapInArrow(paths, "job string, lo int, ids binary"), "piece-paths")
+    joined = traced.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("lo", "ids"))).alias("parts")).select("job", F.transform("parts", lambda p: p["ids"]).alias("parts"))
+    found = giants.join(joined, "job").select(*own, "parts").mapInArrow(finish, schema)
+    return encoded.unionByName(found).select(*back, *added)
