@@ -192,7 +192,7 @@ class _Chunk:
             begin = _runs(keys)
             n = np.add.reduceat(train[first : first + rows][(packed & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int64), begin)
             self.parts.append((keys[begin].view(np.int64), n))
-            if sum(len(k) for k, _ in self.parts[1:]) > max(self.whole, 4 * SLICE):
+            if sum(len(k) for k, _ in self.parts[1:]) > max(self.whole, SLICE):
                 self.merge()
 
     def merge(self) -> None:
@@ -212,7 +212,7 @@ class _Chunk:
 
 
 def _labelled(parts: int, chunk_chars: int):
-    """From (part, text, ...) in scan order: batches of one chunk, with its label. Chunks end by text length alone, so every pass cuts alike."""
+    """From (part, text, ...) in scan order: batches of one chunk and about SLICE bytes, with its label. Chunks end by text length alone, so every pass cuts alike."""
 
     def run(batches):
         number = chars = 0
@@ -221,7 +221,7 @@ def _labelled(parts: int, chunk_chars: int):
             at = 0
             while at < batch.num_rows:
                 ends = chars + np.cumsum(sizes[at:])
-                stop = at + 1 + int(np.searchsorted(ends, chunk_chars))
+                stop = at + 1 + int(np.searchsorted(ends, min(chunk_chars, chars + SLICE)))
                 stop = min(stop, batch.num_rows)
                 yield number * parts + batch.column(0)[0].as_py(), batch.slice(at, stop - at)
                 chars = int(ends[stop - at - 1])
@@ -408,7 +408,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     win, value = (np.concatenate(x) for x in zip(*got, strict=True))
                     order, got = np.argsort(win), []
                     win, value = win[order], value[order]
-                yield scores(rows, known, win, value)
+                ends = np.cumsum(pa.compute.binary_length(rows["text"]).to_numpy())
+                cuts = [0, *(1 + np.searchsorted(ends, np.arange(SLICE, ends[-1], SLICE))), rows.num_rows]
+                for a, z in zip(cuts, cuts[1:], strict=False):
+                    if z > a:
+                        yield scores(rows.slice(a, z - a), known, win, value)
 
     def scores(rows, known, win, value):
         split = [words_of(raw) for raw in rows["text"].combine_chunks().cast(pa.binary()).to_pylist()]
