@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -12,13 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import fit_logistic, held_out, labelled_sample
+from panelforge.llm.common import discard, fit_logistic, held_out, labelled_sample, stored
 
 PER_CLASS = 6000
 STEMS = (4, 5, 6)
 MIN_DOCS = 4
 MIN_WEIGHT = 2.5
-MAX_ENTRIES = 5000
 
 # General insults that start the lexicon, one weight for all.
 SEEDS = ["idiot", "moron", "loser", "stupid", "scum", "trash", "clown", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "asshole", "bitch", "whore", "slut", "retard", "faggot", "fuck", "shit", "cunt"]
@@ -33,14 +33,21 @@ _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a",
 _FOLD = str.maketrans(_LOOK_ALIKE | {chr(0xFF21 + i): chr(97 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
 _DIGIT_FOLD = str.maketrans(_DIGITS)
 _WORD = re.compile(r"\w+")
-_BROKEN = re.compile(r"[^\W\d_][\w@$!]*[013457@$!][\w@$!]*[^\W\d_]")
+#: A run of letters, digits and signs with a digit or sign that may stand for a letter; one scan, no backtracking.
+_BROKEN = re.compile(r"(?<![\w@$!])[^\W013457]*+[013457@$!][\w@$!]*+")
 
 
-def fold(text: str) -> str:
-    """Lower case, look-alike letters to Latin ones, digits and signs inside words to the letters they stand for."""
+def _mend(m: re.Match) -> str:
+    core = m[0].rstrip("!")
+    return core.translate(_DIGIT_FOLD) + m[0][len(core) :] if sum(map(str.isalpha, core)) >= 2 else m[0]
+
+
+def fold(text: str) -> tuple[str, str]:
+    """Lower case with look-alike letters as Latin ones; and the same with digits and signs, in words of two letters
+    or more, as the letters they stand for. Both are equally long, so that a place in one is that in the other."""
     text = text.lower()
     text = text if text.isascii() else text.translate(_FOLD)
-    return _BROKEN.sub(lambda m: m[0].translate(_DIGIT_FOLD), text)
+    return text, _BROKEN.sub(_mend, text)
 
 
 @dataclass
@@ -66,14 +73,12 @@ class Lexicon:
             auto.make_automaton()
         return auto
 
-    def features(self, texts, auto) -> np.ndarray:
-        """Per text: summed weight of the matches outside exception phrases by its square-root length, and by its length."""
-        out = np.zeros((len(texts), 2))
-        for row, raw in enumerate(texts):
-            if not raw or not len(auto):
-                continue
-            text = fold(raw)
-            hits, excused = {}, []
+    def hits(self, raw: str, auto) -> dict[int, float]:
+        """Where a match begins, outside exception phrases -> the largest weight of those that begin there, in either folded form."""
+        hits: dict[int, float] = {}
+        excused = []
+        plain, mended = fold(raw)
+        for text in (plain, mended) if mended != plain else (plain,):
             for end, (size, weight, stem) in auto.iter(text):
                 begin = end - size + 1
                 if begin and (text[begin - 1].isalnum() or text[begin - 1] == "_"):
@@ -84,10 +89,23 @@ class Lexicon:
                     excused.append((begin, end))
                 else:
                     hits[begin] = max(weight, hits.get(begin, 0.0))
-            if excused:
-                hits = {b: w for b, w in hits.items() if not any(lo <= b <= hi for lo, hi in excused)}
-            if hits:
-                words = 1 + text.count(" ") + text.count("\n")
+        if not excused or not hits:
+            return hits
+        starts, ends = [], []
+        for lo, hi in sorted(excused):
+            if ends and lo <= ends[-1]:
+                ends[-1] = max(ends[-1], hi)
+            else:
+                starts.append(lo)
+                ends.append(hi)
+        return {b: w for b, w in hits.items() if (i := bisect_right(starts, b) - 1) < 0 or b > ends[i]}
+
+    def features(self, texts, auto) -> np.ndarray:
+        """Per text: summed weight of the matches outside exception phrases by its square-root length, and by its length."""
+        out = np.zeros((len(texts), 2))
+        for row, raw in enumerate(texts):
+            if raw and len(auto) and (hits := self.hits(raw, auto)):
+                words = 1 + raw.count(" ") + raw.count("\n")
                 total = sum(hits.values())
                 out[row] = total / math.sqrt(words + 9), total / (words + 9)
         return out
@@ -103,7 +121,10 @@ def _terms(batches):
     counts = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = set(_WORD.findall(fold(text)))
+            plain, mended = fold(text)
+            words = set(_WORD.findall(plain))
+            if mended != plain:
+                words.update(_WORD.findall(mended))
             counts[label].update(words)
             counts[label].update({w[:k] + "*" for w in words for k in STEMS if len(w) >= k})
             counts[label][""] += 1
@@ -117,25 +138,27 @@ def _terms(batches):
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modulus: int = 5, remainder: int = 0) -> Lexicon:
     """Learn the lexicon and its calibration from a bounded labelled sample outside the held-out remainder.
 
-    An entry's weight is its smoothed log ratio of document shares; stems that say no
-    more than a shorter stem are left out. At most per_class rows of each label and
-    MAX_ENTRIES entries are used. Without labels of both kinds the seeds stand alone.
+    The sample holds at most per_class rows of each label, of whole texts. An entry's
+    weight is its smoothed log ratio of document shares; every term of MIN_DOCS bad
+    documents and MIN_WEIGHT is an entry, but stems that say no more than a shorter
+    stem are left out. Null and empty texts have no terms; repeated ids give one row.
+    Without labels of both kinds, or on empty tables, the seeds stand alone. Terms tie
+    by name.
     """
-    sample = labelled_sample(docs, labels, "toxic", per_class, modulus=modulus, remainder=remainder)
-    terms = sample.select("text", "label").mapInArrow(_terms, "term string, label int, n long")
-    counted = terms.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
-    wanted = counted.where((F.col("term") == "") | ((F.col("bad") >= MIN_DOCS) & (F.col("bad") > 3 * F.col("good")))).orderBy((F.col("term") == "").desc(), F.col("bad").desc(), "term").limit(20 * MAX_ENTRIES).collect()
-    size = next(((r.bad, r.good) for r in wanted if r.term == ""), (0, 0))
+    sample = stored(labelled_sample(docs, labels, "toxic", per_class, modulus=modulus, remainder=remainder).select("text", "label"), "toxic-sample")
+    terms = sample.mapInArrow(_terms, "term string, label int, n long")
+    counted = stored(terms.groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good")), "toxic-terms")
     entries = dict.fromkeys(SEEDS, SEED_WEIGHT)
+    size = next(((r.bad, r.good) for r in counted.where("term = ''").collect()), (0, 0))
     if not size[0] or not size[1]:
+        discard(sample, counted)
         return Lexicon(entries)
-    found = {}
-    for r in wanted:
-        weight = math.log((r.bad + 0.5) / (size[0] + 1)) - math.log((r.good + 0.5) / (size[1] + 1))
-        if r.term and weight >= MIN_WEIGHT:
-            found[r.term] = weight
+    weight = F.log((F.col("bad") + 0.5) / (size[0] + 1)) - F.log((F.col("good") + 0.5) / (size[1] + 1))
+    # what is left are the lexicon's candidates: at most a MIN_DOCS-th of the terms of per_class documents
+    wanted = counted.where((F.col("term") != "") & (F.col("bad") >= MIN_DOCS)).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT).orderBy("term").collect()
+    found = {r.term: r.weight for r in wanted}
     # a stem stays only where several words share it: otherwise its commonest word or longer stem says as much
-    docs_of = {r.term: r.bad for r in wanted if r.term in found}
+    docs_of = {r.term: r.bad for r in wanted}
     longer = Counter()
     for term, n in docs_of.items():
         word = term.rstrip("*")
@@ -148,12 +171,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modulus:
         word = term.rstrip("*")
         if all(found[term] > kept.get(word[:k] + "*", -9.0) + 0.7 for k in range(1, len(word) + 1)):
             kept[term] = found[term]
-    for term in sorted(kept, key=lambda t: -kept[t])[:MAX_ENTRIES]:
+    for term in sorted(kept):
         if term.endswith("*"):
             entries.pop(term[:-1], None)
         entries[term] = kept[term]
     lexicon = Lexicon(entries)
-    both = sample.select("text", "label").mapInArrow(_feature_rows(lexicon), "f1 double, f2 double, label int").collect()
+    both = sample.mapInArrow(_feature_rows(lexicon), "f1 double, f2 double, label int").collect()
+    discard(sample, counted)
     x = np.array([[1.0, math.log1p(10 * r.f1), math.log1p(100 * r.f2)] for r in both])
     y = np.array([r.label for r in both], float)
     lexicon.weights = tuple(float(w) for w in fit_logistic(x, y, ridge=0.1))
@@ -174,7 +198,9 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
     """id, held_out, score and predicted (score >= 0.5) of every row; one pass, no shuffle.
 
     A null text counts as empty and scores as one without matches. A null id is not
-    held out. Repeated rows each get a row; other columns are ignored.
+    held out. A text of any length is read whole, in time proportional to it. Repeated
+    rows each get a row; ties cannot occur. Other columns are ignored, whatever their
+    names. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -189,16 +215,19 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
 
 
 def filter_documents(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """Rows that score under 0.5, with their columns as they were."""
-    from pyspark.sql.pandas.functions import arrow_udf
-
-    @arrow_udf("double")
-    def toxic(texts: pa.Array) -> pa.Array:
-        cached = globals().setdefault("_automata", {})
-        key = id(lexicon)
-        if key not in cached:
-            cached.clear()
-            cached[key] = lexicon.automaton()
-        return pa.array(lexicon.score(lexicon.features(texts.to_pylist(), cached[key])))
-
-    return docs.where(toxic(F.col(text_col)) < 0.5)
+    """Rows that score under 0.5, with their columns as they were, whatever their names.
+
+    A null or empty text counts as one without matches. Long texts are read whole;
+    repeated rows share one fate; an empty table gives an empty result.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        auto = lexicon.automaton()
+        for batch in batches:
+            score = lexicon.score(lexicon.features(batch.column(at).to_pylist(), auto))
+            yield batch.filter(pa.array(score < 0.5))
+
+    kept = docs.toDF(*own).mapInArrow(run, ", ".join(f"{c} {kind}" for c, (_, kind) in zip(own, docs.dtypes, strict=True)))
+    return kept.toDF(*docs.columns)
