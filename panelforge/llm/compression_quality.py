@@ -10,13 +10,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import fit_logistic, held_out, labelled_sample
+from panelforge.llm.common import discard, fit_logistic, held_out, labelled_sample, stored
 
 PER_CLASS = 1500
 DICT_BYTES = 112_640
 LEVEL = 3
-#: Longer texts are not taken into the training sample; every text is scored whole.
-MAX_SAMPLE_CHARS = 20_000
+#: A longer text gives a dictionary so many bytes of it, in segments spread over all of it.
+TEXT_BYTES, SEGMENT = 20_480, 1024
 
 
 @dataclass
@@ -49,6 +49,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30)))
 
 
+def _spread(raw: bytes, most: int) -> bytes:
+    """The text, or of a longer one segments at even distances over its whole length."""
+    if len(raw) <= most:
+        return raw
+    n = max(1, most // SEGMENT)
+    return b"".join(raw[i * (len(raw) - SEGMENT) // max(1, n - 1) :][:SEGMENT] for i in range(n))
+
+
 def _dictionary(texts: list[bytes]) -> bytes:
     """A trained dictionary; of too little text the text itself."""
     try:
@@ -57,36 +65,56 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[-DICT_BYTES:] if sum(map(len, texts)) >= 8 else b""
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modulus: int = 5, remainder: int = 0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text_bytes: int = TEXT_BYTES, modulus: int = 5, remainder: int = 0) -> Model:
     """Dictionaries from one bounded labelled sample, the calibration from another one.
 
-    Both hold at most per_class rows of each label outside the held-out remainder, so
-    what reaches the driver has a fixed bound. If the second sample is empty (few
-    labels) the first calibrates too; without both labels the score is 0.5 for all.
+    Both hold at most per_class rows of each label outside the held-out remainder; a
+    text gives the dictionaries at most text_bytes, spread over its length, so what
+    reaches the driver has a fixed bound (2 x per_class x text_bytes). Calibration is
+    over whole texts, where they lie. If the second sample is empty (few labels) the
+    first calibrates too; without both labels, or on empty tables, the score is 0.5
+    for all. Null texts are empty; repeated ids give one row.
     """
-    def sample(skip: int) -> list:
-        return labelled_sample(docs, labels, "quality", per_class, skip=skip, modulus=modulus, remainder=remainder, max_chars=MAX_SAMPLE_CHARS).collect()
+    samples = [stored(labelled_sample(docs, labels, "quality", per_class, skip=skip, modulus=modulus, remainder=remainder), "quality-sample") for skip in (0, per_class)]
+    kind = dict(samples[0].dtypes)["id"]
 
-    first = sorted(sample(0), key=lambda r: (r.label, r.id))
+    def spread(batches):
+        for batch in batches:
+            texts = [_spread(t, text_bytes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], ["id", "text", "label"])
+
+    first = sorted(samples[0].mapInArrow(spread, f"id {kind}, text binary, label int").collect(), key=lambda r: (r.label, r.id))
     if {r.label for r in first} != {0, 1}:
+        discard(*samples)
         return Model(b"", b"", (0.0,) * 6)
-    good, bad = (_dictionary([r.text.encode() for r in first if r.label == k]) for k in (1, 0))
+    good, bad = (_dictionary([bytes(r.text) for r in first if r.label == k]) for k in (1, 0))
     model = Model(good, bad, (0.0,) * 6)
+
+    def measured(batches):
+        compressors = model.compressors()
+        for batch in batches:
+            if batch.num_rows:
+                x = model.features(batch.column(1).cast(pa.binary()).to_pylist(), compressors)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["id", "label", "x"])
+
+    def calibration(sample: DataFrame) -> list:
+        return sorted(sample.mapInArrow(measured, f"id {kind}, label int, x array<double>").collect(), key=lambda r: (r.label, r.id))
+
     taken = {r.id for r in first}
-    second = [r for r in sample(per_class) if r.id not in taken]
+    second = [r for r in calibration(samples[1]) if r.id not in taken]
     if {r.label for r in second} != {0, 1}:
-        second = first
-    x = model.features([r.text.encode() for r in second], model.compressors())
-    y = np.array([r.label for r in second], float)
-    model.weights = tuple(float(w) for w in fit_logistic(x, y, ridge=0.01))
+        second = calibration(samples[0])
+    discard(*samples)
+    model.weights = tuple(float(w) for w in fit_logistic(np.array([r.x for r in second]), np.array([r.label for r in second], float), ridge=0.01))
     return model
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 0, threshold: float = 0.3) -> DataFrame:
     """id, held_out, score and predicted (score >= threshold) of every row; one pass, no shuffle.
 
-    A null text counts as empty. A null id is not held out. Repeated rows each get a
-    row; other columns are ignored.
+    A null text counts as empty. A null id is not held out. A text of any length is
+    compressed whole. Repeated rows each get a row; ties cannot occur. Other columns are
+    ignored, whatever their names. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
