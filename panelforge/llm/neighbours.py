@@ -1,34 +1,54 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Vectors of length one are projected on Gaussian directions and cut into cells; a
-table's bucket is the tuple of HASHES cells. A query visits its own bucket and, in
-order of estimated success (the summed squared distances to the cell walls that the
-probe crosses), perturbed ones. Members of a bucket meet its visitors in blocks of
-bounded size, where one matrix product ranks them; only each block's best go on, are
-merged over tables, and are ranked by their exact cosines.
+table's bucket is the tuple of its hashes' cells. The difference of two projections
+is normal with the vectors' distance as its deviation, so for a neighbour at a given
+distance each perturbed bucket has a known chance of holding it. A query visits
+buckets in the order of that chance until all tables together reach the target. The
+distance is the one that nearest neighbours have in these data, and the number of
+hashes is the one with the least work, both fitted on a bounded sample.
+
+Equal vectors are one entry with their smallest ids. Members of a bucket meet its
+visitors in blocks of bounded size on both sides, where one matrix product ranks
+them; only each block's best go on, are merged over tables, and are ranked by their
+exact cosines.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import stored
+from panelforge.llm.common import discard, stored
 
-TABLES, HASHES, WIDTH, PROBES, SEED = 4, 5, 1.5, 100, 11
+TABLES, WIDTH, SEED = 2, 1.5, 11
+#: Numbers of hashes to choose from, and the most buckets that a query visits in a table.
+HASHES, MOST_PROBES = (3, 4, 5, 6, 8, 10, 12), 600
+#: The estimated chance to meet a neighbour at the fitted distance.
+TARGET = 0.96
+#: Rows whose neighbours are looked for in all rows to fit the distance, and rows on which work is estimated.
+FIT_QUERIES, FIT_ROWS = 64, 2000
 BLOCK_ROWS = 4096
 #: Scores this near the last one of a block may still tie with it exactly.
 _SLACK = 1e-9
-_STEPS = np.array(list(itertools.product((-1, 0, 1), repeat=HASHES)))
+_REACH = np.arange(-4, 5)
+
+
+@dataclass
+class Plan:
+    """dim -> (hashes, distance)."""
 
+    by_dim: dict[int, tuple[int, float]]
 
-def _planes(dim: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+
+def _planes(dim: int, table: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim, table])
-    return rng.standard_normal((dim, HASHES)), rng.uniform(0, WIDTH, HASHES)
+    return rng.standard_normal((dim, max(HASHES)))[:, :hashes], rng.uniform(0, WIDTH, max(HASHES))[:hashes]
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -37,42 +57,145 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _code(cells: np.ndarray) -> np.ndarray:
+    """One number for a tuple of cells (of 12 hashes 5 bits each: unit vectors lie within 16 cells; a rarer one shares a bucket)."""
     out = np.zeros(cells.shape[:-1], np.int64)
     for i in range(cells.shape[-1]):
-        out = out * 4096 + (cells[..., i] + 2048)
+        out = out * 32 + ((cells[..., i] + 16) & 31)
     return out
 
 
-def _hashed(probes: int):
-    """(dim, table, bucket, id, vec) of every vector; with probes, a row for each bucket that it visits."""
+_erf = np.vectorize(math.erf, otypes=[float])
+
+
+def _below(x: np.ndarray) -> np.ndarray:
+    """The normal distribution function."""
+    return 0.5 * (1 + _erf(x / math.sqrt(2)))
+
+
+def probes(unit: np.ndarray, hashes: int, distance: float, target: float, most: int = MOST_PROBES) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per table (query, bucket) in the order of the chance to hold a neighbour at the distance, until the target is reached."""
+    dim, n = unit.shape[1], len(unit)
+    codes, masses = [], []
+    for table in range(TABLES):
+        a, b = _planes(dim, table, hashes)
+        at = (unit @ a + b) / WIDTH
+        cells = np.floor(at).astype(np.int64)
+        spread = max(distance, 1e-3) / WIDTH
+        low = (at - cells)[:, :, None]
+        p = np.maximum(_below((_REACH + 1 - low) / spread) - _below((_REACH - low) / spread), 1e-300)
+        cost, steps = np.zeros((n, 1)), np.zeros((n, 1, 0), np.int64)
+        for i in range(hashes):  # of the best tuples of all hashes, the first i are among the best of the first i
+            both = (cost[:, :, None] - np.log(p[:, None, i, :])).reshape(n, -1)
+            keep = min(most, both.shape[1])
+            best = np.argsort(both, axis=1, kind="stable")[:, :keep]
+            cost = np.take_along_axis(both, best, 1)
+            before = np.take_along_axis(steps, (best // len(_REACH))[:, :, None], 1)
+            steps = np.concatenate((before, _REACH[best % len(_REACH)][:, :, None]), 2)
+        codes.append(_code(cells[:, None, :] + steps))
+        masses.append(np.cumsum(np.exp(-cost), 1))
+    reached = 1 - np.prod([1 - np.minimum(m, 1) for m in masses], axis=0)
+    enough = np.minimum((reached < target).sum(1) + 1, reached.shape[1])
+    take = np.arange(reached.shape[1])[None, :] < enough[:, None]
+    who = np.nonzero(take)[0]
+    return [(who, code[take]) for code in codes]
+
+
+def _vectors(packed) -> np.ndarray:
+    return np.stack([np.frombuffer(v, np.float64) for v in packed])
+
 
+def _by_dim(batch, column: int):
+    """(dimension, rows, unit vectors) of a batch with packed vectors."""
+    packed = batch.column(column).to_pylist()
+    dims = np.array([len(v) // 8 for v in packed], np.int64)
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        yield int(dim), rows, _unit(_vectors([packed[r] for r in rows]))
+
+
+_BUCKETS = "dim int, table int, bucket long, key binary, vec binary, ids array<long>"
+_BUCKET_NAMES = ["dim", "table", "bucket", "key", "vec", "ids"]
+
+
+def _bucketed(batch, rows, who, code, dim, table):
+    """Rows of a batch (key, vec, ids), each in its buckets."""
+    at = pa.array(rows[who])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), dim), pa.int32()), pa.array(np.full(len(code), table), pa.int32()), pa.array(code), *(batch.column(i).take(at) for i in range(3))], _BUCKET_NAMES)
+
+
+def _indexed(plan: Plan):
     def run(batches):
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            dims = np.array([len(x) for x in lists], np.int64)
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                x = np.stack([np.asarray(lists[int(r)].values, np.float64) for r in rows])
-                unit = _unit(x)
-                packed = np.array([v.tobytes() for v in x], object)
+            for dim, rows, unit in _by_dim(batch, 1) if batch.num_rows else ():
+                hashes = plan.by_dim[dim][0]
                 for table in range(TABLES):
-                    a, b = _planes(int(dim), table)
-                    at = (unit @ a + b) / WIDTH
-                    cells = np.floor(at).astype(np.int64)
-                    if probes:
-                        low = at - cells
-                        cost = (np.where(_STEPS[None] < 0, low[:, None, :] ** 2, 0) + np.where(_STEPS[None] > 0, (1 - low[:, None, :]) ** 2, 0)).sum(2)
-                        best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-                        code = _code(cells[:, None, :] + _STEPS[best])
-                        who = np.repeat(np.arange(len(rows)), code.shape[1])
-                    else:
-                        code, who = _code(cells), np.arange(len(rows))
-                    flat = code.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), dim), pa.int32()), pa.array(np.full(len(flat), table), pa.int32()), pa.array(flat), pa.array(ids[rows][who], pa.int64()), pa.array(packed[who].tolist(), pa.binary())], ["dim", "table", "bucket", "id", "vec"])
+                    a, b = _planes(dim, table, hashes)
+                    yield _bucketed(batch, rows, np.arange(len(rows)), _code(np.floor((unit @ a + b) / WIDTH).astype(np.int64)), dim, table)
 
     return run
 
 
+def _visiting(plan: Plan, target: float, most: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for dim, rows, unit in _by_dim(part, 1):
+                    for table, (who, code) in enumerate(probes(unit, *plan.by_dim[dim], target, most)):
+                        yield _bucketed(part, rows, who, code, dim, table)
+
+    return run
+
+
+def fit(entries: DataFrame, k: int) -> Plan:
+    """The distance of k-th neighbours (of 9 in 10 rows) and the number of hashes for each vector length.
+
+    FIT_QUERIES entries per length, first by hash, meet all entries in one pass; the
+    work of each number of hashes is estimated on FIT_ROWS entries. Both are bounded.
+    """
+    lengths = [r.dim for r in entries.select("dim").distinct().limit(1000).collect()]
+    by_dim = {}
+    for dim in lengths:
+        chosen = entries.where(F.col("dim") == dim)
+        sample = _unit(_vectors([bytes(r.vec) for r in chosen.orderBy("key").select("vec").limit(FIT_ROWS).collect()]))
+        asked = sample[:FIT_QUERIES]
+
+        def near(batches, asked=asked):
+            best = np.full((len(asked), 1), -2.0)
+            for batch in batches:
+                if batch.num_rows:
+                    # ids counted with their entry, but not the asked vector itself
+                    sims = asked @ _unit(_vectors(batch.column(0).to_pylist())).T
+                    sims[sims > 1 - 1e-12] = -2.0
+                    best = np.concatenate((best, sims), 1)
+                    best = -np.partition(-best, min(k, best.shape[1]) - 1, axis=1)[:, :k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), best.shape[1])), pa.array(best.ravel())], ["q", "sim"])
+
+        found = chosen.select("vec").mapInArrow(near, "q long, sim double").where("sim > -2")
+        place = Window.partitionBy("q").orderBy(F.col("sim").desc())
+        kth = [r.sim for r in found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).groupBy("q").agg(F.min("sim").alias("sim")).collect()]
+        distance = math.sqrt(max(0.0, 2 - 2 * float(np.quantile(kth, 0.1)))) if kth else 1.4
+        by_dim[dim] = (_fewest_visits(sample, distance), distance)
+    return Plan(by_dim)
+
+
+def _fewest_visits(sample: np.ndarray, distance: float) -> int:
+    """The number of hashes with the least estimated work: rows visited, and buckets probed as if each cost a few rows."""
+    asked, best = sample[:32], (math.inf, HASHES[0])
+    for hashes in HASHES:
+        visits = probes(asked, hashes, distance, TARGET, MOST_PROBES + 1)
+        if max(np.bincount(visits[0][0])) > MOST_PROBES:
+            break  # the target is out of reach in that many buckets
+        share = 0.0
+        for table, (_, code) in enumerate(visits):
+            a, b = _planes(sample.shape[1], table, hashes)
+            codes, n = np.unique(_code(np.floor((sample @ a + b) / WIDTH).astype(np.int64)), return_counts=True)
+            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            share += n[at][codes[at] == code].sum() / len(sample)
+        best = min(best, (share / len(asked) + 1e-4 * len(visits[0][0]) / len(asked), hashes))
+    return best[1]
+
+
 def _first(*columns: np.ndarray) -> np.ndarray:
     """Whether a row of sorted columns differs from the one before."""
     out = np.ones(len(columns[0]), bool)
@@ -81,87 +204,119 @@ def _first(*columns: np.ndarray) -> np.ndarray:
 
 
 def _rank(k: int):
-    """The k best ids of a block for each visitor, each by the best of its rows."""
+    """The k best ids of a block for each visiting vector, each by the best of its vectors."""
 
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        none = pa.table({"key": pa.array([], pa.binary()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not queries.num_rows or not members.num_rows:
             return none
-
-        def loaded(t):
-            return t["id"].to_numpy(), _unit(np.stack([np.frombuffer(v, np.float64) for v in t["vec"].to_pylist()]))
-
-        (q_id, q), (m_id, m) = loaded(queries), loaded(members)
-        # equal vectors tie exactly: of each kind the k + 1 smallest ids are enough for any query
-        _, kind = np.unique(m, axis=0, return_inverse=True)
-        order = np.lexsort((m_id, kind))
-        order = order[_first(kind[order], m_id[order])]
-        sorted_kind = kind[order]
-        place = np.arange(len(order)) - np.searchsorted(sorted_kind, sorted_kind)
-        keep = order[place <= k]
-        keep = keep[np.argsort(m_id[keep], kind="stable")]
-        m_id, m = m_id[keep], m[keep]
-        starts = np.flatnonzero(_first(m_id))
-        sizes = np.diff(np.append(starts, len(m_id)))
+        key, q, m = queries["key"].to_pylist(), _unit(_vectors(queries["vec"].to_pylist())), _unit(_vectors(members["vec"].to_pylist()))
+        held = members["ids"].to_pylist()
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        ids, of = np.fromiter((i for x in held for i in x), np.int64, int(sizes.sum())), np.repeat(np.arange(len(held)), sizes)
+        order = np.argsort(ids, kind="stable")
+        ids, of = ids[order], of[order]
+        starts = np.flatnonzero(_first(ids))
+        rows = np.diff(np.append(starts, len(ids)))
         last = max(0, len(starts) - k)
         out_q, out_m = [], []
-        for at in range(0, len(q_id), 512):
-            sims = q[at : at + 512] @ m.T
-            sims[q_id[at : at + 512, None] == m_id[None, :]] = -np.inf
+        for at in range(0, len(q), 512):
+            sims = (q[at : at + 512] @ m.T)[:, of]
             best = np.maximum.reduceat(sims, starts, axis=1)  # of each id
             floor = np.partition(best, last, axis=1)[:, last]
-            least = np.maximum(np.repeat(best, sizes, axis=1), floor[:, None])
-            hit = np.nonzero((sims >= least - _SLACK) & np.isfinite(sims))
+            least = np.maximum(np.repeat(best, rows, axis=1), floor[:, None])
+            hit = np.nonzero(sims >= least - _SLACK)
             out_q.append(hit[0] + at)
             out_m.append(hit[1])
         at_q, at_m = np.concatenate(out_q), np.concatenate(out_m)
-        score = (q[at_q] * m[at_m]).sum(1)
-        # the best row of each id, then k ids for each query, ties by id
-        order = np.lexsort((-score, m_id[at_m], at_q))
-        order = order[_first(at_q[order], m_id[at_m[order]])]
-        order = order[np.lexsort((m_id[at_m[order]], -score[order], at_q[order]))]
-        at_q, at_m, score = at_q[order], at_m[order], score[order]
-        first = np.searchsorted(at_q, at_q)
-        take = np.arange(len(at_q)) - first < k
-        return pa.table({"query_id": q_id[at_q[take]], "vec_id": m_id[at_m[take]], "score": score[take]})
+        score, found = (q[at_q] * m[of[at_m]]).sum(1), ids[at_m]
+        # the best vector of each id, then k ids for each visitor, ties by id
+        order = np.lexsort((-score, found, at_q))
+        order = order[_first(at_q[order], found[order])]
+        order = order[np.lexsort((found[order], -score[order], at_q[order]))]
+        at_q, found, score = at_q[order], found[order], score[order]
+        take = np.arange(len(at_q)) - np.searchsorted(at_q, at_q) < k
+        return pa.table({"key": pa.array([key[i] for i in at_q[take]], pa.binary()), "vec_id": found[take], "score": score[take]})
 
     return run
 
 
-def _in_blocks(queries: DataFrame, members: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Each query against all members with its keys; large groups of members are cut into blocks."""
-    many = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS).select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
-    many = stored(many, "ann-large")
-    members = members.join(many, keys, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)).cast("long"))).drop("parts")
-    queries = queries.join(many, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumn("part", F.col("part").cast("long")).drop("parts")
-    found = queries.groupBy(*keys, "part").cogroup(members.groupBy(*keys, "part")).applyInArrow(_rank(k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def _in_blocks(visits: DataFrame, members: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(key, vec_id, score, rank): each visiting vector against all members with its keys; large groups are cut into blocks on both sides."""
 
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        many = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
+        return stored(many.select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias(name)), "ann-large")
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES) -> DataFrame:
+    m_parts, v_parts = parts(members, "mp"), parts(visits, "vp")
+    every = lambda name: F.sequence(F.lit(0), F.coalesce(name, F.lit(1)) - 1)
+    own = lambda name: F.pmod(F.xxhash64("key"), F.coalesce(name, F.lit(1)).cast("long")).cast("int")
+
+    def dealt(side: DataFrame, m, v) -> DataFrame:
+        return side.join(m_parts, keys, "left").join(v_parts, keys, "left").withColumn("m", m).withColumn("v", v).drop("mp", "vp")
+
+    members = dealt(members, own("mp"), F.explode(every("vp")))
+    visits = dealt(visits, F.explode(every("mp")), own("vp"))
+    found = visits.groupBy(*keys, "m", "v").cogroup(members.groupBy(*keys, "m", "v")).applyInArrow(_rank(k), "key binary, vec_id long, score double")
+    best = Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")
+    merged = found.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
+    return merged.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+
+
+def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET) -> DataFrame:
     """The k nearest found, by cosine, of every row whose id is divisible by ``every``.
 
     Returns query_id, rank, vec_id, score. Rows with a null id or a vector that is null,
     empty, zero or has null or non-finite parts take no part; only vectors of one
-    length are compared. Rows of one id are one candidate, scored by the best of
-    them, and never their own query's. A query that finds fewer than k in the
-    buckets visited is run against all rows, in blocks. Other columns are ignored.
+    length are compared, whatever that is. Rows of one id are one candidate, scored by
+    the best of them, and never their own query's; equal scores rank by id. Equal
+    vectors are hashed once, with their k + 1 smallest ids, which no query can exhaust.
+    A query that finds fewer than k goes on to further buckets, at last to all that
+    are occupied. Other columns are ignored, whatever their names. An empty table
+    gives an empty result.
     """
     x = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    ).distinct()
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
-    kind = "dim int, table int, bucket long, id long, vec binary"
-    members = stored(rows.mapInArrow(_hashed(0), kind), "ann-index")
-    visits = asked.mapInArrow(_hashed(probes), kind)
-    found = stored(_in_blocks(visits, members, ["dim", "table", "bucket"], k), "ann-found")
-    got = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    home = members.where("table = 0").select("dim", "id", "vec")
-    short = stored(home.where(F.pmod("id", F.lit(every)) == 0).join(got, F.col("id") == F.col("query_id"), "left_anti"), "ann-short")
-    if short.limit(1).count():
-        rest = _in_blocks(short, home, ["dim"], k)
-        found = found.join(got, "query_id", "left_semi").unionByName(rest)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    )
+
+    def pack(batches):
+        import hashlib
+
+        for batch in batches:
+            packed = [(np.asarray(v.values, np.float64) + 0.0).tobytes() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // 8 for p in packed], pa.int32()), pa.array([hashlib.blake2b(p, digest_size=16).digest() for p in packed], pa.binary()), pa.array(packed, pa.binary())], ["id", "dim", "key", "vec"])
+
+    asked_for = F.pmod("id", F.lit(every)) == 0
+    # the rank limit works before the shuffle too, so of equal vectors few rows travel
+    packed = rows.mapInArrow(pack, "id long, dim int, key binary, vec binary").dropDuplicates(["key", "id"])
+    few = Window.partitionBy("key").orderBy("id")
+    entries = packed.withColumn("place", F.row_number().over(few)).where(F.col("place") <= k + 1)
+    entries = stored(entries.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids")), "ann-entries")
+    askers = stored(rows.where(asked_for).mapInArrow(pack, "id long, dim int, key binary, vec binary").select(F.col("id").alias("query_id"), "key").distinct(), "ann-askers")
+    plan = fit(entries, k)
+    members = stored(entries.select("key", "vec", "ids").mapInArrow(_indexed(plan), _BUCKETS), "ann-index")
+    wanted = entries.join(askers.select("key").distinct(), "key", "left_semi").select("key", "vec", "ids", "dim")
+    found = None
+    for chance, most in ((target, MOST_PROBES), (1 - 1e-6, 4 * MOST_PROBES), (1.0, None)):
+        if most:
+            visits = wanted.select("key", "vec", "ids").mapInArrow(_visiting(plan, chance, most), _BUCKETS)
+            now = _in_blocks(visits, members, ["dim", "table", "bucket"], k + 1)
+        else:  # all occupied buckets of a table: few queries come so far
+            home = members.where("table = 0")
+            now = _in_blocks(wanted.select("dim", "key", "vec", "ids"), home.select("dim", "key", "vec", "ids"), ["dim"], k + 1)
+        now = stored(now, "ann-found")
+        enough = now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("key")
+        short = stored(wanted.join(enough, "key", "left_anti"), "ann-short") if most else None
+        if short is None or not short.limit(1).count():
+            found = now if found is None else found.unionByName(now)
+            break
+        done = now.join(enough, "key", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        wanted = short
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    mine = askers.join(found, "key").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = mine.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = stored(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "ann-result")
+    discard(entries, members)
+    return out
