@@ -24,12 +24,12 @@ dup AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY
 gaps AS (SELECT doc_id, least(8, pos - lag(pos, 1, -7) OVER (PARTITION BY doc_id ORDER BY pos)) AS fresh FROM dup),
 rep AS (SELECT doc_id, sum(fresh)::BIGINT AS n FROM gaps GROUP BY doc_id),
 c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(raw_lines) AS n_lines
       FROM g LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_symbols * 10 > n_words * 3 OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR n_dup_lines * 10 > 3 * n_lines) AS kept
+       NOT (base_failed OR n_symbols * 10 > n_words * 3 OR word_chars > 25 * n_words OR word_chars < 2 * n_words OR n_dup_lines * 10 > 3 * n_lines OR n_letters * 10 < word_chars * 6) AS kept
 FROM f
 """
 

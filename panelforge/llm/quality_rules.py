@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import BLANKS
+from panelforge.llm.common import BLANKS, discard, stored
 
-SAMPLE_ROWS = 500
+#: Rows on which costs and rejections are estimated (about so many, at random; twice that at most), and timed runs of each rule.
+SAMPLE_ROWS, RUNS = 1000, 3
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -31,6 +32,10 @@ def n_symbols(text: Column) -> Column:
     return (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long")
 
 
+def n_letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long")
+
+
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
@@ -69,36 +74,42 @@ RULES: dict[str, Callable[[Column], Column]] = {
     "symbols": lambda t: n_symbols(t) * 10 > n_words(t) * 3,
     "word_length": lambda t: (word_chars(t) > 25 * n_words(t)) | (word_chars(t) < 2 * n_words(t)),
     "dup_lines": lambda t: n_dup_lines(t) * 10 > 3 * F.size(F.split(t, "\n", -1)),
+    "letters": lambda t: n_letters(t) * 10 < word_chars(t) * 6,
     "repeat_words": lambda t: _let(words_of(t), lambda w: 100 * n_repeat_words(w) > 30 * F.size(w)),
 }
 
 
 def cascade_order(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[[Column], Column]] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names, most rejections per second first, by a bounded sample (``sample_rows``).
+    """Rule names, most rejections per second first, by a random sample of about ``sample_rows`` rows.
 
-    Each rule runs alone over the written-out sample; its cost is the time beyond
-    that of a scan. The sample settles only the order; the verdict of the cascade
-    is the same in any order.
+    Each rule runs alone over the written sample, once to compile and RUNS times for
+    its time; its cost is the shortest time beyond that of a bare scan. The sample
+    settles only the order; the verdict of the cascade is the same in any order. Equal
+    ranks go by name; without rows the rules stay as they are.
     """
     rules = rules or RULES
-    spark = docs.sparkSession
-    head = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).limit(sample_rows).collect()
-    sample = spark.createDataFrame(head, "t string").coalesce(1) if head else None
-    if sample is None:
+    rows = docs.count()
+    if not rows:
         return list(rules)
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    sample = stored(texts.sample(min(1.0, sample_rows / rows), 7).limit(2 * sample_rows).coalesce(1), "rule-sample")
 
     def timed(*exprs: Column):
-        began = time.perf_counter()
-        row = sample.agg(F.count(F.lit(1)), *exprs).first()
-        return time.perf_counter() - began, row
-
-    timed()
-    scan = min(timed()[0] for _ in range(2))
+        job = sample.agg(F.count(F.lit(1)), *exprs)
+        took = []
+        for _ in range(1 + RUNS):
+            began = time.perf_counter()
+            row = job.first()
+            took.append(time.perf_counter() - began)
+        return min(took[1:]), row
+
+    scan, (n,) = timed()
     rank = {}
     for name, rule in rules.items():
         took, row = timed(F.count_if(rule(F.col("t"))))
-        rank[name] = (row[1] + 0.5) / (len(head) + 1) / max(took - scan, 1e-4)
-    return sorted(rules, key=lambda n: (-rank[n], n))
+        rank[name] = (row[1] + 0.5) / (n + 1) / max(took - scan, 1e-3)
+    discard(sample)
+    return sorted(rules, key=lambda name: (-rank[name], name))
 
 
 def rejected_by(text: Column, order: list[str], rules: dict[str, Callable[[Column], Column]] | None = None) -> Column:
@@ -111,21 +122,30 @@ def rejected_by(text: Column, order: list[str], rules: dict[str, Callable[[Colum
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows that pass every rule, with their columns as they were. A null text counts as empty and is rejected."""
+    """Rows that pass every rule, with their columns as they were, whatever their names.
+
+    Rules run in the cascade's order, each only on what those before it let pass. A
+    null text counts as empty and is rejected, as is a blank one. A text of any length
+    is read whole. Repeated rows share one fate; an empty table gives an empty result.
+    """
     order = cascade_order(docs, text_col)
     return docs.where(rejected_by(F.coalesce(F.col(text_col), F.lit("")), order).isNull())
 
 
 def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's counts, base verdict and cascade verdict; other columns are ignored.
+    """Every row's counts, base verdict and cascade verdict; other columns are ignored, whatever their names.
 
-    A null text counts as empty: all counts 0, base_failed. Repeated rows each get a row.
+    The counts are part of the result, so rules on them cost nothing more here; the
+    others run in the cascade's order, on rows that no rule before has rejected. A null
+    text counts as empty: all counts 0, base_failed. A text of any length is read
+    whole. Repeated rows each get a row; ties cannot occur. An empty table gives an
+    empty result.
     """
-    order = [n for n in cascade_order(docs, text_col) if n not in ("few_words", "repeat_words")]
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    order = [n for n in cascade_order(base, "t") if n not in ("few_words", "repeat_words")]
     split = base.select("id", "t", words_of(F.col("t")).alias("w"))
     counted = split.select(
-        "id", F.size("w").cast("long").alias("n_words"), word_chars(F.col("t")).alias("word_chars"), n_symbols(F.col("t")).alias("n_symbols"),
+        "id", "t", F.size("w").cast("long").alias("n_words"), word_chars(F.col("t")).alias("word_chars"), n_symbols(F.col("t")).alias("n_symbols"),
         n_dup_lines(F.col("t")).alias("n_dup_lines"), n_repeat_words(F.col("w")).alias("n_repeat_words"), F.size(F.split("t", "\n", -1)).alias("n_lines"),
     )
     # the rules on columns already counted; the two of base_failed come first
@@ -133,6 +153,7 @@ def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "symbols": F.col("n_symbols") * 10 > F.col("n_words") * 3,
         "word_length": (F.col("word_chars") > 25 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words")),
         "dup_lines": F.col("n_dup_lines") * 10 > 3 * F.col("n_lines"),
+        "letters": n_letters(F.col("t")) * 10 < F.col("word_chars") * 6,
     }
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     verdict = rejected_by(F.lit(None), order, {k: lambda _, v=v: v for k, v in known.items()})
