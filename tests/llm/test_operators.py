@@ -139,14 +139,24 @@ def test_mixing(spark, odd):
 
 def test_token_scan(spark, tmp_path, odd):
     rng = random.Random(2)
-    lengths = [rng.choice([0, 1, 2, 9, 40]) for _ in range(200)]
-    flat = [t for n in lengths for t in [*([5] * n), token_files.END_ID]] + [5, 5]
-    cuts = [0, 17, 18, 400, len(flat)]
+    lengths = [rng.choice([0, 1, 2, 9, 40, 700]) for _ in range(200)]
+    # the end id is 0xC450: 0x5005 before 0x00C4 has its bytes across two tokens; 10 and 0x0A0A hold the byte that ranges are cut at
+    flat = [t for n in lengths for t in [*rng.choices([5, 10, 0x0A0A, 0x5005, 0x00C4, 0x50C4, 0xC4], k=n), token_files.END_ID]] + [5, 0x5005]
+    cuts = [0, 17, 18, 400, 400, len(flat)]
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         (tmp_path / f"part-{i:05d}-x").write_bytes(np.array(flat[a:b], "<u2").tobytes())
-    for block in (3, 64, 1 << 20):
-        got = token_files.scan_token_files(spark, str(tmp_path), block_tokens=block).orderBy("path", "ordinal").collect()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("61", "4096", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = token_files.scan_token_files(spark, str(tmp_path)).orderBy("path", "ordinal").collect()
         assert [r.n_tokens for r in got] == [*lengths, 2] and [r.closed for r in got] == [True] * 200 + [False]
+        assert [r.ordinal for r in got if r.path.endswith("00004-x")] == list(range(sum(r.path.endswith("00004-x") for r in got)))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert token_files.count_documents(odd.limit(0)).count() == 0
+    mixed = odd.select("doc_id", "text").repartition(3, "text")  # not a plain scan
+    assert token_files.count_documents(mixed).count() == len(ODD)
     encode = token_files._encoder(token_files.read_ranks(token_files.VOCABULARY)).encode_ordinary
     got = Counter((r.doc_id, r.n_tokens) for r in token_files.count_documents(odd).collect())
     assert got == Counter((i, len(encode(t or ""))) for i, t, _ in ODD)
