@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import default_partitions, stored
 
+#: The stacks with which ranges begin are broadcast while they hold so many rules in all; beyond, they are joined by a shuffle.
+BROADCAST_RULES = 100_000
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -54,10 +56,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """Every page's host, path, longest fitting rule (or null) and verdict.
 
     A rule fits its host and all subdomains where the path starts with the rule's;
-    the longest rule wins, of equal ones that of the longer host, then the first by
-    name. Null urls and urls without :// have empty host and path and get the
-    default. Repeated rows each get a row. Other columns are ignored. An empty table
-    gives an empty result; without rules all get the default.
+    the longest rule wins, of equal ones that of the longer host, then the greater
+    host, path and verdict by name ("block" before "allow"). Null urls and urls without
+    :// have empty host and path and get the default. A url of any length is read whole.
+    Repeated rows each get a row. Other columns are ignored, whatever their names. An
+    empty table gives an empty result; without rules all get the default.
     """
     spark = pages.sparkSession
     parts = default_partitions(spark)
@@ -75,7 +78,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     # one row for each partition
     carried = ranges.select("range", F.last("ends_with", True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     sweep = Window.partitionBy("range").orderBy("key", "is_page").rowsBetween(Window.unboundedPreceding, 0)
-    active = swept.join(F.broadcast(carried), "range").withColumn("active", F.coalesce(F.last("stack", True).over(sweep), F.col("carried")))
+    carried = stored(carried, "url-carried")
+    size = carried.agg(F.coalesce(F.sum(F.size("carried") + 1), F.lit(0))).first()[0]
+    active = swept.join(F.broadcast(carried) if size <= BROADCAST_RULES else carried, "range").withColumn("active", F.coalesce(F.last("stack", True).over(sweep), F.col("carried")))
     best = F.array_max(F.transform(F.filter(F.coalesce("active", F.array().cast(kind)), lambda r: F.col("path").startswith(r["path"])), lambda r: F.struct(r["size"].alias("size"), r["host_size"].alias("host_size"), r["host"].alias("host"), r["path"].alias("path"), r["verdict"].alias("verdict"))))
     judged = active.where("is_page = 1").withColumn("best", best)
     return judged.select(F.col("id").alias(id_col), "host", "path", F.concat(F.col("best.host"), F.col("best.path")).alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
