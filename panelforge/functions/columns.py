@@ -109,6 +109,38 @@ def human_bytes(n: float) -> str:
     return f"{n:.1f} TB"
 
 
+def human_money(c: Column) -> Column:
+    """$1.2B, $3.4M, $56K or $7: the largest unit that fits."""
+    size = F.abs(c)
+    text = lambda by, unit: F.concat(F.lit("$"), F.format_string("%.1f", c / by), F.lit(unit))
+    return F.when(size >= 1e9, text(1e9, "B")).when(size >= 1e6, text(1e6, "M")).when(size >= 1e3, F.concat(F.lit("$"), F.format_string("%.0f", c / 1e3), F.lit("K"))).otherwise(F.concat(F.lit("$"), F.format_string("%.0f", c)))
+
+
+def percent_text(c: Column, digits: int = 2) -> Column:
+    return F.concat(F.format_string(f"%+.{digits}f", c * 100), F.lit("%"))
+
+
+def clock_text(iso: Column) -> Column:
+    """HH:MM of an ISO time text; a dash where there is none."""
+    found = F.regexp_extract(iso, r"T(\d{2}:\d{2})", 1)
+    return F.when(iso.isNull() | (found == ""), "-").otherwise(found)
+
+
+def day_change(equity: Column, last: Column) -> Column:
+    """Relative change since the last close; 0 without a positive last value."""
+    return F.when(last > 0, equity / last - 1).otherwise(0.0)
+
+
+def time_or_now(c: Column) -> Column:
+    """A parsed time, or the current one where it does not parse."""
+    return F.coalesce(parse_time(c), F.current_timestamp())
+
+
 def staleness_band(minutes: Column) -> Column:
     """Age of the last run: fresh to 35 minutes, late to 120, then stale; never without a run."""
     return F.when(minutes.isNull(), "never").when(minutes <= 35, "fresh").when(minutes <= 120, "late").otherwise("stale")
+
+
+def without_number(c: Column) -> Column:
+    """No number in it: how rows without a native label are told."""
+    return c.cast("string").try_cast("double").isNull()

@@ -34,26 +34,96 @@ def drawdowns(returns: DataFrame, key: str, order: str = "date", ret: str = "ret
     return curve.groupBy(key).agg((-F.min(F.col("wealth") / F.col("peak") - 1) + 0.0).alias("max_drawdown"))
 
 
+def value_ranks(df: DataFrame, column: str, sums: list[Column] | None = None, bins: int = 256) -> DataFrame:
+    """(value, n, before, sums): each distinct value, how often it occurs, and how many rows lie below it.
+
+    Equal values are added up first, in a shuffle with partial sums. Approximate
+    quantiles then cut the values into bins that are counted on their own; only one
+    total for each bin meets in one task. So no task sees all rows, whatever is tied.
+    """
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"), *(sums or []))
+    cuts = values.agg(F.percentile_approx("value", [i / bins for i in range(1, bins)], 10_000).alias("cuts")).first().cuts
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
+    binned = values.withColumn("vr_bin", F.size(F.filter(edges, lambda e: e < F.col("value"))))
+    totals = binned.groupBy("vr_bin").agg(F.sum("n").alias("vr_n"))
+    under = totals.withColumn("vr_under", F.coalesce(F.sum("vr_n").over(Window.orderBy("vr_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("vr_n")  # one row a bin
+    here = F.coalesce(F.sum("n").over(Window.partitionBy("vr_bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = binned.withColumn("vr_here", here).join(F.broadcast(under), "vr_bin")  # one row a bin
+    return ranked.withColumn("before", F.col("vr_here") + F.col("vr_under")).drop("vr_bin", "vr_here", "vr_under")
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
+    """Interpolated quantiles of all rows, without a task that holds them all."""
+    ranks = value_ranks(df, column)
+    total = df.where(F.col(column).isNotNull()).count()
+    if not total:
+        return [None] * len(probs)
+    at = [p * (total - 1) for p in probs]
+    low, high = [math.floor(x) for x in at], [math.ceil(x) for x in at]
+    found = ranks.agg(*[F.max(F.when((F.col("before") <= k) & (F.col("before") + F.col("n") > k), F.col("value"))).alias(f"k{k}") for k in sorted({*low, *high})]).first().asDict()
+    return [found[f"k{a}"] + (found[f"k{b}"] - found[f"k{a}"]) * (x - a) for x, a, b in zip(at, low, high, strict=True)]
+
+
 def auc(df: DataFrame, score: str, label: str, part: list[str] | None = None, least: int = 1) -> DataFrame:
     """Exact AUC by average ranks, for each group with both labels and ``least`` rows."""
-    part = part or []
-    ranked = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("r", average_rank(F.col(score), part))
-    pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    out = ranked.groupBy(*part).agg(pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("r"))) - pos * (pos + 1) / 2.0, (pos * neg).cast("double")).alias("auc"))
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    if part:
+        ranked = rows.withColumn("r", average_rank(F.col(score), part))
+        pos, neg, above = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0), F.sum(F.when(F.col(label) == 1, F.col("r")))
+        counted = ranked.groupBy(*part)
+    else:
+        ranked = value_ranks(rows, score, [F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")])
+        pos, neg, above = F.sum("p"), F.sum("q"), F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2.0))
+        counted = ranked.groupBy()
+    out = counted.agg(pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(above - pos * (pos + 1) / 2.0, (pos * neg).cast("double")).alias("auc"))
     return out.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_pos") + F.col("n_neg") >= least))
 
 
 def spearman(df: DataFrame, pairs: list[tuple[str, str]], part: list[str] | None = None, least: int = 3) -> DataFrame:
-    """Rank correlation of each pair over rows where both are there, in long form."""
+    """Rank correlation of each pair over rows where both are there, in long form; null where a side has under three values."""
     part = part or []
     out = None
     for x, y in pairs:
-        both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("rx", average_rank(F.col(x), part)).withColumn("ry", average_rank(F.col(y), part))
-        one = both.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).where(F.col("n") >= least).select(*part, F.lit(x).alias("feature"), F.lit(y).alias("against"), "n", "rho")
+        both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        if part:
+            ranked = both.withColumn("rx", average_rank(F.col(x), part)).withColumn("ry", average_rank(F.col(y), part)).withColumn("c", F.lit(1))
+            distinct = [F.count_distinct(x), F.count_distinct(y)]
+        else:
+            # ranks belong to values, so equal pairs are added up and meet the ranks of their values
+            rank = (F.col("before") + (F.col("n") + 1) / 2.0)
+            rx = value_ranks(both, x).select(F.col("value").alias("vx"), rank.alias("rx"))
+            ry = value_ranks(both, y).select(F.col("value").alias("vy"), rank.alias("ry"))
+            counted = both.groupBy(F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy")).agg(F.count(F.lit(1)).alias("c"))
+            ranked = counted.join(rx, "vx").join(ry, "vy")
+            distinct = [F.count_distinct("vx"), F.count_distinct("vy")]
+        c, a, b = F.col("c"), F.col("rx"), F.col("ry")
+        n = F.sum(c)
+        cov = F.sum(c * a * b) - F.sum(c * a) * F.sum(c * b) / n
+        var = (F.sum(c * a * a) - F.sum(c * a) * F.sum(c * a) / n) * (F.sum(c * b * b) - F.sum(c * b) * F.sum(c * b) / n)
+        rho = F.when(F.least(*distinct) >= 3, F.try_divide(cov, F.sqrt(var)))
+        one = ranked.groupBy(*part).agg(n.alias("n"), rho.alias("rho")).where(F.col("n") >= least).select(*part, F.lit(x).alias("feature"), F.lit(y).alias("against"), "n", "rho")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def strongest(correlations: DataFrame, n: int) -> DataFrame:
+    """The n rows with the largest absolute correlation, ties by name."""
+    return correlations.where(F.col("rho").isNotNull()).orderBy(F.abs("rho").desc(), "feature").limit(n)
+
+
+def sign_flips(correlations: DataFrame, period: str, least: float = 0.02) -> DataFrame:
+    """Per feature: periods whose correlation is over the least in size, and whether both signs occur among them."""
+    strong = correlations.where(F.abs("rho") > least)
+    return strong.groupBy("feature").agg(F.count(F.lit(1)).alias("n_periods"), F.count_if(F.col("rho") > 0).alias("n_positive"), ((F.max("rho") > 0) & (F.min("rho") < 0)).alias("flips"))
+
+
+def top_precision(predictions: DataFrame, score: str, label: str, q: float = 0.9) -> DataFrame:
+    """One row: the exact q-quantile of all scores, the rows at or over it, and the share of label 1 among them."""
+    (cut,) = exact_quantiles(predictions, score, [q])
+    top = predictions.where(F.col(score) >= F.lit(cut))
+    return top.agg(F.lit(cut).cast("double").alias("cut"), F.count(F.lit(1)).alias("n_top"), F.avg(F.col(label).cast("double")).alias("precision"))
+
+
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
     """Counts, accuracy, and precision, recall and F1 of class 1, in one row."""
     tp, fp = F.count_if((F.col(label) == 1) & (F.col(pred) == 1)), F.count_if((F.col(label) == 0) & (F.col(pred) == 1))
@@ -110,8 +180,8 @@ def paired_statistics(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, mean difference, t, and Wilcoxon's positive rank sum with its tie sums."""
     diffs = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("d", F.col(a) - F.col(b))
     base = diffs.agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), t_of_mean(F.col("d")).alias("t_statistic"))
-    ranked = diffs.where("d <> 0").withColumn("r", average_rank(F.abs("d"), []))
-    ties = ranked.groupBy("r").agg(F.count(F.lit(1)).cast("double").alias("k"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("plus"))
+    sizes = diffs.where("d <> 0").select(F.abs("d").alias("size"), (F.col("d") > 0).alias("up"))
+    ties = value_ranks(sizes, "size", [F.count_if("up").alias("ups")]).select(F.col("n").cast("double").alias("k"), (F.col("ups") * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("plus"))
     signed = ties.agg(F.coalesce(F.sum("plus"), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum("k"), F.lit(0.0)).cast("long").alias("n_nonzero"), F.coalesce(F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")), F.lit(0.0)).alias("tie_sum"))
     return base.join(signed)
 
@@ -133,11 +203,26 @@ def ols_hac(y: np.ndarray, x: np.ndarray, lags: int = 3, least: int = 12) -> tup
     if len(y) < least:
         return None, None
     x = np.column_stack([np.ones(len(y)), x])
-    inv = np.linalg.inv(x.T @ x)
+    inv = np.linalg.pinv(x.T @ x)
     beta = inv @ x.T @ y
-    u = (y - x @ beta)[:, None] * x
-    s = u.T @ u
-    for lag in range(1, lags + 1):
-        g = u[lag:].T @ u[:-lag]
-        s += (1 - lag / (lags + 1)) * (g + g.T)
-    return float(beta[0]), float(beta[0] / math.sqrt((inv @ s @ inv)[0, 0]))
+    # each row's part in the intercept's error; its variance with weighted autocovariances
+    z = (y - x @ beta) * (x @ inv[0])
+    var = z @ z + 2 * sum((1 - lag / (lags + 1)) * (z[lag:] @ z[:-lag]) for lag in range(1, lags + 1))
+    return float(beta[0]), float(beta[0] / math.sqrt(var)) if var > 0 else None
+
+
+def alpha(returns: DataFrame, factors: DataFrame, key: str | None = None, ret: str = "ret", month: str = "month", names: tuple[str, ...] = ("mkt_rf", "smb", "hml"), lags: int = 3) -> DataFrame:
+    """(key, alpha, t, n): regression of monthly returns on factors, one small task for each key (strategy or permutation)."""
+    import pandas as pd
+
+    label = key or "alpha_key"
+    rows = returns.withColumn(label, F.lit(0)) if key is None else returns
+    joined = rows.where(F.col(ret).isNotNull()).join(factors, month).dropna(subset=list(names)).select(label, month, ret, *names)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(month, kind="stable")
+        a, t = ols_hac(pdf[ret].to_numpy(float), pdf[list(names)].to_numpy(float), lags)
+        return pd.DataFrame({label: [pdf[label].iloc[0]], "alpha": [a], "t": [t], "n": [len(pdf)]})
+
+    out = joined.groupBy(label).applyInPandas(run, f"{label} {dict(rows.dtypes)[label]}, alpha double, t double, n long")
+    return out.drop(label) if key is None else out

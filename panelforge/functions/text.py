@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,9 +100,11 @@ def symbols_cell(c: Column) -> Column:
 
 
 def python_literal(c: Column) -> Column:
-    """A Python dict literal as JSON text; rewrites None, True and False also inside strings."""
+    """A Python dict literal as JSON text; None, True and False stay as they are inside quotes."""
     for old, new in (("None", "null"), ("True", "true"), ("False", "false")):
-        c = F.regexp_replace(c, rf"\b{old}\b", new)
+        # what follows must hold only whole quoted strings; possessive, so long cells need no stack
+        rest = r"(?=(?:[^'\"]++|'(?:[^'\\]++|\\.)*+'|\"(?:[^\"\\]++|\\.)*+\")*+$)"
+        c = F.regexp_replace(c, rf"(?<=[\[{{:,(\s]){old}(?=\s*[,\]}})]){rest}", new)
     return c
 
 
@@ -119,6 +122,13 @@ def argmax_label(pos: Column, neg: Column, neu: Column) -> Column:
     return F.when((pos >= neg) & (pos >= neu), "positive").when(neg >= neu, "negative").otherwise("neutral")
 
 
+# Words that turn the next words' sense, words that strengthen or weaken it, and by how much.
+NEGATIONS = ["not", "no", "never", "none", "nobody", "nothing", "neither", "nor", "nowhere", "cannot", "can't", "don't", "doesn't", "didn't", "won't", "isn't", "aren't", "wasn't", "weren't", "without", "hardly", "rarely", "seldom"]
+STRONGER = ["very", "really", "extremely", "absolutely", "completely", "highly", "hugely", "incredibly", "so", "totally", "especially", "most", "more"]
+WEAKER = ["almost", "barely", "kinda", "less", "little", "marginally", "occasionally", "partly", "scarcely", "slightly", "somewhat"]
+BOOST, NEGATED, SHOUT, QUESTION = 0.293, -0.74, 0.292, 0.18
+NEAR = [1.0, 0.95, 0.9]  # what a booster one, two, three words ahead counts
+
 # A small finance lexicon; any table of (word, weight) can take its place.
 LEXICON = {"gain": 1.0, "gains": 1.0, "beat": 1.0, "strong": 1.0, "growth": 1.0, "up": 0.5, "moon": 1.5, "bullish": 1.5, "loss": -1.0, "losses": -1.0, "miss": -1.0, "weak": -1.0, "down": -0.5, "crash": -1.5, "bearish": -1.5, "fraud": -1.5}
 
@@ -131,6 +141,42 @@ def lexicon_scores(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame
     return scored.select(id_col, (F.col("x") / F.sqrt(F.col("x") * F.col("x") + 15)).alias("compound"))
 
 
+def compound_scores(df: DataFrame, text_col: str, lexicon: dict[str, float], out: str = "compound") -> DataFrame:
+    """df with a compound score in [-1, 1]: word weights with boosters, negation and punctuation.
+
+    A word counts its weight; a booster up to three words ahead adds or takes BOOST (less
+    the further it is); a negation there turns the sum; exclamation marks (four at most)
+    add SHOUT each and two or three question marks QUESTION each (0.96 from four on) in the
+    direction of the text's sum. The lexicon is a map in the plan, so it should stay in
+    the thousands of words; lexicon_scores takes a table of any size.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.filter(F.split(F.lower(text), r"[^a-z']+"), lambda w: w != "")
+    weights = F.create_map(*[F.lit(x) for kv in sorted(lexicon.items()) for x in kv])
+    any_of = lambda w, names: w.isin(*names)
+
+    def counted(ws: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            base = F.coalesce(F.try_element_at(weights, w), F.lit(0.0))
+            before = [F.coalesce(F.get(ws, i - d), F.lit("")) for d in (1, 2, 3)]
+            boost = sum((F.when(any_of(b, STRONGER), BOOST * near).when(any_of(b, WEAKER), -BOOST * near).otherwise(0.0) for b, near in zip(before, NEAR, strict=True)), F.lit(0.0))
+            strong = base + F.signum(base) * boost
+            return F.when(base == 0, 0.0).otherwise(F.when(any_of(before[0], NEGATIONS) | any_of(before[1], NEGATIONS) | any_of(before[2], NEGATIONS), strong * NEGATED).otherwise(strong))
+
+        return F.aggregate(F.transform(ws, one), F.lit(0.0), lambda a, x: a + x)
+
+    marks = lambda c: F.length(text) - F.length(F.translate(text, c, ""))
+    questions = F.when(marks("?") >= 4, 0.96).when(marks("?") >= 2, marks("?") * QUESTION).otherwise(0.0)
+    loud = F.least(marks("!"), F.lit(4)) * SHOUT + questions
+    scored = df.withColumn("cs_words", words).withColumn("cs_sum", counted(F.col("cs_words"))).withColumn("cs_sum", F.col("cs_sum") + F.signum("cs_sum") * loud)
+    return scored.withColumn(out, F.col("cs_sum") / F.sqrt(F.col("cs_sum") * F.col("cs_sum") + 15)).drop("cs_words", "cs_sum")
+
+
+def mentions_any(c: Column, terms: list[str]) -> Column:
+    """A cheap test before a costly parse: the text holds one of the terms as a word."""
+    return c.rlike("(?<![A-Za-z0-9])(" + "|".join(re.escape(t) for t in sorted(terms)) + ")(?![A-Za-z0-9])")
+
+
 def scorer_udf(load, batch: int = 32):
     """A pandas UDF around a pluggable model: load() gives texts -> (n, 3) logits, once for each worker. Blank texts are neutral."""
     import numpy as np

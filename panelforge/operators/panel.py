@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import columns as C
@@ -114,13 +114,101 @@ def quality_report(panel: DataFrame, ratio: str, date: str, low: str, high: str)
     return panel.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if((F.col(ratio) < 0) | (F.col(ratio) > 1)).alias("bad_ratio"), F.count_if((F.col(date) < F.lit(low).cast("date")) | (F.col(date) > F.lit(high).cast("date"))).alias("bad_date"))
 
 
+def hash_order(key: str, seed: int) -> Column:
+    """A fixed random order: md5 of seed and key."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def deterministic_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(hash_order(key, seed), key).limit(n)
 
 
-def permute_within(df: DataFrame, columns: list[str], key: str, group: str | None = None, seed: int = 42) -> DataFrame:
-    """Placebo: the columns dealt anew among the rows of each group (of the whole table, if none), by hash order."""
-    part = [group] if group else [F.lit(0)]
+def permute_within(df: DataFrame, columns: list[str], key: str, group: str | list[str], seed: int = 42) -> DataFrame:
+    """Placebo: the columns dealt anew among the rows of each group, by hash order."""
+    part = [group] if isinstance(group, str) else group
     rows = df.withColumn("p_row", F.row_number().over(Window.partitionBy(*part).orderBy(key)))
-    dealt = df.withColumn("p_row", F.row_number().over(Window.partitionBy(*part).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))).select(*([group] if group else []), "p_row", *columns)
-    return rows.drop(*columns).join(dealt, [*([group] if group else []), "p_row"]).drop("p_row")
+    dealt = df.withColumn("p_row", F.row_number().over(Window.partitionBy(*part).orderBy(hash_order(key, seed), key))).select(*part, "p_row", *columns)
+    return rows.drop(*columns).join(dealt, [*part, "p_row"]).drop("p_row")
+
+
+def permute_all(df: DataFrame, columns: list[str], key: str, seed: int = 42, prefix: int = 3) -> DataFrame:
+    """Placebo over the whole table: rows by key and rows by hash are numbered alike and joined.
+
+    Numbers are made without one task for all: hashes fall in 16 ** prefix even bins by
+    their first digits, keys are hashed too for their order, and only the bins'
+    totals meet in one place.
+    """
+    def numbered(order: Column, out: str) -> DataFrame:
+        binned = df.withColumn("pa_order", order).withColumn("pa_bin", F.substring("pa_order", 1, prefix))
+        totals = binned.groupBy("pa_bin").agg(F.count(F.lit(1)).alias("pa_n"))
+        under = totals.select("pa_bin", F.coalesce(F.sum("pa_n").over(Window.orderBy("pa_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("pa_under"))  # one row a bin
+        return binned.join(F.broadcast(under), "pa_bin").withColumn(out, F.col("pa_under") + F.row_number().over(Window.partitionBy("pa_bin").orderBy("pa_order", key))).drop("pa_bin", "pa_under", "pa_order")
+
+    rows = numbered(hash_order(key, seed), "p_row").drop(*columns)
+    dealt = numbered(hash_order(key, seed + 1), "p_row").select("p_row", *columns)
+    return rows.join(dealt, "p_row").drop("p_row")
+
+
+def join_monthly(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both panels by ticker and month."""
+    return left.join(right, ["ticker", "month"])
+
+
+def join_left(base: DataFrame, others: list[DataFrame], keys: list[str], zeros: list[str]) -> DataFrame:
+    """Every row of base with what each other has for its keys; missing counts are 0. Frames share the keys, so one partitioning serves all joins."""
+    joined = reduce(lambda a, b: a.join(b, keys, "left"), others, base)
+    return joined.fillna(0, subset=[z for z in zeros if z in joined.columns])
+
+
+def excess_targets(panel: DataFrame, benchmark: DataFrame, h: int) -> DataFrame:
+    """Return over h rows minus the benchmark's between the same two dates; target: whether it is positive.
+
+    benchmark: (date, close), one row a date. Rows without a close h rows on, or
+    without the benchmark's on either date, are left out.
+    """
+    w = S.by("ticker")
+    ahead = panel.withColumn("fwd_close", F.lead("close", h).over(w)).withColumn("fwd_date", F.lead("date", h).over(w)).where("fwd_close is not null and fwd_date is not null")
+    now = benchmark.select(F.col("date"), F.col("close").alias("bench_now"))
+    then = benchmark.select(F.col("date").alias("fwd_date"), F.col("close").alias("bench_fwd"))
+    both = ahead.join(now, "date", "left").join(then, "fwd_date", "left").where("bench_now is not null and bench_fwd is not null")
+    own, bench = F.try_divide("fwd_close", "close") - 1, F.try_divide("bench_fwd", "bench_now") - 1
+    return both.withColumn("ret_ticker", own).withColumn("ret_bench", bench).withColumn("excess", own - bench).withColumn("target", (own > bench).cast("int"))
+
+
+def verify_targets(official: DataFrame, closes: DataFrame, h: int = 1) -> DataFrame:
+    """One row: how many targets there are and how many a second way contradicts.
+
+    The second way numbers each ticker's bars and joins bar k to bar k + h.
+    """
+    numbered = closes.select("ticker", "date", "close", F.row_number().over(S.by("ticker")).alias("k"))
+    later = numbered.select("ticker", (F.col("k") - h).alias("k"), F.col("close").alias("later"))
+    again = numbered.join(later, ["ticker", "k"]).select("ticker", "date", (F.col("later") > F.col("close")).cast("int").alias("again"))
+    both = official.select("ticker", "date", "target").join(again, ["ticker", "date"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("again").isNull() | (F.col("target") != F.col("again"))).alias("mismatches"))
+
+
+def rows_by_period(rows: DataFrame, date: str = "date") -> DataFrame:
+    """(period, name, n): counts by year, quarter, month and ticker in one pass."""
+    periods = F.array(
+        F.struct(F.lit("year").alias("period"), F.year(date).cast("string").alias("name")), F.struct(F.lit("quarter").alias("period"), F.concat(F.year(date).cast("string"), F.lit("Q"), F.quarter(date).cast("string")).alias("name")),
+        F.struct(F.lit("month").alias("period"), F.date_format(date, "yyyy-MM").alias("name")), F.struct(F.lit("ticker").alias("period"), F.col("ticker").alias("name")),
+    )
+    # one row for each ticker and day goes on, so the four-fold explode is small
+    days = rows.groupBy("ticker", date).agg(F.count(F.lit(1)).alias("c"))
+    return days.select("c", F.inline(periods)).groupBy("period", "name").agg(F.sum("c").alias("n"))
+
+
+def head_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
+def tail_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+
+
+def survivorship(universe: DataFrame, last_dates: DataFrame, end: str) -> DataFrame:
+    """One row of audit counts: tickers wanted, with and without prices, delisted before the end, and the survivors' share."""
+    marked = universe.select("ticker").join(last_dates, "ticker", "left")
+    gone = F.col("last_date") < F.lit(end).cast("date")
+    counted = marked.agg(F.count(F.lit(1)).alias("n_universe"), F.count_if(F.col("last_date").isNull()).alias("n_no_price"), F.count_if(gone).alias("n_delisted"), F.count_if(~gone).alias("n_survivors"))
+    return counted.withColumn("survivor_share", F.try_divide(F.col("n_survivors").cast("double"), F.col("n_survivors") + F.col("n_delisted")))

@@ -72,9 +72,9 @@ def plan_actions(positions: DataFrame, buys: DataFrame) -> DataFrame:
 def size_orders(actions: DataFrame, equity: float, buying_power: float, n_target: int, min_notional: float = 1.0) -> DataFrame:
     """Opens at min(equity / targets, buying power / opens); those under the minimum are skipped."""
     opens = actions.where("action = 'OPEN'")
-    n_open = actions.agg(F.greatest(F.count_if(F.col("action") == "OPEN"), F.lit(1)).alias("n_open"))
-    notional = F.least(F.lit(equity) / F.greatest(F.lit(n_target), F.lit(1)), F.lit(buying_power) / F.col("n_open"))
-    sized = opens.join(F.broadcast(n_open)).withColumn("notional", notional)  # one row
+    # at most as many as the buys that were selected
+    n_open = opens.count()
+    sized = opens.withColumn("notional", F.lit(min(equity / max(n_target, 1), buying_power / max(n_open, 1))))
     return sized.select("ticker", F.lit("BUY").alias("action"), "notional", F.when(F.col("notional") < min_notional, "skipped").otherwise("submitted").alias("status"))
 
 
@@ -87,40 +87,29 @@ def temporal_split(panel: DataFrame, test: float = 0.2, validation: float = 0.2)
     return panel.join(named, "date")
 
 
-def year_folds(first: int, test_years: list[int]) -> list[dict]:
-    """Expanding folds: train up to y-1, validate on y, test on y+1."""
-    return [{"train": (first, t - 2), "val": t - 1, "test": t} for t in test_years]
-
-
 def class_weight(panel: DataFrame, label: str = "target", slack: float = 0.05) -> DataFrame:
     """neg / pos where the classes differ by more than the slack, else 1; one row."""
     share = F.avg(F.col(label).cast("double"))
     return panel.agg(F.when(F.abs(share - 0.5) * 2 > slack, F.try_divide(F.count_if(F.col(label) == 0).cast("double"), F.count_if(F.col(label) == 1))).otherwise(1.0).alias("scale_pos_weight"))
 
 
-def train_trees(train: DataFrame, features: list[str], label: str = "target", rounds: int = 20, depth: int = 4, seed: int = 42, validation: str | None = None):
-    """Boosted trees on nullable features; the model gives featureImportances for the importance report."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+def verdict(precision: float, sharpe: float, trades: int, placebo: bool) -> bool:
+    """The pre-registered rule."""
+    return precision >= 0.55 and sharpe > 0.5 and trades >= 100 and not placebo
 
-    filled = train.fillna(0.0, subset=features)
-    trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed)
-    if validation:
-        trees = trees.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), trees]).fit(filled)
 
+def verdicts(results: DataFrame) -> DataFrame:
+    """results (name, precision, sharpe, trades, placebo) with the rule's outcome; null where a figure is missing."""
+    rule = (F.col("precision") >= 0.55) & (F.col("sharpe") > 0.5) & (F.col("trades") >= 100) & ~F.col("placebo")
+    return results.withColumn("success", rule)
 
-def walk_forward(panel: DataFrame, features: list[str], label: str = "target", first: float = 0.5, **params) -> DataFrame:
-    """Train once on the first share of dates, predict every later row: (ticker, date, label, proba, pred)."""
-    from pyspark.ml.functions import vector_to_array
 
-    split = temporal_split(panel, test=1 - first, validation=0.0)
-    model = train_trees(split.where("split <> 'test'"), features, label, **params)
-    scored = model.transform(split.where("split = 'test'").fillna(0.0, subset=features)).withColumn("proba", vector_to_array("probability")[1])
-    return scored.select("ticker", "date", label, "proba", (F.col("proba") >= 0.5).cast("int").alias("pred"))
+def best_model(results: DataFrame, metric: str = "auc_mean") -> DataFrame:
+    """The row with the largest metric, the first by name where several tie; rows without a metric do not count."""
+    return results.where(F.col(metric).isNotNull() & ~F.isnan(metric)).orderBy(F.col(metric).desc(), "name").limit(1)
 
 
-def verdict(precision: float, sharpe: float, trades: int, placebo: bool) -> bool:
-    """The pre-registered rule."""
-    return precision >= 0.55 and sharpe > 0.5 and trades >= 100 and not placebo
+def objectives(measured: DataFrame, accuracy: float = 0.55, sharpe: float = 1.0, drawdown: float = 0.15, p_value: float = 0.05) -> DataFrame:
+    """Which of the four objectives each strategy meets; a missing figure meets none."""
+    met = lambda c: F.coalesce(c, F.lit(False))
+    return measured.withColumn("met_accuracy", met(F.col("accuracy") > accuracy)).withColumn("met_sharpe", met(F.col("sharpe") > sharpe)).withColumn("met_drawdown", met(F.col("max_drawdown") < drawdown)).withColumn("met_p_value", met(F.col("p_value") < p_value))

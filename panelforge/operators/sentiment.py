@@ -24,9 +24,10 @@ def trading_calendar(days: DataFrame, dates: DataFrame, day: str = "date", date:
     return found.select(F.col("d").alias("date"), "trading_date")
 
 
-def on_trading_days(messages: DataFrame, days: DataFrame, date: str = "date") -> DataFrame:
-    """messages with trading_date; rows past the last trading day are dropped."""
-    calendar = trading_calendar(days, messages.select(F.col(date).alias("date")).distinct()).withColumnRenamed("date", "calendar_date")
+def on_trading_days(messages: DataFrame, days: DataFrame, date: str = "date", dates: DataFrame | None = None) -> DataFrame:
+    """messages with trading_date; rows past the last trading day are dropped. dates: their distinct dates, if they can be had for less than from the messages."""
+    dates = messages.select(F.col(date).alias("date")).distinct() if dates is None else dates
+    calendar = trading_calendar(days, dates).withColumnRenamed("date", "calendar_date")
     return messages.join(calendar, F.col(date) == F.col("calendar_date")).drop("calendar_date").where("trading_date is not null")
 
 
@@ -89,27 +90,63 @@ def cap_per_group(df: DataFrame, key: list[str], order: list[str], n: int) -> Da
     return df.withColumn("cap_row", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("cap_row") <= n).drop("cap_row")
 
 
-def greedy_cap(messages: DataFrame, cap: int, date: str = "date", key: str = "post_id", tickers: str = "tickers") -> DataFrame:
-    """Messages in key order, kept while any of their tickers is under the cap that day; a kept one counts for all its tickers.
+def greedy_cap(messages: DataFrame, cap: int, date: str = "date", key: str = "post_id", tickers: str = "tickers", order: list[str] | None = None, rounds: int = 50) -> DataFrame:
+    """Messages in order, kept while any of their tickers is under the cap that day; a kept one counts for all its tickers.
 
-    Counters never cross a date, so a date is a task: fine for days of millions of rows.
+    order: what makes up the order of arrival (file and row; the key, if none). A key
+    is kept once over all dates. Counters never cross a date, so a date is a task;
+    only keys on several dates tie dates together: a row whose key was kept further
+    ahead is barred and its date done again, until nothing changes. What is barred
+    only depends on rows further ahead, so that ends.
     """
     import pandas as pd
 
+    order = order or [key]
+    names = messages.columns
+    schema = messages.schema.add("gc_barred", "boolean")
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable").drop_duplicates(key)
+        pdf = pdf.sort_values(order, kind="stable")
         seen: dict[str, int] = {}
+        ids: set = set()
         keep = []
-        for names in pdf[tickers]:
-            names = list(names) if names is not None else []
-            ok = any(seen.get(t, 0) < cap for t in names)
+        for one, found, barred in zip(pdf[key], pdf[tickers], pdf["gc_barred"], strict=True):
+            found = list(found) if found is not None else []
+            ok = not barred and one not in ids and any(seen.get(t, 0) < cap for t in found)
             if ok:
-                for t in names:
+                ids.add(one)
+                for t in found:
                     seen[t] = seen.get(t, 0) + 1
             keep.append(ok)
         return pdf[keep]
 
-    return messages.groupBy(date).applyInPandas(run, messages.schema)
+    on_many = messages.groupBy(key).agg(F.count_distinct(date).alias("gc_dates")).where("gc_dates > 1").select(key)
+    rivals = messages.join(on_many, key, "left_semi").select(key, date, F.struct(*order).alias("gc_at"))
+    barred = None
+    for _ in range(rounds):
+        marked = messages.withColumn("gc_barred", F.lit(False)) if barred is None else messages.join(barred, [key, date], "left").withColumn("gc_barred", F.coalesce(F.struct(*order) > F.col("gc_after"), F.lit(False))).select(*names, "gc_barred")
+        kept = marked.groupBy(date).applyInPandas(run, schema).select(names)
+        if barred is None and not rivals.limit(1).count():
+            return kept
+        first = kept.join(on_many, key, "left_semi").groupBy(key).agg(F.min(F.struct(*order)).alias("gc_after"))
+        now = rivals.join(first, key).where(F.col("gc_at") > F.col("gc_after")).select(key, date, "gc_after").distinct()
+        now = now.checkpoint() if now.sparkSession.conf.get("spark.checkpoint.dir", None) else now.cache()
+        if barred is not None and not now.exceptAll(barred).limit(1).count() and not barred.exceptAll(now).limit(1).count():
+            return kept
+        barred = now
+    raise RuntimeError("keys tie too many dates together")
+
+
+def cap_resumed(messages: DataFrame, written: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """What a restarted run adds: counters start at what is already written, then the first rows of each group up to n.
+
+    Rows already written (by key and order) are not taken again.
+    """
+    had = written.groupBy(*key).agg(F.count(F.lit(1)).alias("cr_had"))
+    fresh = messages.join(written.select(*key, *order).distinct(), [*key, *order], "left_anti")
+    first = cap_per_group(fresh, key, order, n)
+    numbered = first.withColumn("cr_row", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).join(had, key, "left")
+    return numbered.where(F.col("cr_row") + F.coalesce("cr_had", F.lit(0)) <= n).drop("cr_row", "cr_had")
 
 
 def latest_row(df: DataFrame, key: str, order: str = "date") -> DataFrame:

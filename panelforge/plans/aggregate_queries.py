@@ -9,7 +9,7 @@ from panelforge.functions import columns as C
 from panelforge.operators import panel as P
 from panelforge.operators import portfolio as B
 from panelforge.operators import sentiment as S
-from panelforge.plans.fixtures import BARS, DAILY, DAILY_DOUBLES, MESSAGES, ORDER_MENTIONS, bars, messages, order_mentions, read
+from panelforge.plans.fixtures import BARS, DAILY, DAILY_DOUBLES, MESSAGES, ORDER_MENTIONS, bar_dates, bars, messages, order_mentions, read
 from panelforge.plans.registry import query
 
 _CAL = "cal AS (SELECT DISTINCT date FROM bars), rolled AS (SELECT om.* REPLACE ((SELECT min(cal.date) FROM cal WHERE cal.date >= om.date) AS date) FROM om)"
@@ -22,7 +22,9 @@ _CAL2 = "cal AS (SELECT DISTINCT date FROM bars), days AS (SELECT DISTINCT date
     [*DAILY_DOUBLES, "close", "bb_upper", "bb_middle", "bb_lower", "next_close"])
 def entry_daily_panel(spark, sf):
     price = bars(spark, sf)
-    scored = S.on_trading_days(S.mentions(order_mentions(spark, sf)), price.select("date").distinct()).drop("date").withColumnRenamed("trading_date", "date")
+    days = bar_dates(spark, sf)
+    dates = read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    scored = S.on_trading_days(S.mentions(order_mentions(spark, sf)), days, dates=dates).drop("date").withColumnRenamed("trading_date", "date")
     ind = P.with_target(P.bar_features(price)).select("ticker", "date", "close", "bb_upper", "bb_middle", "bb_lower", "next_close", "target")
     return S.daily_sentiment(scored, 1).join(ind, ["ticker", "date"])
 
@@ -52,9 +54,9 @@ def a5(spark, sf):
     return S.news_daily(messages(spark, sf), ["ticker", "date"])
 
 
-@query("a6_model_daily_after_dedup", f"WITH {MESSAGES}, once AS (SELECT *, row_number() OVER (PARTITION BY post_id % 5000 ORDER BY post_id) AS r FROM msgs) SELECT ticker, date, avg(prob_positive - prob_negative) AS net_sentiment_mean, avg(prob_negative) AS prob_neg_mean, count(*) AS msg_count FROM once WHERE r = 1 GROUP BY 1, 2", ["net_sentiment_mean", "prob_neg_mean"])
+@query("a6_model_daily_after_dedup", f"WITH {MESSAGES}, once AS (SELECT *, row_number() OVER (PARTITION BY post_id // 2 ORDER BY post_id) AS r FROM msgs) SELECT ticker, date, avg(prob_positive - prob_negative) AS net_sentiment_mean, avg(prob_negative) AS prob_neg_mean, count(*) AS msg_count FROM once WHERE r = 1 GROUP BY 1, 2", ["net_sentiment_mean", "prob_neg_mean"])
 def a6(spark, sf):
-    return S.model_daily(messages(spark, sf).withColumn("message_id", F.col("post_id") % 5000), ["ticker", "date"], ["post_id"])
+    return S.model_daily(messages(spark, sf).withColumn("message_id", F.floor(F.col("post_id") / 2)), ["ticker", "date"], ["post_id"])
 
 
 @query("a7_mention_statistics", f"WITH {MESSAGES}, d AS (SELECT ticker, date, count(*) AS n FROM msgs GROUP BY 1, 2) SELECT ticker, count(*) FILTER (WHERE n >= 60) AS days_ge, count(*) AS total_days, min(date) AS date_min, max(date) AS date_max, avg(n) AS avg_mentions, sum(n)::BIGINT AS total_mentions FROM d GROUP BY 1", ["avg_mentions"])
@@ -69,8 +71,8 @@ def a8(spark, sf):
 
 @query("a11_global_scalars", f"WITH {MESSAGES} SELECT count(DISTINCT ticker) AS tickers, min(date) AS date_min, max(date) AS date_max, avg(CAST(sentiment IS NULL AS INTEGER)) AS null_sentiment, avg(CAST(native_label IS NULL AS INTEGER)) AS null_native FROM msgs", ["null_sentiment", "null_native"])
 def a11(spark, sf):
-    m = messages(spark, sf)
-    return m.agg(F.count_distinct("ticker").alias("tickers"), F.min("date").alias("date_min"), F.max("date").alias("date_max")).join(P.null_ratios(m, ["sentiment", "native_label"]).toDF("null_sentiment", "null_native"))
+    null = lambda c: F.avg(F.col(c).isNull().cast("int"))
+    return messages(spark, sf).agg(F.count_distinct("ticker").alias("tickers"), F.min("date").alias("date_min"), F.max("date").alias("date_max"), null("sentiment").alias("null_sentiment"), null("native_label").alias("null_native"))
 
 
 @query("a12_volume_bins", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) FILTER (WHERE n < 10) AS low, count(*) FILTER (WHERE n BETWEEN 10 AND 12) AS mid, count(*) FILTER (WHERE n > 12) AS high, quantile_cont(n, 0.5)::DOUBLE AS median, (SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC LIMIT 20))::DOUBLE / sum(n)::DOUBLE AS top_share FROM c", ["median", "top_share"])
@@ -153,9 +155,8 @@ def g6(spark, sf):
 @query("j3_outer_fold", f"WITH {BARS}, {ORDER_MENTIONS}, a AS (SELECT ticker, date, count(*) AS n_posts FROM om GROUP BY 1, 2), b AS (SELECT ticker, date, avg(score) AS avg_score FROM om WHERE label = 'positive' GROUP BY 1, 2) SELECT ticker, date, close, coalesce(n_posts, 0) AS n_posts, avg_score FROM bars LEFT JOIN a USING (ticker, date) LEFT JOIN b USING (ticker, date)", ["close", "avg_score"])
 def j3(spark, sf):
     m = S.mentions(order_mentions(spark, sf))
-    a = m.groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("n_posts"))
-    b = m.where("label = 'positive'").groupBy("ticker", "date").agg(F.avg("score").alias("avg_score"))
-    return P.join_sources(bars(spark, sf), [a, b], ["ticker", "date"], "close").select("ticker", "date", "close", S.value_or_zero("n_posts").alias("n_posts"), "avg_score")
+    a = m.groupBy("ticker", "date").agg(F.count(F.lit(1)).alias("n_posts"), F.avg(F.when(F.col("label") == "positive", F.col("score"))).alias("avg_score"))
+    return P.join_sources(bars(spark, sf), [a], ["ticker", "date"], "close").select("ticker", "date", "close", S.value_or_zero("n_posts").alias("n_posts"), "avg_score")
 
 
 @query("j6_excess_return", f"WITH {BARS}, r AS (SELECT ticker, date, close, lead(close, 5) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS fwd FROM bars), b AS (SELECT date, fwd AS bench FROM r WHERE ticker = (SELECT min(n_name) FROM nation)) SELECT ticker, date, fwd, fwd - bench AS excess FROM r LEFT JOIN b USING (date)", ["fwd", "excess"])
@@ -167,9 +168,9 @@ def j6(spark, sf):
     return P.excess_over(r, r.join(F.broadcast(first), "ticker"), "fwd").select("ticker", "date", "fwd", "excess")  # one row
 
 
-@query("j9_w11_latest_join", f"WITH {BARS}, {ORDER_MENTIONS}, l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM bars), s AS (SELECT ticker, avg(prob_positive) AS pos FROM om WHERE date >= DATE '2001-01-01' GROUP BY 1) SELECT ticker, date, close, pos FROM l JOIN s USING (ticker) WHERE r = 1", ["close", "pos"])
+@query("j9_w11_latest_join", f"WITH {BARS}, {ORDER_MENTIONS}, l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS r FROM bars), s AS (SELECT ticker, avg(prob_positive) AS pos FROM om GROUP BY 1) SELECT ticker, date, close, pos FROM l JOIN s USING (ticker) WHERE r = 1", ["close", "pos"])
 def j9(spark, sf):
-    s = S.mentions(order_mentions(spark, sf)).where("date >= date'2001-01-01'").groupBy("ticker").agg(F.avg("prob_positive").alias("pos"))
+    s = S.mentions(order_mentions(spark, sf)).groupBy("ticker").agg(F.avg("prob_positive").alias("pos"))
     return S.latest_row(bars(spark, sf), "ticker").join(s, "ticker").select("ticker", "date", "close", "pos")
 
 
@@ -191,12 +192,10 @@ def j13(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", "o_orderstatus").join(sel, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
 
 
-@query("j15_verify_target", f"WITH {BARS}, t AS (SELECT ticker, date, close, lead(close) OVER (PARTITION BY ticker ORDER BY date) AS nx FROM bars) SELECT count(*) AS n, 0::BIGINT AS mismatches FROM t WHERE nx IS NOT NULL")
+@query("j15_verify_target", f"WITH {BARS}, n AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k, lead(close) OVER (PARTITION BY ticker ORDER BY date) AS nx FROM bars) SELECT count(*) AS n, count(*) FILTER (WHERE (a.nx > a.close) IS DISTINCT FROM (b.close > a.close)) AS mismatches FROM n a LEFT JOIN n b ON a.ticker = b.ticker AND b.k = a.k + 1 WHERE a.nx IS NOT NULL")
 def j15(spark, sf):
-    t = P.with_target(bars(spark, sf))
-    w = Window.partitionBy("ticker").orderBy("date")
-    again = bars(spark, sf).withColumn("again", (F.lead("close").over(w) - F.col("close") > 0).cast("int")).select("ticker", "date", "again")
-    return t.join(again, ["ticker", "date"]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target") != F.col("again")).alias("mismatches"))
+    b = bars(spark, sf)
+    return P.verify_targets(P.with_target(b), b)
 
 
 @query("p5_date_range", "SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01'")
@@ -298,6 +297,12 @@ def b7(spark, sf):
     return B.size_orders(u5(spark, sf), 100_000.0, 50_000.0, 13)
 
 
-@query("h4_greedy_cap")
+_H4 = f"""WITH RECURSIVE {ORDER_MENTIONS}, t AS (SELECT n_name AS ticker, row_number() OVER (ORDER BY n_name) AS i FROM nation), p AS (SELECT post_id, date, list_sort(list(t.i)) AS ts FROM om JOIN t USING (ticker) GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY post_id) AS k FROM p),
+ e AS (SELECT date, 0::BIGINT AS k, NULL::BIGINT AS post_id, list_transform(range(1, 26), lambda i: 0) AS seen, false AS kept FROM (SELECT DISTINCT date FROM o)
+  UNION ALL SELECT o.date, o.k, o.post_id, CASE WHEN len(list_filter(o.ts, lambda i: e.seen[i] < 4)) > 0 THEN list_transform(range(1, 26), lambda i: e.seen[i] + CAST(list_contains(o.ts, i) AS INTEGER)) ELSE e.seen END, len(list_filter(o.ts, lambda i: e.seen[i] < 4)) > 0 FROM e JOIN o ON o.date = e.date AND o.k = e.k + 1)
+ SELECT post_id, date FROM e WHERE kept"""
+
+
+@query("h4_greedy_cap", _H4)
 def h4(spark, sf):
-    return S.greedy_cap(order_mentions(spark, sf).select("post_id", "date", "tickers"), 4)
+    return S.greedy_cap(order_mentions(spark, sf).select("post_id", "date", "tickers"), 4).select("post_id", "date")

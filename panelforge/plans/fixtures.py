@@ -36,6 +36,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("n_name").alias("ticker"), "date").agg((F.floor(price.cast("double") / volume.cast("double") * 10000).cast("double") / 10000).alias("close"), volume.cast("double").alias("volume"))
 
 
+def bar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of bars, from one column: every line has a supplier in a nation."""
+    return read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")).where(F.weekday("date") < 5).distinct()
+
+
 BARS = """bars AS (SELECT n_name AS ticker, CAST(l_shipdate AS DATE) AS date, floor(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) * 10000) / 10000::DOUBLE AS close,
  CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE isodow(l_shipdate) < 6 GROUP BY 1, 2)"""
 

@@ -31,11 +31,11 @@ def f3(spark, sf):
     return read(spark, sf, "nation").select("n_nationkey", C.clean_symbols(F.array(F.concat(F.lit(" $"), "n_name", F.lit(" ")), F.lit("ABC"), F.lit("9X"))).alias("symbols"))
 
 
-@query("f4_p16_input_text", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN source ELSE source || '. ' || trim(substr(text, 1, 40)) END AS input FROM documents WHERE length(trim(substr(text, 1, 40))) > 0")
+@query("f4_p16_input_text", "WITH d AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN '[removed]' WHEN 1 THEN '  ' ELSE coalesce(text, '') END AS body FROM documents) SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR length(trim(body)) = 0 THEN source ELSE source || '. ' || trim(body) END AS input FROM d")
 def f4(spark, sf):
-    d = read(spark, sf, "documents").where(F.length(F.trim(F.substring("text", 1, 40))) > 0)
-    body = T.drop_markers(F.when(F.col("doc_id") % 4 == 0, "[removed]").otherwise(F.substring("text", 1, 40)))
-    return d.select("doc_id", T.input_text(F.col("source"), body).alias("input"))
+    k = F.col("doc_id")
+    body = F.when(k % 4 == 0, "[removed]").when(k % 4 == 1, "  ").otherwise(F.coalesce("text", F.lit("")))
+    return read(spark, sf, "documents").select("doc_id", T.input_text(F.col("source"), T.drop_markers(body)).alias("input"))
 
 
 _CLEAN = "text"
@@ -71,13 +71,13 @@ def f10(spark, sf):
     return read(spark, sf, "nation").select("n_nationkey", T.symbols_cell(cell).alias("symbols"))
 
 
-@query("f12_f13_f14_json", "SELECT event_id, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 'Bullish' END AS native, (event_id % 9)::INTEGER AS likes, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+@query("f12_f13_f14_json", "SELECT event_id, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 'Bullish' END AS native, (event_id % 9)::INTEGER AS likes, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'is None, or True, it is' AS body, true AS ok FROM events")
 def f12(spark, sf):
     e = F.col("event_id")
-    cell = F.concat(F.lit("{'symbols': [{'symbol': '"), "event_type", F.lit("'}], 'entities': {'sentiment': "), F.when(e % 2 == 0, "{'basic': 'Bullish'}").otherwise("None"), F.lit("}, 'likes': {'total': "), (e % 9).cast("string"), F.lit("}, 'ok': True}"))
-    parsed = F.from_json(T.python_literal(cell), "symbols array<struct<symbol:string>>, entities struct<sentiment:struct<basic:string>>, likes struct<total:int>, ok boolean")
+    cell = F.concat(F.lit("{'symbols': [{'symbol': '"), "event_type", F.lit("'}], 'entities': {'sentiment': "), F.when(e % 2 == 0, "{'basic': 'Bullish'}").otherwise("None"), F.lit("}, 'likes': {'total': "), (e % 9).cast("string"), F.lit("}, 'body': 'is None, or True, it is', 'ok': True}"))
+    parsed = F.from_json(T.python_literal(cell), "symbols array<struct<symbol:string>>, entities struct<sentiment:struct<basic:string>>, likes struct<total:int>, body string, ok boolean")
     rows = read(spark, sf, "events").select("event_id", parsed.alias("m"), F.from_json("props", "k int").alias("p"))
-    return rows.select("event_id", F.get("m.symbols", F.lit(0))["symbol"].alias("symbol"), F.col("m.entities.sentiment.basic").alias("native"), F.col("m.likes.total").alias("likes"), F.col("p.k").alias("k"))
+    return rows.select("event_id", F.get("m.symbols", F.lit(0))["symbol"].alias("symbol"), F.col("m.entities.sentiment.basic").alias("native"), F.col("m.likes.total").alias("likes"), F.col("p.k").alias("k"), F.col("m.body").alias("body"), F.col("m.ok").alias("ok"))
 
 
 @query("f15_native_label", f"WITH {MESSAGES} SELECT post_id, CASE post_id % 4 WHEN 0 THEN 'Bullish' WHEN 1 THEN 'Bearish' WHEN 2 THEN 'Bullish' END AS label FROM msgs")
@@ -126,9 +126,10 @@ def _flat_model():
     return lambda texts: [[float(len(t) % 5), 1.0, 0.5] for t in texts]
 
 
-@query("x2_f19_batched_scorer", "WITH x AS (SELECT doc_id, exp((length(text) % 5)::DOUBLE) AS a, exp(1.0::DOUBLE) AS b, exp(0.5::DOUBLE) AS c FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '') SELECT doc_id, a / (a + b + c) AS pos, b / (a + b + c) AS neg, c / (a + b + c) AS neu FROM x", ["pos", "neg", "neu"])
+@query("x2_f19_batched_scorer", "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS text FROM documents), x AS (SELECT doc_id, coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') = '' AS blank, exp((length(text) % 5)::DOUBLE) AS a, exp(1.0::DOUBLE) AS b, exp(0.5::DOUBLE) AS c FROM d) SELECT doc_id, CASE WHEN blank THEN 0 ELSE a / (a + b + c) END AS pos, CASE WHEN blank THEN 0 ELSE b / (a + b + c) END AS neg, CASE WHEN blank THEN 1 ELSE c / (a + b + c) END AS neu FROM x", ["pos", "neg", "neu"])
 def x2(spark, sf):
-    scored = read(spark, sf, "documents").where(~C.is_blank(F.col("text"))).withColumn("s", T.scorer_udf(_flat_model)(F.col("text")))
+    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")).alias("text"))
+    scored = d.withColumn("s", T.scorer_udf(_flat_model)(F.col("text")))
     return scored.select("doc_id", F.col("s.prob_positive").alias("pos"), F.col("s.prob_negative").alias("neg"), F.col("s.prob_neutral").alias("neu"))
 
 

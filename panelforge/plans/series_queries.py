@@ -64,10 +64,9 @@ def w11(spark, sf):
  m AS (SELECT *, f - s AS line FROM e),
  g AS (SELECT ticker, k, line AS sig FROM m WHERE k = 26 UNION ALL SELECT m.ticker, m.k, g.sig * 0.8::DOUBLE + m.line * 0.2::DOUBLE FROM g JOIN m ON m.ticker = g.ticker AND m.k = g.k + 1)
  SELECT o.ticker, o.date, o.close, CASE WHEN m.k >= 14 THEN CASE WHEN v = 0 THEN 100 ELSE 100 - 100 / (1 + u / v) END END AS rsi, CASE WHEN m.k >= 26 THEN line END AS macd, CASE WHEN m.k >= 34 THEN sig END AS macd_signal, CASE WHEN m.k >= 34 THEN line - sig END AS macd_hist
- FROM o JOIN m ON o.ticker = m.ticker AND o.k = m.k LEFT JOIN g ON g.ticker = m.ticker AND g.k = m.k WHERE o.ticker < 'F'""", ["close", "rsi", "macd", "macd_signal", "macd_hist"])
+ FROM o JOIN m ON o.ticker = m.ticker AND o.k = m.k LEFT JOIN g ON g.ticker = m.ticker AND g.k = m.k""", ["close", "rsi", "macd", "macd_signal", "macd_hist"])
 def w12(spark, sf):
-    b = bars(spark, sf).where("ticker < 'F'").drop("volume")
-    return S.with_momentum(b)
+    return S.with_momentum(bars(spark, sf).drop("volume"))
 
 
 @query("w12_ema_fold", f"WITH RECURSIVE {BARS}, a AS (SELECT ticker, strftime(date, '%Y-%m') AS month, avg(close) AS x FROM bars GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY month) AS k FROM a), e AS (SELECT ticker, k, x AS ema FROM o WHERE k = 1 UNION ALL SELECT o.ticker, o.k, e.ema * 0.75::DOUBLE + o.x * 0.25::DOUBLE FROM e JOIN o ON o.ticker = e.ticker AND o.k = e.k + 1) SELECT ticker, k::INTEGER AS k, ema FROM e", ["ema"])

@@ -8,6 +8,7 @@ from panelforge.functions import series as S
 from panelforge.functions import stats as T
 from panelforge.operators import panel as P
 from panelforge.operators import portfolio as B
+from panelforge.operators import training as L
 from panelforge.plans.fixtures import BARS, bars, read
 from panelforge.plans.registry import query
 
@@ -49,10 +50,11 @@ def t6(spark, sf):
     return T.spearman(_panel(spark, sf), [("past", "ret")])
 
 
-@query("t7_pearson_sign_flip", f"WITH {_PANEL} SELECT corr(past, ret) FILTER (WHERE date < DATE '1999-01-01') AS train_rho, corr(past, ret) FILTER (WHERE date >= DATE '1999-01-01') AS test_rho FROM panel", ["train_rho", "test_rho"])
+@query("t7_pearson_sign_flip", f"WITH {_PANEL}, rho AS (SELECT corr(past, ret) FILTER (WHERE date < DATE '1999-01-01') AS train_rho, corr(past, ret) FILTER (WHERE date >= DATE '1999-01-01') AS test_rho FROM panel) SELECT *, sign(train_rho) <> sign(test_rho) AS flips FROM rho", ["train_rho", "test_rho"])
 def t7(spark, sf):
     early = F.col("date") < F.lit("1999-01-01").cast("date")
-    return _panel(spark, sf).agg(F.corr(F.when(early, F.col("past")), F.when(early, F.col("ret"))).alias("train_rho"), F.corr(F.when(~early, F.col("past")), F.when(~early, F.col("ret"))).alias("test_rho"))
+    both = _panel(spark, sf).agg(F.corr(F.when(early, F.col("past")), F.when(early, F.col("ret"))).alias("train_rho"), F.corr(F.when(~early, F.col("past")), F.when(~early, F.col("ret"))).alias("test_rho"))
+    return both.withColumn("flips", F.signum("train_rho") != F.signum("test_rho"))
 
 
 @query("t8_t_of_mean", f"WITH {_PANEL} SELECT ticker, avg(ret) / (stddev_samp(ret) / sqrt(count(ret))) AS t FROM panel GROUP BY 1", ["t"])
@@ -106,16 +108,22 @@ def m3(spark, sf):
 
 @query("m4_m6_m7_walk_forward")
 def m7(spark, sf):
-    p = P.bar_features(_panel(spark, sf).drop("ret")).withColumn("target", (F.col("return_5d_forward") > 0).cast("int")).where("target is not null")
-    return B.walk_forward(p, ["bb_width", "bb_pct", "volatility_20d", "volume_ratio", "past"], rounds=5, depth=3)
+    p = P.bar_features(_panel(spark, sf).drop("ret")).withColumn("target", (F.col("return_5d_forward") > 0).cast("int")).where("return_5d_forward is not null")
+    return L.walk_forward(p, ["bb_width", "bb_pct", "volatility_20d", "volume_ratio", "past"], rounds=5, depth=3)
 
 
-@query("m12_placebo_permutation")
+@query("m7_walk_forward_rates", f"WITH {_PANEL}, d AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)), x AS (SELECT ticker, date, CAST(ret > 0 AS INTEGER) AS target, k <= floor(n * 0.5) AS early FROM panel JOIN d USING (date)), rates AS (SELECT ticker, avg(target) AS rate FROM x WHERE early GROUP BY 1) SELECT ticker, date, target, coalesce(rate, 0.5) AS proba, CAST(coalesce(rate, 0.5) >= 0.5 AS INTEGER) AS pred FROM x LEFT JOIN rates USING (ticker) WHERE NOT early", ["proba"])
+def m7_rates(spark, sf):
+    p = _panel(spark, sf).withColumn("target", (F.col("ret") > 0).cast("int"))
+    return L.walk_forward(p, [], fit=L.group_rates("ticker"))
+
+
+@query("m12_placebo_permutation", "WITH e AS (SELECT event_id, CAST(ts AS DATE) AS date, value FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY event_id) AS i, row_number() OVER (PARTITION BY date ORDER BY md5('42:' || event_id), event_id) AS j FROM e) SELECT x.event_id, x.date, y.value FROM a x JOIN a y ON x.date = y.date AND x.i = y.j", ["value"])
 def m12(spark, sf):
     rows = read(spark, sf, "events").select("event_id", F.col("ts").cast("date").alias("date"), "value")
     return P.permute_within(rows, ["value"], "event_id", "date")
 
 
-@query("m13_sample")
+@query("m13_sample", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 200")
 def m13(spark, sf):
     return P.deterministic_sample(read(spark, sf, "orders"), "o_orderkey", 200).select("o_orderkey")

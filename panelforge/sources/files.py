@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
+import time
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import StructType
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, nulls as empty strings."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False).na.fill("")
+def read_text_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """All columns as text, nulls as empty strings. With multiline quoted cells may hold line ends, at the price of one task a file."""
+    return spark.read.csv(path, header=True, multiLine=multiline, escape='"', inferSchema=False).na.fill("")
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: str | StructType, columns: list[str] | None = None) -> DataFrame:
@@ -25,7 +28,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     """By suffix: csv, json, jsonl, parquet."""
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix == "csv":
-        return read_text_csv(spark, path)
+        return read_text_csv(spark, path, multiline=True)
     if suffix in ("json", "jsonl", "ndjson"):
         return spark.read.json(path, multiLine=suffix == "json")
     if suffix == "parquet":
@@ -44,18 +47,30 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(StructType.fromDDL(schema)).json(path, multiLine=True, mode="DROPMALFORMED")
 
 
+def _files(spark: SparkSession, path: str):
+    """The store of a path, and how to name paths in it."""
+    named = spark._jvm.org.apache.hadoop.fs.Path
+    return named(path).getFileSystem(spark._jsc.hadoopConfiguration()), named
+
+
 def swap_parquet(df: DataFrame, path: str) -> None:
-    """Write beside the target, then rename, so readers see the old or the new table."""
+    """Write beside the target, then swap by two renames; the old table goes last, and comes back if the second rename fails.
+
+    A reader that lists the folder between the renames finds none; it never finds half a table.
+    """
     spark = df.sparkSession
-    staging = f"{path}__staging"
+    staging, old = f"{path}__staging", f"{path}__old"
     df.write.mode("overwrite").parquet(staging)
-    jvm = spark._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(fs_path(path)):
-        fs.delete(fs_path(path), True)
-    if not fs.rename(fs_path(staging), fs_path(path)):
+    fs, named = _files(spark, path)
+    fs.delete(named(old), True)
+    had = fs.exists(named(path))
+    if had and not fs.rename(named(path), named(old)):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(named(staging), named(path)):
+        if had:
+            fs.rename(named(old), named(path))
         raise OSError(f"cannot rename {staging}")
+    fs.delete(named(old), True)
 
 
 def write_by_year(df: DataFrame, path: str, date: str = "date") -> None:
@@ -65,19 +80,99 @@ def write_by_year(df: DataFrame, path: str, date: str = "date") -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key is not in the store yet."""
+    """Append rows whose key is not in the store yet; a null key counts as one more key."""
     spark = df.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    if fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(path)):
-        df = df.join(spark.read.parquet(path).select(key), key, "left_anti")
-    df.dropDuplicates([key]).write.mode("append").parquet(path)
+    fs, named = _files(spark, path)
+    fresh = df.dropDuplicates([key])
+    if fs.exists(named(path)):
+        have = spark.read.parquet(path).select(F.col(key).alias("an_key")).distinct()
+        fresh = fresh.join(have, F.col(key).eqNullSafe(F.col("an_key")), "left_anti")
+    fresh.write.mode("append").parquet(path)
+
+
+def write_plain(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """CSV with a header, or Parquet, as many files as there are partitions."""
+    writer = df.write.mode(mode)
+    writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file in any store, by way of a name beside it, so readers see it whole."""
+    fs, named = _files(spark, path)
+    fs.mkdirs(named(path).getParent())
+    out = fs.create(named(f"{path}.tmp"), True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(named(path), False)
+    if not fs.rename(named(f"{path}.tmp"), named(path)):
+        raise OSError(f"cannot write {path}")
+
+
+def write_json_document(spark: SparkSession, path: str, document: dict) -> None:
+    """A finished report, indented; values that JSON does not know become text."""
+    write_text(spark, path, json.dumps(document, indent=2, default=str, ensure_ascii=False))
+
+
+def markdown_table(rows: list, columns: list[str], digits: int = 4) -> str:
+    """A report's table from a few collected rows; missing values are a dash."""
+
+    def cell(v) -> str:
+        return "-" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+
+    lines = [columns, ["---"] * len(columns), *([cell(r[c]) for c in columns] for r in rows)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+
+
+def read_day_documents(spark: SparkSession, root: str, day: date, schema: str, look_back: int = 5, latest_first: bool = True) -> DataFrame:
+    """JSON documents of the newest day folder (root/YYYY-MM-DD) that has any, at most look_back days back; with day, path and modified.
+
+    Files that do not parse are left out. An empty frame if no folder is there.
+    """
+    fs, named = _files(spark, root)
+    for back in range(look_back + 1):
+        folder = f"{root}/{(day - timedelta(days=back)).isoformat()}"
+        if fs.exists(named(folder)) and any(f.getPath().getName().endswith(".json") for f in fs.listStatus(named(folder))):
+            found = spark.read.schema(StructType.fromDDL(schema)).json(folder, multiLine=True, mode="DROPMALFORMED", pathGlobFilter="*.json")
+            marked = found.select("*", F.lit((day - timedelta(days=back)).isoformat()).cast("date").alias("day"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+            return marked.orderBy(F.col("path").desc()) if latest_first else marked
+    return spark.createDataFrame([], StructType.fromDDL(f"{schema}, day date, path string, modified timestamp"))
+
+
+def folder_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(suffix, n_files, n_bytes, newest) of a folder tree; file contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return files.groupBy(suffix.alias("suffix")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"), F.max("modificationTime").alias("newest"))
+
+
+def is_fresh(spark: SparkSession, path: str, hours: float) -> bool:
+    """Whether the newest file of a cached table is younger than that many hours; false where there is none."""
+    fs, named = _files(spark, path)
+    if not fs.exists(named(path)):
+        return False
+    newest = max((f.getModificationTime() for f in fs.listStatus(named(path))), default=0)
+    return time.time() - newest / 1000 < hours * 3600
+
+
+def read_factors(spark: SparkSession, path: str, names: tuple[str, ...] = ("mkt_rf", "smb", "hml")) -> DataFrame:
+    """Monthly factors from a CSV (month as YYYY-MM or YYYYMM, values in percent): month as a date, values as fractions."""
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    month = F.to_date(F.concat(F.substring(F.regexp_replace(F.trim("month"), "-", ""), 1, 6), F.lit("01")), "yyyyMMdd")
+    return raw.select(month.alias("month"), *[(F.col(n).try_cast("double") / 100).alias(n) for n in names]).where("month is not null")
 
 
 def coverage(bars: DataFrame, universe: DataFrame) -> DataFrame:
     """One row: first and last date, and the share of the universe that has bars."""
-    n = universe.agg(F.count_distinct("ticker").alias("wanted"))
-    have = bars.join(universe, "ticker", "left_semi").agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.count_distinct("ticker").alias("have"))
-    return have.join(n).select("date_min", "date_max", F.try_divide(F.col("have").cast("double"), F.col("wanted")).alias("share"))
+    marked = universe.select("ticker").distinct().withColumn("cv_wanted", F.lit(1)).join(bars.groupBy("ticker").agg(F.min("date").alias("lo"), F.max("date").alias("hi")), "ticker", "left")
+    return marked.agg(F.min("lo").alias("date_min"), F.max("hi").alias("date_max"), F.try_divide(F.count("lo").cast("double"), F.count(F.lit(1))).alias("share"))
+
+
+def covers(found: DataFrame, start: date, end: date, least: float = 0.95) -> bool:
+    """Whether coverage() reaches over the dates and has enough of the universe."""
+    r = found.first()
+    return r.date_min is not None and r.date_min <= start and r.date_max >= end and r.share >= least
 
 
 _VALUE = re.compile(r"'((?:[^'\\]|\\.|'')*)'|([^,()']+)", re.S)
@@ -118,15 +213,10 @@ def dump_rows(lines: DataFrame, column: str, ordinals: dict[str, int]) -> DataFr
     return rows.select([F.get("fields", F.lit(i)).alias(n) for n, i in ordinals.items()])
 
 
-@F.udf(ArrayType(StringType()))
-def _cells(page: str):
-    """First cells of the rows of the table with id constituents (of any table, if none)."""
-    if page is None:
-        return []
-    table = re.search(r'<table[^>]*id="constituents".*?</table>', page, re.S | re.I) or re.search(r"<table.*?</table>", page, re.S | re.I)
-    rows = re.findall(r"<tr[^>]*>\s*<td[^>]*>(.*?)</td>", table[0], re.S | re.I) if table else []
-    return [re.sub(r"<[^>]+>", "", r).strip().replace(".", "-") for r in rows]
-
-
 def html_universe(pages: DataFrame, html: str = "html") -> DataFrame:
-    return pages.select(F.explode(_cells(F.col(html))).alias("ticker")).where("ticker <> ''")
+    """First cells of the rows of the table with id constituents (of the first table, if none has it), as tickers."""
+    page = F.coalesce(F.col(html), F.lit(""))
+    named = F.regexp_extract(page, r'(?is)<table[^>]*id="constituents".*?</table>', 0)
+    table = F.when(named != "", named).otherwise(F.regexp_extract(page, r"(?is)<table.*?</table>", 0))
+    cells = F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>\s*<td[^>]*>(.*?)</td>"), F.lit(1))
+    return pages.select(F.explode(cells).alias("cell")).select(F.replace(F.trim(F.regexp_replace("cell", r"<[^>]+>", "")), F.lit("."), F.lit("-")).alias("ticker")).where("ticker <> ''")
