@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 8192
 GIANT_CHARS = 2 * CHUNK_CHARS
 SPACE = "▁"
-_MEMO = 60_000
+_MEMO = 200_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 CUT = (0, 0)  # the state of an edge that no piece crosses and where all paths meet
 
