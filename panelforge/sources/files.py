@@ -21,7 +21,10 @@ def read_typed_csv(spark: SparkSession, path: str, schema: str | StructType, col
     """Typed scan in parallel splits; rows that do not parse are dropped."""
     kinds = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     df = spark.read.schema(kinds.add("_bad", "string")).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", encoding="UTF-8")
-    return df.where("_bad is null").select(columns or [f for f in kinds.names if f != "_bad"])
+    names = [f for f in kinds.names if f != "_bad"]
+    # always true; names the columns, for without any of them Spark refuses to read the mark of bad rows
+    parsed = F.length(F.concat_ws("", *[F.col(f"`{n}`").cast("string") for n in names])) >= 0
+    return df.where(F.col("_bad").isNull() & parsed).select(columns or names)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import sentiment as S
 from panelforge.sources import files
-from panelforge.sources.replay import BarReplay, PagedReplay
+from panelforge.sources.broker import Account, FractionRefused, orders, submit
+from panelforge.sources.replay import BarReplay, FetchError, PagedReplay, RateLimit, prices_with_fallback, read_forum, trending, with_retry, write_by_ticker
 from panelforge.streaming import incremental as I
+from panelforge.streaming import live
 
 
 def test_csv_json_and_dump(spark, tmp_path):
@@ -34,12 +36,148 @@ def test_year_partitions_do_not_double(spark, tmp_path):
 def test_replay_sources(spark, tmp_path):
     spark.dataSource.register(PagedReplay)
     spark.dataSource.register(BarReplay)
-    feed = {"AAPL": [[{"id": 3, "body": "x", "entities": {"sentiment": {"basic": "Bullish"}}}, {"id": 2}], [{"id": 2}, {"id": 1}]]}
-    (tmp_path / "f.json").write_text(json.dumps(feed))
-    rows = spark.read.format("paged_replay").option("path", str(tmp_path / "f.json")).load().collect()
-    assert sorted(r.id for r in rows) == [2, 3] and {r.sentiment for r in rows} == {"Bullish", None}
-    (tmp_path / "b.json").write_text(json.dumps({"A": [["2024-01-02", 1, 2]], "BTC/USD": [["2024-01-02", 1, 2]]}))
-    assert spark.read.format("bar_replay").option("path", str(tmp_path / "b.json")).load().count() == 1
+    pages = {"AAPL": [[{"id": 3, "body": "x", "entities": {"sentiment": {"basic": "Bullish"}}}, {"id": 2}], [{"id": 2}, {"id": 1}]], "TSLA": [[{"id": 9}]]}
+    for symbol, all_pages in pages.items():
+        folder = tmp_path / "feed" / f"symbol={symbol}"
+        folder.mkdir(parents=True)
+        for k, page in enumerate(all_pages):
+            (folder / f"page-{k}.json").write_text(json.dumps(page))
+    (tmp_path / "feed" / "symbol=BAD").mkdir()
+    (tmp_path / "feed" / "symbol=BAD" / "page-0.json").write_text("{broken")
+    feed = spark.read.format("paged_replay").option("path", str(tmp_path / "feed")).option("page_size", "2").load()
+    assert sorted(r.id for r in feed.collect()) == [2, 3, 9] and {r.sentiment for r in feed.collect()} == {"Bullish", None}
+    assert [r.symbol for r in trending(feed, 1).collect()] == ["AAPL"]
+    bars = tmp_path / "bars"
+    bars.mkdir()
+    (bars / "A.json").write_text(json.dumps([["2023-01-02", 1, 2], ["2023-12-20", 1, 2], ["2024-01-02", 1, 2]]))
+    (bars / "B.json").write_text(json.dumps([["2024-01-02", 3, 4]]))
+    reader = spark.read.format("bar_replay").option("path", str(bars))
+    assert reader.option("symbols", "A,BTC/USD").load().count() == 3
+    warm = reader.option("symbols", "A").option("start", "2024-01-02").load()
+    assert [r.date for r in warm.collect()] == ["2023-12-20", "2024-01-02"]  # 60 days ahead
+    both = prices_with_fallback(warm, spark.createDataFrame([("A", "2020-01-02", 9.0, 1.0), ("C", "2020-01-02", 9.0, 1.0)], "ticker string, date string, close double, volume double"))
+    assert sorted((r.ticker, r.source) for r in both.collect()) == [("A", "live"), ("A", "live"), ("C", "spare")]
+    for _ in range(2):
+        write_by_ticker(both, str(tmp_path / "by_ticker"))
+    assert spark.read.parquet(str(tmp_path / "by_ticker")).count() == 3
+    forum = tmp_path / "forum"
+    forum.mkdir()
+    (forum / "new.json").write_text('{"post_id": "a", "score": 5}\n{"post_id": "b"}\n{broken\n')
+    (forum / "hot.json").write_text('{"post_id": "a", "score": 1}\n')
+    assert sorted((r.post_id, r.feed) for r in read_forum(spark, str(forum)).collect()) == [("a", "hot"), ("b", "new")]
+
+
+def test_retry_and_rate_limit():
+    waits, left = [], [FetchError("x"), FetchError("y", wait=7.0), "done"]
+
+    def call():
+        x = left.pop(0)
+        if isinstance(x, FetchError):
+            raise x
+        return x
+
+    assert with_retry(call, sleep=waits.append) == "done" and waits == [1.0, 7.0]
+    left[:] = [FetchError("x")] * 3
+    assert with_retry(call, sleep=waits.append, default=[]) == []
+    now = [0.0]
+
+    def sleep(s):
+        now[0] += s
+
+    limit = RateLimit(2, 10.0, lambda: now[0], sleep)
+    for _ in range(5):
+        limit.wait()
+    assert now[0] == 20.0
+
+
+class _Desk:
+    """A broker that keeps what it is told."""
+
+    def __init__(self):
+        self.sent = []
+
+    def account(self):
+        return Account(1000.0, 300.0)
+
+    def positions(self):
+        return ["OLD", "KEEP"]
+
+    def price(self, ticker):
+        return 40.0
+
+    def close(self, ticker):
+        self.sent.append(("close", ticker))
+        return "filled"
+
+    def buy_notional(self, ticker, notional):
+        if ticker == "WHOLE":
+            raise FractionRefused(ticker)
+        if ticker == "DOWN":
+            raise OSError("no answer")
+        self.sent.append(("buy", ticker, notional))
+        return "filled"
+
+    def buy_shares(self, ticker, shares):
+        self.sent.append(("shares", ticker, shares))
+        return "filled"
+
+
+def test_orders_go_out_behind_the_interface(spark):
+    desk = _Desk()
+    buys = spark.createDataFrame([("KEEP",), ("NEW",), ("WHOLE",), ("DOWN",)], "ticker string")
+    got = {r["ticker"]: r["status"] for r in submit(orders(spark, desk, buys), desk)}
+    assert got == {"OLD": "filled", "NEW": "filled", "WHOLE": "filled", "DOWN": "failed"}
+    assert desk.sent == [("close", "OLD"), ("buy", "NEW", 100.0), ("shares", "WHOLE", 2)]
+
+
+def test_documents_inventory_reports(spark, tmp_path):
+    from datetime import date
+
+    for day, name, body in (("2024-01-03", "a.json", {"n": 1}), ("2024-01-05", "b.json", {"n": 2}), ("2024-01-05", "c.json", {"n": 3})):
+        (tmp_path / "docs" / day).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "docs" / day / name).write_text(json.dumps(body))
+    (tmp_path / "docs" / "2024-01-05" / "d.json").write_text("{broken")
+    read = lambda day: [r.n for r in files.read_day_documents(spark, str(tmp_path / "docs"), day, "n int").collect()]
+    assert read(date(2024, 1, 6)) == [3, 2] and read(date(2024, 1, 4)) == [1] and read(date(2024, 3, 1)) == []
+    found = {r.suffix: (r.n_files, r.n_bytes) for r in files.folder_inventory(spark, str(tmp_path / "docs")).collect()}
+    assert found == {"json": (4, 31)}
+    assert files.is_fresh(spark, str(tmp_path / "docs" / "2024-01-05"), 1) and not files.is_fresh(spark, str(tmp_path / "none"), 1)
+    files.write_json_document(spark, str(tmp_path / "r" / "report.json"), {"day": date(2024, 1, 5), "n": 2})
+    assert json.loads((tmp_path / "r" / "report.json").read_text()) == {"day": "2024-01-05", "n": 2}
+    assert files.markdown_table([{"a": 1.5, "b": None}], ["a", "b"]) == "| a | b |\n| --- | --- |\n| 1.5000 | - |"
+    (tmp_path / "f.csv").write_text("month,mkt_rf,smb,hml\n201407,-2.04,1.0,x\n2014-08,4.24,0,-0.5\n,1,1,1\n")
+    got = [(str(r.month), r.mkt_rf, r.hml) for r in files.read_factors(spark, str(tmp_path / "f.csv")).orderBy("month").collect()]
+    assert got[0][0] == "2014-07-01" and abs(got[0][1] + 0.0204) < 1e-12 and got[0][2] is None and len(got) == 2
+    bars = spark.createDataFrame([("A", date(2020, 1, 1)), ("A", date(2021, 1, 1))], "ticker string, date date")
+    cover = files.coverage(bars, spark.createDataFrame([("A",), ("B",)], "ticker string"))
+    assert cover.first().share == 0.5 and files.covers(cover, date(2020, 6, 1), date(2020, 7, 1), 0.5) and not files.covers(cover, date(2020, 6, 1), date(2020, 7, 1))
+    files.write_plain(bars, str(tmp_path / "plain"), "csv")
+    assert files.read_text_csv(spark, str(tmp_path / "plain")).count() == 2
+    (tmp_path / "enc.csv").write_bytes(b"id,x\n1,caf\xe9\n2,ok\n")
+    assert files.read_typed_csv(spark, str(tmp_path / "enc.csv"), "id int, x string").count() == 2
+
+
+def test_live_steps(spark, tmp_path):
+    from datetime import datetime
+
+    rows = spark.createDataFrame([("A", 0.6)], "ticker string, proba double")
+    for at in (datetime(2024, 1, 2, 10), datetime(2024, 1, 2, 10), datetime(2024, 1, 2, 11)):
+        live.log_predictions(rows, str(tmp_path / "log"), at)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    assert live.run_if_open(False, lambda: rows) is None and live.run_if_open(True, lambda: rows) is rows
+    marks, ran, now = live.Markers(spark, str(tmp_path / "marks"), lambda: now[0]), [], [0.0]
+
+    def step(name):
+        def body():
+            ran.append(name)
+            now[0] += 10
+        return body
+
+    steps = {k: step(k) for k in "abc"}
+    assert marks.run(steps, seconds=15) == ["a", "b"] and marks.run(steps) == ["c"] and marks.run(steps) == [] and ran == ["a", "b", "c"]
+    assert marks.lock("me") and marks.lock("me") and not marks.lock("you")
+    marks.release()
+    assert marks.lock("you")
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -54,8 +192,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_incremental_append_is_idempotent(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "post_id int, t string")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "post_id int, t string")
     df.write.parquet(str(tmp_path / "in"))
     for k in range(2):
         I.append_incremental(I.file_stream(spark, str(tmp_path / "in"), df.schema), str(tmp_path / "out"), "post_id", str(tmp_path / f"cp{k}"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
