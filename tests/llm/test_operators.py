@@ -146,7 +146,7 @@ def test_token_scan(spark, tmp_path, odd):
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         (tmp_path / f"part-{i:05d}-x").write_bytes(np.array(flat[a:b], "<u2").tobytes())
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    for size in ("61", "4096", "128m"):
+    for size in ("2003", "128m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
         got = token_files.scan_token_files(spark, str(tmp_path)).orderBy("path", "ordinal").collect()
