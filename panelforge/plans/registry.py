@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None, doubles: tuple[str, ...] | list[str
 
 
 def _load() -> None:
-    from panelforge.plans import aggregate_queries, function_queries, market_queries, series_queries, study_queries  # noqa: F401
+    from panelforge.plans import aggregate_queries, function_queries, market_queries, series_queries, source_queries, study_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -17,10 +17,10 @@ def read_text_csv(spark: SparkSession, path: str, multiline: bool = False) -> Da
     return spark.read.csv(path, header=True, multiLine=multiline, escape='"', inferSchema=False).na.fill("")
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: str | StructType, columns: list[str] | None = None) -> DataFrame:
+def read_typed_csv(spark: SparkSession, path: str, schema: str | StructType, columns: list[str] | None = None, header: bool = True) -> DataFrame:
     """Typed scan in parallel splits; rows that do not parse are dropped."""
     kinds = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    df = spark.read.schema(kinds.add("_bad", "string")).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", encoding="UTF-8")
+    df = spark.read.schema(kinds.add("_bad", "string")).csv(path, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", encoding="UTF-8")
     names = [f for f in kinds.names if f != "_bad"]
     # always true; names the columns, for without any of them Spark refuses to read the mark of bad rows
     parsed = F.length(F.concat_ws("", *[F.col(f"`{n}`").cast("string") for n in names])) >= 0
