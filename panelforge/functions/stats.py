@@ -179,11 +179,11 @@ def wilcoxon_upper(ranks_plus: float, n: int, ties: float, whole_ranks: bool) ->
 def paired_statistics(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, mean difference, t, and Wilcoxon's positive rank sum with its tie sums."""
     diffs = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("d", F.col(a) - F.col(b))
-    base = diffs.agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), t_of_mean(F.col("d")).alias("t_statistic"))
+    base = diffs.agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), t_of_mean(F.col("d")).alias("t_statistic")).first()
     sizes = diffs.where("d <> 0").select(F.abs("d").alias("size"), (F.col("d") > 0).alias("up"))
     ties = value_ranks(sizes, "size", [F.count_if("up").alias("ups")]).select(F.col("n").cast("double").alias("k"), (F.col("ups") * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("plus"))
     signed = ties.agg(F.coalesce(F.sum("plus"), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum("k"), F.lit(0.0)).cast("long").alias("n_nonzero"), F.coalesce(F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")), F.lit(0.0)).alias("tie_sum"))
-    return base.join(signed)
+    return signed.select(F.lit(base.n).cast("long").alias("n"), F.lit(base.mean_diff).cast("double").alias("mean_diff"), F.lit(base.t_statistic).cast("double").alias("t_statistic"), "*")
 
 
 def paired_test(pairs: DataFrame, a: str, b: str) -> dict:

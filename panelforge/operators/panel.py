@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import columns as C
 from panelforge.functions import series as S
+from panelforge.functions import stats as T
 
 
 def bar_features(bars: DataFrame) -> DataFrame:
@@ -87,15 +88,17 @@ def deciles(panel: DataFrame, column: str, group: str, tie: str, n: int = 10) ->
 
 
 def quantile_bins(panel: DataFrame, column: str, probs: list[float]) -> DataFrame:
-    """bin: how many of the column's quantiles lie below the value (right-closed)."""
-    cuts = panel.agg(F.percentile(column, F.array(*[F.lit(p) for p in probs])).alias("cuts"))
-    return panel.join(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(column)))).drop("cuts")  # one row
+    """bin: how many of the column's exact quantiles lie below the value (right-closed); 0 where it is null."""
+    cuts = [c for c in T.exact_quantiles(panel, column, probs) if c is not None]
+    over = [F.coalesce((F.col(column) > F.lit(c)).cast("int"), F.lit(0)) for c in cuts]
+    return panel.withColumn("bin", reduce(lambda a, b: a + b, over, F.lit(0)))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Counts of equal bins from the smallest to the largest value, the last one closed; empty bins have 0."""
-    span = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    placed = df.where(F.col(column).isNotNull()).join(F.broadcast(span)).select(F.least(F.lit(bins), F.floor((F.col(column) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)).cast("int") + 1).alias("bin"))
+    lo, hi = df.agg(F.min(column), F.max(column)).first()
+    width = F.lit((float(hi) - float(lo)) / bins if hi is not None else 0.0)
+    placed = df.where(F.col(column).isNotNull()).select(F.least(F.lit(bins), F.floor(F.coalesce(F.try_divide(F.col(column) - F.lit(lo), width), F.lit(0.0))).cast("int") + 1).alias("bin"))
     counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     return df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 

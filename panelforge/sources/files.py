@@ -178,28 +178,8 @@ def covers(found: DataFrame, start: date, end: date, least: float = 0.95) -> boo
     return r.date_min is not None and r.date_min <= start and r.date_max >= end and r.share >= least
 
 
-_VALUE = re.compile(r"'((?:[^'\\]|\\.|'')*)'|([^,()']+)", re.S)
-
-
-class DumpRows:
-    """Table function: tuples of an INSERT line as arrays of text, NULL as null. A backslash escapes the next character as it is."""
-
-    def eval(self, line: str):
-        body = line[line.upper().find("VALUES") + 6 :] if line else ""
-        row, depth, at = [], 0, 0
-        while at < len(body):
-            ch = body[at]
-            if ch == "(" and not depth:
-                row, depth = [], 1
-            elif ch == ")" and depth:
-                depth = 0
-                yield (row,)
-            elif depth and (m := _VALUE.match(body, at)):
-                quoted, bare = m.groups()
-                row.append(re.sub(r"\\(.)|''", lambda x: x[1] or "'", quoted, flags=re.S) if quoted is not None else None if bare.strip().upper() == "NULL" else bare.strip())
-                at = m.end()
-                continue
-            at += 1
+#: One value of a dump: quoted (a backslash escapes the next character, a doubled quote is one) or bare. Possessive, so long lines need no stack.
+_QUOTED = r"'(?:[^'\\]++|\\.|'')*+'"
 
 
 def read_dump(spark: SparkSession, path: str, table: str, ordinals: dict[str, int]) -> DataFrame:
@@ -209,10 +189,17 @@ def read_dump(spark: SparkSession, path: str, table: str, ordinals: dict[str, in
 
 
 def dump_rows(lines: DataFrame, column: str, ordinals: dict[str, int]) -> DataFrame:
-    spark = lines.sparkSession
-    spark.udtf.register("dump_rows", F.udtf(DumpRows, returnType="fields: array<string>"))
-    lines.createOrReplaceTempView("dump_lines")
-    rows = spark.sql(f"SELECT t.fields FROM dump_lines, LATERAL dump_rows(dump_lines.`{column}`) t")
+    """Tuples of INSERT lines as text columns by ordinal, NULL as null; a backslash escapes the next character as it is."""
+    body = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?is)^.*?\bVALUES", "")
+    tuples = F.regexp_extract_all(body, F.lit(rf"(?s)\(((?:{_QUOTED}|[^()'])*+)\)"), F.lit(1))
+    cells = F.regexp_extract_all("dr_tuple", F.lit(rf"(?s)({_QUOTED}|[^,']++)"), F.lit(1))
+
+    def plain(cell):
+        bare = F.trim(cell)
+        inner = F.regexp_replace(F.substring(cell, F.lit(2), F.length(cell) - 2), r"(?s)\\(.)|'(')", "$1$2")
+        return F.when(cell.startswith("'"), inner).when(F.upper(bare) != "NULL", bare)
+
+    rows = lines.select(F.explode(tuples).alias("dr_tuple")).select(F.transform(F.filter(cells, lambda c: F.trim(c) != ""), plain).alias("fields"))
     return rows.select([F.get("fields", F.lit(i)).alias(n) for n, i in ordinals.items()])
 
 
