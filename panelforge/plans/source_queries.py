@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import tempfile
 import uuid
 from datetime import date, datetime
@@ -9,10 +11,12 @@ from datetime import date, datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.operators import panel as P
 from panelforge.operators import sentiment as M
+from panelforge.operators import training as L
 from panelforge.plans.fixtures import BARS, bars, messages, read
 from panelforge.plans.registry import query
-from panelforge.sources import files
+from panelforge.sources import files, replay
 from panelforge.streaming import incremental, live
 
 
@@ -144,3 +148,63 @@ def h8(spark, sf):
     for hour in (10, 10, 11):  # a run that is repeated replaces itself
         live.log_predictions(rows, path, datetime(2024, 1, 2, hour))
     return spark.read.schema("ticker string, proba double, run string").parquet(path).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _write_json(path: str, value) -> None:
+    """A fixture file on this machine, as a replayed feed reads it."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        json.dump(value, f)
+
+
+def _here(spark: SparkSession, name: str) -> str:
+    return scratch(spark, name).removeprefix("file://")
+
+
+@query("s14_paged_feed", "WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events) SELECT event_type AS symbol, event_id AS id, event_type || ' ' || event_id AS body, CASE WHEN event_id % 2 = 0 THEN 'Bullish' END AS sentiment FROM r WHERE k <= 60")
+def s14(spark, sf):
+    root = _here(spark, "feed")
+    e = read(spark, sf, "events").select("event_id", "event_type")
+    newest = M.cap_per_group(e, ["event_type"], [F.col("event_id").desc()], 90).collect()  # three pages for each of a few event types
+    for kind in sorted({r.event_type for r in newest}):
+        ids = sorted((r.event_id for r in newest if r.event_type == kind), reverse=True)
+        for k in range(0, len(ids), 30):
+            page = [{"id": i, "body": f"{kind} {i}", "entities": {"sentiment": {"basic": "Bullish"} if i % 2 == 0 else None}} for i in ids[k : k + 30]]
+            _write_json(f"{root}/symbol={kind}/page-{k // 30}.json", page)
+    spark.dataSource.register(replay.PagedReplay)
+    return spark.read.format("paged_replay").option("path", root).option("max_pages", "2").load().select("symbol", "id", "body", "sentiment")
+
+
+@query("s15_forum_feeds", "SELECT CAST(n_nationkey AS VARCHAR) AS post_id, CASE WHEN n_nationkey % 3 = 0 THEN 'hot' ELSE 'new' END AS feed, CASE WHEN n_nationkey % 3 = 0 THEN 7 ELSE n_nationkey END::BIGINT AS score FROM nation")
+def s15(spark, sf):
+    root, keys = scratch(spark, "forum"), [r.n_nationkey for r in read(spark, sf, "nation").select("n_nationkey").collect()]
+    lines = lambda rows: "\n".join(json.dumps(r) for r in rows) + "\n{broken\n"
+    files.write_text(spark, f"{root}/new.json", lines({"post_id": str(k), "score": k} for k in keys))
+    files.write_text(spark, f"{root}/hot.json", lines({"post_id": str(k), "score": 7} for k in keys if k % 3 == 0))
+    return replay.read_forum(spark, root).select("post_id", "feed", "score")
+
+
+_MONTH_ENDS = "me AS (SELECT ticker, arg_max(date, date) AS date, arg_max(close, date) AS close, arg_max(volume, date) AS volume FROM bars GROUP BY ticker, date_trunc('month', date))"
+
+
+@query("s16_s17_bar_feed", f"WITH {BARS}, {_MONTH_ENDS}, n AS (SELECT n_name, n_nationkey AS k FROM nation) SELECT ticker, CAST(date AS VARCHAR) AS date, close, volume, CASE WHEN k < 15 THEN 'live' ELSE 'spare' END AS source FROM me JOIN n ON ticker = n_name WHERE k >= 15 OR date >= DATE '1998-01-01' - INTERVAL 60 DAY", ["close", "volume"])
+def s16(spark, sf):
+    root = _here(spark, "bars")
+    last = bars(spark, sf).groupBy("ticker", F.trunc("date", "MM").alias("month")).agg(F.max_by(F.struct(F.col("date").cast("string").alias("date"), "close", "volume"), "date").alias("b")).select("ticker", "b.*")
+    live_names = [r.n_name for r in read(spark, sf, "nation").where("n_nationkey < 15").select("n_name").collect()]
+    rows = last.where(F.col("ticker").isin(live_names)).collect()  # a row for each of 15 tickers and month
+    for name in live_names:
+        _write_json(f"{root}/{name}.json", sorted([r.date, r.close, r.volume] for r in rows if r.ticker == name))
+    spark.dataSource.register(replay.BarReplay)
+    feed = spark.read.format("bar_replay").option("path", root).option("chunk", "4").option("start", "1998-01-01").load()
+    return replay.prices_with_fallback(feed, last)
+
+
+@query("m5_importance")
+def m5(spark, sf):
+    p = P.bar_features(bars(spark, sf)).withColumn("target", (F.col("return_5d_forward") > 0).cast("int")).where("return_5d_forward is not null")
+    features = ["bb_width", "bb_pct", "volatility_20d", "volume_ratio"]
+    path = scratch(spark, "model")
+    L.save_model(L.train_trees(p, features, rounds=5, depth=3), path, features, {"rows": "all"})
+    model, names, _ = L.load_model(spark, path)
+    return spark.createDataFrame(L.importance(model, names), "feature string, gain double, weight long, cover double, gain_normalized double")
