@@ -273,3 +273,7 @@ def test_count_tree_finds_all_pairs_across():
         bound = np.minimum(points, points[i]).sum(1).astype(np.int64)
         want = set(np.flatnonzero((bound * 185 >= 85 * (sizes + sizes[i])) & (parts != parts[i])))
         assert set(tree.search(points[i], int(sizes[i]), int(parts[i])).tolist()) == want
+
+
+def test_common_groups_of_blank_texts_are_none():
+    assert len(jaccard.Pigeonholes().every(jaccard.shingle_set(None, jaccard._Hashes()))) == 0
