@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import compression_quality, jaccard, mixing, neighbours, pieces, ppm, quality_rules, token_files, toxicity, url_filter
+from panelforge.llm import bit_slices, compression_quality, conversations, hard_negatives, jaccard, mixing, neighbours, pieces, ppm, quality_rules, token_files, toxicity, url_filter
 from panelforge.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.score_documents(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_slices.search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), hard_negatives.spread_label(F.col("vec_id"), F.col("label")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ppm_score": op1_ppm_score,
@@ -69,4 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_rules": op8_url_rules,
         "op9_jaccard_components": op9_jaccard_components,
         "op10_compression_quality": op10_compression_quality,
+        "op11_bit_sliced_top_k": op11_bit_sliced_top_k,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_hard_negatives": op13_hard_negatives,
     }

@@ -24,7 +24,7 @@ def rows_of(df):
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     rel = con.execute(oracles.oracle_sql()[name])
