@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from panelforge.functions.series import average_rank
+from panelforge.storage import discard, stored
 
 
 def sharpe(ret: Column, per_year: float = 252.0) -> Column:
@@ -52,16 +56,66 @@ def value_ranks(df: DataFrame, column: str, sums: list[Column] | None = None, bi
     return ranked.withColumn("before", F.col("vr_here") + F.col("vr_under")).drop("vr_bin", "vr_here", "vr_under")
 
 
+def _digit(v: Column, lo: Column, hi: Column, inside: Column, bins: int, few: int) -> Column:
+    """A number that never falls as v grows: v itself among few values, steps of an eighth of an octave over wide brackets, equal steps over narrow ones."""
+    octave = F.floor(F.signum(v) * (F.log2(F.abs(F.nullif(v, F.lit(0.0)))) + 1100) * 8)
+    narrow = ((lo > 0) & (hi <= 4 * lo)) | ((hi < 0) & (lo >= 4 * hi))
+    return F.when(inside <= few, v).when(narrow, F.floor((v - lo) / (hi - lo) * bins).cast("double")).otherwise(F.coalesce(octave, F.lit(0)).cast("double"))
+
+
+def group_quantiles(df: DataFrame, keys: list[str], column: str, probs: list[float], bins: int = 1024, few: int = 4096) -> DataFrame:
+    """(keys, n_rows, q0, q1, ...): exact interpolated quantiles of each group, found digit by digit.
+
+    Every wanted place of every group has a bracket of values around it. A round counts
+    the bracket's rows by a digit of their values and goes on with the digit that holds
+    the place, until one value is left; all groups and places share a round. Only counts
+    are shuffled, at most one for each digit and bracket from a task, so a group may be
+    of any size. Nulls and NaN do not count, groups without a value give no row.
+    """
+    named = [f"gq_{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col(column).cast("double").alias("gq_v")).where("gq_v is not null and not isnan(gq_v)")
+    rows = stored(rows, "quantile-values")
+    same = lambda other: [F.col(n).eqNullSafe(F.col(f"{other}_{n}")) for n in named]
+    under = lambda df_, other: df_.select(*[F.col(n).alias(f"{other}_{n}") for n in named], *[c for c in df_.columns if c not in named])
+    sizes = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("gq_n"), F.min("gq_v").alias("gq_lo"), F.max("gq_v").alias("gq_hi")).where("gq_n > 0")
+    at = [F.lit(float(p)) * (F.col("gq_n") - 1) for p in probs]
+    places = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
+    brackets = stored(sizes.select(*named, "gq_n", F.explode(places).alias("gq_place"), "gq_lo", "gq_hi", F.lit(0).cast("long").alias("gq_before"), F.col("gq_n").alias("gq_inside")), "quantile-brackets")
+    written, done = [rows, brackets], None
+    # without keys there are at most two brackets a quantile
+    side = (lambda d: d) if keys else F.broadcast
+    while True:
+        closed = brackets.where("gq_lo = gq_hi").select(*named, "gq_n", "gq_place", F.col("gq_lo").alias("gq_value"))
+        done = closed if done is None else done.unionByName(closed)
+        open_ = brackets.where("gq_lo < gq_hi")
+        if not open_.limit(1).count():
+            break
+        ranges = under(open_.select(*named, "gq_lo", "gq_hi", "gq_inside").distinct(), "r")
+        met = rows.join(side(ranges), reduce(lambda x, y: x & y, [*same("r"), F.col("gq_v").between(F.col("gq_lo"), F.col("gq_hi"))]))
+        digit = _digit(F.col("gq_v"), F.col("gq_lo"), F.col("gq_hi"), F.col("gq_inside"), bins, few)
+        bracket = [*named, "gq_lo", "gq_hi"]
+        counts = met.groupBy(*bracket, digit.alias("gq_digit")).agg(F.count(F.lit(1)).alias("c"), F.min("gq_v").alias("least"), F.max("gq_v").alias("most"))
+        ahead = F.coalesce(F.sum("c").over(Window.partitionBy(*bracket).orderBy("gq_digit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        steps = under(counts.withColumn("ahead", ahead).withColumnsRenamed({"gq_lo": "s_lo", "gq_hi": "s_hi"}), "s")
+        here = reduce(lambda x, y: x & y, [*same("s"), F.col("gq_lo") == F.col("s_lo"), F.col("gq_hi") == F.col("s_hi")])
+        found = side(open_).join(steps, here).where("gq_place >= gq_before + ahead and gq_place < gq_before + ahead + c")
+        brackets = stored(found.select(*named, "gq_n", "gq_place", F.col("least").alias("gq_lo"), F.col("most").alias("gq_hi"), (F.col("gq_before") + F.col("ahead")).alias("gq_before"), F.col("c").alias("gq_inside")), "quantile-brackets")
+        written.append(brackets)
+    # two values a quantile at most
+    values = done.groupBy(*named, "gq_n").agg(F.map_from_entries(F.collect_list(F.struct("gq_place", "gq_value"))).alias("gq_values"))
+    value = lambda k: F.element_at("gq_values", k.cast("long"))
+    inner = [value(F.floor(x)) + (value(F.ceil(x)) - value(F.floor(x))) * (x - F.floor(x)) for x in at]
+    out = stored(values.select(*[F.col(n).alias(k) for k, n in zip(keys, named, strict=True)], F.col("gq_n").alias("n_rows"), *[q.alias(f"q{i}") for i, q in enumerate(inner)]), "quantiles")
+    discard(*written)
+    return out
+
+
 def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[float | None]:
-    """Interpolated quantiles of all rows, without a task that holds them all."""
-    ranks = value_ranks(df, column)
-    total = df.where(F.col(column).isNotNull()).count()
-    if not total:
-        return [None] * len(probs)
-    at = [p * (total - 1) for p in probs]
-    low, high = [math.floor(x) for x in at], [math.ceil(x) for x in at]
-    found = ranks.agg(*[F.max(F.when((F.col("before") <= k) & (F.col("before") + F.col("n") > k), F.col("value"))).alias(f"k{k}") for k in sorted({*low, *high})]).first().asDict()
-    return [found[f"k{a}"] + (found[f"k{b}"] - found[f"k{a}"]) * (x - a) for x, a, b in zip(at, low, high, strict=True)]
+    """Interpolated quantiles of all rows, without a task that holds them all; None without any."""
+    found = group_quantiles(df, [], column, probs)
+    row = found.first()
+    discard(found)
+    return [row[f"q{i}"] if row else None for i in range(len(probs))]
 
 
 def auc(df: DataFrame, score: str, label: str, part: list[str] | None = None, least: int = 1) -> DataFrame:
@@ -79,6 +133,11 @@ def auc(df: DataFrame, score: str, label: str, part: list[str] | None = None, le
     return out.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_pos") + F.col("n_neg") >= least))
 
 
+def auc_summary(monthly: DataFrame, over: float = 0.55) -> DataFrame:
+    """One row of periods' AUCs: how many, mean, deviation, and the share over a threshold."""
+    return monthly.agg(F.count("auc").alias("n_months"), F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"), F.avg((F.col("auc") > over).cast("double")).alias("share_over"))
+
+
 def spearman(df: DataFrame, pairs: list[tuple[str, str]], part: list[str] | None = None, least: int = 3) -> DataFrame:
     """Rank correlation of each pair over rows where both are there, in long form; null where a side has under three values."""
     part = part or []
@@ -125,13 +184,16 @@ def top_precision(predictions: DataFrame, score: str, label: str, q: float = 0.9
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Counts, accuracy, and precision, recall and F1 of class 1, in one row."""
+    """Counts, accuracy, and precision, recall and F1 of both classes, in one row; class 1 without a suffix, class 0 with _0."""
     tp, fp = F.count_if((F.col(label) == 1) & (F.col(pred) == 1)), F.count_if((F.col(label) == 0) & (F.col(pred) == 1))
     fn, tn = F.count_if((F.col(label) == 1) & (F.col(pred) == 0)), F.count_if((F.col(label) == 0) & (F.col(pred) == 0))
     counts = df.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"))
-    p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
-    scored = counts.withColumn("accuracy", F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).withColumn("precision", p).withColumn("recall", r)
-    return scored.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    scored = counts.withColumn("accuracy", F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
+    for right, false, missed, end in (("tp", "fp", "fn", ""), ("tn", "fn", "fp", "_0")):
+        p, r = F.col(f"precision{end}"), F.col(f"recall{end}")
+        scored = scored.withColumn(f"precision{end}", F.try_divide(F.col(right), F.col(right) + F.col(false))).withColumn(f"recall{end}", F.try_divide(F.col(right), F.col(right) + F.col(missed)))
+        scored = scored.withColumn(f"f1{end}", F.try_divide(2 * p * r, p + r))
+    return scored
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -198,6 +260,44 @@ def paired_test(pairs: DataFrame, a: str, b: str) -> dict:
     return out
 
 
+@F.pandas_udf(DoubleType())
+def _t_upper(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) or pd.isna(n) or n < 1 else t_upper(x, n) for x, n in zip(t, df, strict=True)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def _wilcoxon_upper(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) or k < 2 else wilcoxon_upper(x, int(k), c, c == 0) for x, k, c in zip(w, n, ties, strict=True)], dtype=float)
+
+
+def paired_tests(returns: DataFrame, baseline: str, digits: int = 9, order: str = "date") -> DataFrame:
+    """Each strategy against the baseline on common dates: one-sided paired t and Wilcoxon tests, one row a strategy.
+
+    returns: strategy, date, ret. Differences are rounded to ``digits`` places, so that what
+    cancels counts as zero whatever the order of addition. The p-values are worked out on
+    the finished rows; significant if either is under 0.05, a missing one never is.
+    """
+    base = returns.where(F.col("strategy") == baseline).select(order, F.col("ret").alias("pt_base"))
+    diffs = returns.where(F.col("strategy") != baseline).join(base, order).select("strategy", F.round(F.col("ret") - F.col("pt_base"), digits).alias("d")).where("d is not null")
+    mean = diffs.groupBy("strategy").agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), t_of_mean(F.col("d")).alias("t_statistic"))
+    # equal sizes first; a strategy has one row a date at most
+    sizes = diffs.where("d <> 0").groupBy("strategy", F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("d") > 0).alias("ups"))
+    below = F.coalesce(F.sum("k").over(Window.partitionBy("strategy").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.withColumn("plus", F.col("ups") * (below + (F.col("k") + 1) / 2.0)).withColumn("k", F.col("k").cast("double"))
+    signed = ranked.groupBy("strategy").agg(F.sum("plus").alias("w_statistic"), F.sum("k").alias("n_nonzero"), F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")).alias("tie_sum"))
+    both = mean.join(signed, "strategy", "left").withColumn("w_statistic", F.when(F.col("n_nonzero") >= 2, F.col("w_statistic")))
+    tested = both.withColumn("p_value_ttest", _t_upper("t_statistic", F.col("n") - 1.0)).withColumn("p_value_wilcoxon", _wilcoxon_upper("w_statistic", "n_nonzero", "tie_sum"))
+    small = lambda c: F.coalesce(F.col(c) < 0.05, F.lit(False))
+    return tested.withColumn("significant_005", small("p_value_ttest") | small("p_value_wilcoxon")).drop("n_nonzero", "tie_sum")
+
+
+def with_p_value(correlations: DataFrame, rho: str = "rho", n: str = "n") -> DataFrame:
+    """Correlations with their two-sided p-value by Student's distribution, 0 for a perfect one; one row a correlation."""
+    r, free = F.col(rho), F.col(n) - 2.0
+    t = F.abs(r) * F.sqrt(free / F.nullif(1 - r * r, F.lit(0.0)))
+    return correlations.withColumn("p_value", F.when(F.abs(r) >= 1, 0.0).otherwise(2 * _t_upper(t, free)))
+
+
 def ols_hac(y: np.ndarray, x: np.ndarray, lags: int = 3, least: int = 12) -> tuple[float | None, float | None]:
     """Intercept and its t with Newey-West errors; for the few monthly rows of a finished aggregate."""
     if len(y) < least:
@@ -213,8 +313,6 @@ def ols_hac(y: np.ndarray, x: np.ndarray, lags: int = 3, least: int = 12) -> tup
 
 def alpha(returns: DataFrame, factors: DataFrame, key: str | None = None, ret: str = "ret", month: str = "month", names: tuple[str, ...] = ("mkt_rf", "smb", "hml"), lags: int = 3) -> DataFrame:
     """(key, alpha, t, n): regression of monthly returns on factors, one small task for each key (strategy or permutation)."""
-    import pandas as pd
-
     label = key or "alpha_key"
     rows = returns.withColumn(label, F.lit(0)) if key is None else returns
     joined = rows.where(F.col(ret).isNotNull()).join(factors, month).dropna(subset=list(names)).select(label, month, ret, *names)

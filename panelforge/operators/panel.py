@@ -75,8 +75,8 @@ def liquidity(bars: DataFrame, n: int = 60, least: int = 30) -> DataFrame:
 
 
 def winsorise(panel: DataFrame, column: str, group: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip to the group's exact quantiles."""
-    cuts = panel.groupBy(group).agg(F.percentile(column, F.lit(low)).alias("w_lo"), F.percentile(column, F.lit(high)).alias("w_hi"))
+    """Clip to the group's exact quantiles, which are found by counts, whatever the size of a group."""
+    cuts = T.group_quantiles(panel, [group], column, [low, high]).select(group, F.col("q0").alias("w_lo"), F.col("q1").alias("w_hi"))
     return panel.join(cuts, group).withColumn(column, F.least(F.greatest(F.col(column), F.col("w_lo")), F.col("w_hi"))).drop("w_lo", "w_hi")
 
 

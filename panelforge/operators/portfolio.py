@@ -35,10 +35,12 @@ def metrics(returns: DataFrame, per_year: float = 252.0) -> DataFrame:
 
 
 def top_fraction(panel: DataFrame, score: str, q: float = 0.9, least: int = 10) -> DataFrame:
-    """Rows at or over their date's q-quantile; dates with fewer than ``least`` rows are skipped."""
-    over = Window.partitionBy("date")
-    marked = panel.withColumn("tf_cut", F.percentile(score, F.lit(q)).over(over)).withColumn("tf_n", F.count(F.lit(1)).over(over))
-    return marked.where((F.col("tf_n") >= least) & (F.col(score) >= F.col("tf_cut"))).drop("tf_cut", "tf_n")
+    """Rows at or over their date's q-quantile; dates with fewer than ``least`` rows or without a score are skipped.
+
+    The cut is exact and found by counts (T.group_quantiles), so no task holds a date.
+    """
+    cuts = T.group_quantiles(panel, ["date"], score, [q]).where(F.col("n_rows") >= least).select("date", F.col("q0").alias("tf_cut"))
+    return panel.join(cuts, "date").where(F.col(score) >= F.col("tf_cut")).drop("tf_cut")
 
 
 def rebalance_dates(dates: DataFrame, h: int) -> DataFrame:
@@ -53,6 +55,15 @@ def top_fraction_backtest(panel: DataFrame, score: str, ret: str, h: int, cost:
     return periods.agg(F.sum("trades").alias("trades"), F.avg("ret").alias("mean_ret"), T.cumulative(F.col("ret")).alias("cumulative"), T.sharpe(F.col("ret"), 252 / h).alias("sharpe"))
 
 
+def backtest_against_benchmark(panel: DataFrame, score: str, ret: str, h: int, cost: float = 0.002, least: int = 10) -> DataFrame:
+    """Metrics of the top decile, cost paid each period, and of all rows without cost, over the same non-overlapping periods."""
+    dealt = panel.join(rebalance_dates(panel, h), "date")
+    top = top_fraction(dealt, score, least=least).groupBy("date").agg((F.avg(ret) - cost).alias("ret"), F.count(F.lit(1)).alias("trades"))
+    bench = dealt.groupBy("date").agg(F.avg(ret).alias("ret")).join(top.select("date"), "date", "left_semi")
+    both = top.withColumn("strategy", F.lit("top")).unionByName(bench.withColumn("strategy", F.lit("benchmark")).withColumn("trades", F.lit(0).cast("long")))
+    return metrics(both, 252 / h).drop("cagr").join(both.groupBy("strategy").agg(F.sum("trades").alias("trades")), "strategy")
+
+
 def decile_spread(panel: DataFrame, ret: str, n: int = 10) -> DataFrame:
     """Mean return by month and decile, and lowest minus highest, realised a month later."""
     wide = panel.where(F.col("decile").isNotNull()).groupBy("month").pivot("decile", list(range(n))).agg(F.avg(ret))

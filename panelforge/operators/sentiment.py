@@ -68,10 +68,10 @@ def news_daily(news: DataFrame, keys: list[str], sentiment: str = "sentiment") -
 
 
 def model_daily(scores: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Means of model scores, each message once (the first by order)."""
+    """Means of model scores, each message once (the first by order); sums are exact to nine places, so their order does not matter."""
     once = keep_first(scores, ["message_id"], order)
-    net = F.col("prob_positive") - F.col("prob_negative")
-    return once.groupBy(*keys).agg(F.avg(net).alias("net_sentiment_mean"), F.avg("prob_negative").alias("prob_neg_mean"), F.count(F.lit(1)).alias("msg_count"))
+    exact = lambda c: F.try_divide(F.sum(c.cast("decimal(18,9)")).cast("double"), F.count(c))
+    return once.groupBy(*keys).agg(exact(F.col("prob_positive") - F.col("prob_negative")).alias("net_sentiment_mean"), exact(F.col("prob_negative")).alias("prob_neg_mean"), F.count(F.lit(1)).alias("msg_count"))
 
 
 def mention_statistics(rows: DataFrame, least: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import columns as C
+from panelforge.functions import stats as T
 from panelforge.operators import panel as P
 from panelforge.operators import portfolio as B
 from panelforge.operators import sentiment as S
@@ -54,7 +55,7 @@ def a5(spark, sf):
     return S.news_daily(messages(spark, sf), ["ticker", "date"])
 
 
-@query("a6_model_daily_after_dedup", f"WITH {MESSAGES}, once AS (SELECT *, row_number() OVER (PARTITION BY post_id // 2 ORDER BY post_id) AS r FROM msgs) SELECT ticker, date, avg(prob_positive - prob_negative) AS net_sentiment_mean, avg(prob_negative) AS prob_neg_mean, count(*) AS msg_count FROM once WHERE r = 1 GROUP BY 1, 2", ["net_sentiment_mean", "prob_neg_mean"])
+@query("a6_model_daily_after_dedup", f"WITH {MESSAGES}, once AS (SELECT *, row_number() OVER (PARTITION BY post_id // 2 ORDER BY post_id) AS r FROM msgs) SELECT ticker, date, sum(CAST(prob_positive - prob_negative AS DECIMAL(18,9)))::DOUBLE / count(*) AS net_sentiment_mean, sum(CAST(prob_negative AS DECIMAL(18,9)))::DOUBLE / count(*) AS prob_neg_mean, count(*) AS msg_count FROM once WHERE r = 1 GROUP BY 1, 2")  # exact sums: nothing to round
 def a6(spark, sf):
     return S.model_daily(messages(spark, sf).withColumn("message_id", F.floor(F.col("post_id") / 2)), ["ticker", "date"], ["post_id"])
 
@@ -90,13 +91,14 @@ def a13(spark, sf):
 
 @query("a14_exact_quantiles", "SELECT quantile_cont(o_totalprice, 0.1) AS p10, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.9) AS p90, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders", ["p10", "p50", "p90", "lo", "hi"])
 def a14(spark, sf):
-    x = "o_totalprice"
-    return read(spark, sf, "orders").agg(*[F.percentile(x, F.lit(p)).alias(n) for p, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))], F.min(x).alias("lo"), F.max(x).alias("hi"))
+    found = T.group_quantiles(read(spark, sf, "orders"), [], "o_totalprice", [0.1, 0.5, 0.9, 0.0, 1.0])
+    return found.select(*[F.col(f"q{i}").alias(n) for i, n in enumerate(("p10", "p50", "p90", "lo", "hi"))])
 
 
 @query("a15_group_medians", f"WITH {BARS} SELECT ticker, quantile_cont(close * volume, 0.5) AS median_dollar_vol, count(*) AS n FROM bars GROUP BY 1", ["median_dollar_vol"])
 def a15(spark, sf):
-    return bars(spark, sf).groupBy("ticker").agg(F.percentile(F.col("close") * F.col("volume"), F.lit(0.5)).alias("median_dollar_vol"), F.count(F.lit(1)).alias("n"))
+    found = T.group_quantiles(bars(spark, sf).withColumn("dollars", F.col("close") * F.col("volume")), ["ticker"], "dollars", [0.5])
+    return found.select("ticker", F.col("q0").alias("median_dollar_vol"), F.col("n_rows").alias("n"))
 
 
 @query("a17_modal_split", f"WITH {MESSAGES}, c AS (SELECT date, label, count(*) AS n FROM msgs GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY n DESC, label) AS k FROM c) SELECT date, label AS modal_label FROM r WHERE k = 1")

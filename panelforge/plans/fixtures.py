@@ -65,3 +65,28 @@ DAILY = """count(post_id) AS mention_count, avg(prob_positive - prob_negative) A
  count(*) FILTER (WHERE label = 'neutral') / count(post_id)::DOUBLE AS neutral_ratio, avg(prob_positive) AS prob_positive_mean, avg(prob_negative) AS prob_negative_mean, avg(prob_neutral) AS prob_neutral_mean,
  sum((prob_positive - prob_negative) * greatest(score::DOUBLE, 1)) / sum(greatest(score::DOUBLE, 1)) AS weighted_sentiment, sum(greatest(score::DOUBLE, 1)) AS total_upvotes, sum(num_comments)::BIGINT AS total_comments"""
 DAILY_DOUBLES = ["net_sentiment_mean", "net_sentiment_max", "net_sentiment_min", "net_sentiment_std", "positive_ratio", "negative_ratio", "neutral_ratio", "prob_positive_mean", "prob_negative_mean", "prob_neutral_mean", "weighted_sentiment", "total_upvotes"]
+
+
+def _simpson(f: str, x: str) -> str:
+    """Integral from 0 to x of f(u), times 6000."""
+    return f"(({x}) * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * {f.replace('U', f'(i * ({x}) / 2000)')})))"
+
+
+def t_upper_sql(t: str, df: str) -> str:
+    """P(T >= t) of Student's distribution, by the angle atan(t / sqrt(df))."""
+    part, whole = (_simpson(f"pow(greatest(cos(U), 0), ({df}) - 1)", x) for x in (f"atan(abs({t}) / sqrt({df}))", "pi() / 2"))
+    return f"(0.5 - 0.5 * sign({t}) * {part} / {whole})"
+
+
+def z_upper_sql(z: str) -> str:
+    """P(Z >= z) of the normal distribution."""
+    return f"(0.5 - {_simpson('exp(-U * U / 2)', z)} / 6000 / sqrt(2 * pi()))"
+
+
+#: Paired tests of each strategy in the table ``long`` (date, strategy, ret) against the one called hold.
+PAIRED = f"""pd AS (SELECT x.strategy, round(x.ret - h.ret, 9) AS d FROM long x JOIN long h USING (date) WHERE h.strategy = 'hold' AND x.strategy <> 'hold'),
+ pm AS (SELECT strategy, count(*) AS n, avg(d) AS mean_diff, avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0) AS t_statistic FROM pd GROUP BY 1),
+ pk AS (SELECT strategy, d, rank() OVER (PARTITION BY strategy ORDER BY abs(d)) + (count(*) OVER (PARTITION BY strategy, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY strategy, abs(d)) AS c FROM pd WHERE d <> 0),
+ pw AS (SELECT strategy, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w_statistic, count(*)::DOUBLE AS k, sum(c * c - 1)::DOUBLE AS ties FROM pk GROUP BY 1),
+ paired AS (SELECT strategy, n, mean_diff, t_statistic, w_statistic, {t_upper_sql('t_statistic', '(n - 1)')} AS p_value_ttest, {z_upper_sql('((w_statistic - k * (k + 1) / 4) / sqrt(k * (k + 1) * (2 * k + 1) / 24 - ties / 48))')} AS p_value_wilcoxon FROM pm JOIN pw USING (strategy)),
+ tested AS (SELECT *, p_value_ttest < 0.05 OR p_value_wilcoxon < 0.05 AS significant_005 FROM paired)"""

@@ -13,9 +13,9 @@ from panelforge.operators import panel as P
 from panelforge.operators import portfolio as B
 from panelforge.operators import sentiment as M
 from panelforge.operators import training as L
-from panelforge.plans.fixtures import BARS, MESSAGES, ORDER_MENTIONS, bars, messages, order_mentions, read
+from panelforge.plans.fixtures import BARS, MESSAGES, ORDER_MENTIONS, PAIRED, bars, messages, order_mentions, read
 from panelforge.plans.registry import query
-from panelforge.plans.study_queries import _PANEL, _panel, _strategies
+from panelforge.plans.study_queries import _PANEL, _STRATS3, _panel, _strategies, _three_strategies
 from panelforge.sources.synthetic import synthetic_posts
 from panelforge.streaming import live
 
@@ -64,8 +64,7 @@ def o5(spark, sf):
 
 @query("a14_quantiles_at_scale", "SELECT quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem", ["p01", "p50", "p99"])
 def a14_scale(spark, sf):
-    found = T.exact_quantiles(read(spark, sf, "lineitem"), "l_extendedprice", [0.01, 0.5, 0.99])
-    return spark.createDataFrame([tuple(found)], "p01 double, p50 double, p99 double")
+    return T.group_quantiles(read(spark, sf, "lineitem"), [], "l_extendedprice", [0.01, 0.5, 0.99]).select(F.col("q0").alias("p01"), F.col("q1").alias("p50"), F.col("q2").alias("p99"))
 
 
 @query("o8_head_and_tail", f"WITH {BARS}, t AS (SELECT ticker, date, close FROM bars) SELECT * FROM (SELECT 'head' AS part, * FROM t ORDER BY date, ticker LIMIT 10) UNION ALL SELECT * FROM (SELECT 'tail' AS part, * FROM t ORDER BY date DESC, ticker DESC LIMIT 10)", ["close"])
@@ -155,16 +154,17 @@ def b6_exposure(spark, sf):
     return E.group_returns(E.sentiment_groups(clean, 5))
 
 
-@query("b3_objectives", f"""WITH {_PANEL}, s AS (SELECT date, coalesce(avg(ret) FILTER (WHERE past < 0), 0) AS a, coalesce(avg(ret) FILTER (WHERE past > 0), 0) AS b, avg(ret) AS c FROM panel GROUP BY 1), long AS (SELECT date, 'contrarian' AS strategy, a AS ret FROM s UNION ALL SELECT date, 'momentum', b FROM s UNION ALL SELECT date, 'hold', c FROM s),
+@query("b3_objectives", f"""WITH {_PANEL}, {_STRATS3}, {PAIRED},
  w AS (SELECT *, product(1 + ret) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS wealth FROM long), p AS (SELECT *, max(wealth) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM w),
- k AS (SELECT strategy, avg(ret) * sqrt(252) / stddev_samp(ret) AS sharpe, -min(wealth / peak - 1) + 0.0 AS max_drawdown, avg(CAST(ret > 0 AS INTEGER)) AS accuracy FROM p GROUP BY 1)
- SELECT strategy, accuracy, sharpe, max_drawdown, accuracy > 0.55 AS met_accuracy, sharpe > 1 AS met_sharpe, max_drawdown < 0.15 AS met_drawdown, false AS met_p_value FROM k""", ["accuracy", "sharpe", "max_drawdown"])
+ k AS (SELECT strategy, avg(ret) * sqrt(252) / stddev_samp(ret) AS sharpe, -min(wealth / peak - 1) + 0.0 AS max_drawdown, avg(CAST(round(ret, 9) > 0 AS INTEGER)) AS accuracy FROM p GROUP BY 1)
+ SELECT strategy, accuracy, sharpe, max_drawdown, least(p_value_ttest, p_value_wilcoxon) AS p_value, accuracy > 0.55 AS met_accuracy, sharpe > 1 AS met_sharpe, max_drawdown < 0.15 AS met_drawdown, coalesce(significant_005, false) AS met_p_value FROM k LEFT JOIN tested USING (strategy)""", ["accuracy", "sharpe", "max_drawdown", "p_value"])
 def b3(spark, sf):
-    p = _panel(spark, sf)
-    runs = B.compare({"contrarian": B.long_only(p), "momentum": B.long_only(p.withColumn("up", (F.col("past") > 0).cast("int")), "up"), "hold": B.buy_and_hold(p)})
-    right = runs.groupBy("strategy").agg(F.avg((F.col("ret") > 0).cast("int")).alias("accuracy"))
-    measured = B.metrics(runs).join(right, "strategy").withColumn("p_value", F.lit(None).cast("double"))
-    return B.objectives(measured).select("strategy", "accuracy", "sharpe", "max_drawdown", "met_accuracy", "met_sharpe", "met_drawdown", "met_p_value")
+    runs = _three_strategies(spark, sf)
+    # what cancels to zero counts as zero, whatever the order of addition
+    right = runs.groupBy("strategy").agg(F.avg((F.round("ret", 9) > 0).cast("int")).alias("accuracy"))
+    tested = T.paired_tests(runs, "hold").select("strategy", F.least("p_value_ttest", "p_value_wilcoxon").alias("p_value"))
+    measured = B.metrics(runs).join(right, "strategy").join(tested, "strategy", "left")
+    return B.objectives(measured).select("strategy", "accuracy", "sharpe", "max_drawdown", "p_value", "met_accuracy", "met_sharpe", "met_drawdown", "met_p_value")
 
 
 @query("b9_survivorship", f"WITH {BARS}, u AS (SELECT n_name AS ticker FROM nation UNION ALL SELECT 'NO_PRICE'), x AS (SELECT ticker, max(date) AS d FROM bars GROUP BY 1), m AS (SELECT ticker, d FROM u LEFT JOIN x USING (ticker)) SELECT count(*) AS n_universe, count(*) FILTER (WHERE d IS NULL) AS n_no_price, count(*) FILTER (WHERE d < DATE '2001-12-01') AS n_delisted, count(*) FILTER (WHERE d >= DATE '2001-12-01') AS n_survivors, count(*) FILTER (WHERE d >= DATE '2001-12-01')::DOUBLE / nullif(count(d), 0) AS survivor_share FROM m", ["survivor_share"])

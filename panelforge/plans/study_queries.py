@@ -9,12 +9,14 @@ from panelforge.functions import stats as T
 from panelforge.operators import panel as P
 from panelforge.operators import portfolio as B
 from panelforge.operators import training as L
-from panelforge.plans.fixtures import BARS, bars, read
+from panelforge.plans.fixtures import BARS, PAIRED, bars, read, t_upper_sql
 from panelforge.plans.registry import query
 
 _PANEL = f"{BARS}, r AS (SELECT ticker, date, close, volume, lead(close) OVER w / close - 1 AS raw, close / lag(close) OVER w - 1 AS past FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)), panel AS (SELECT ticker, date, close, volume, past, least(greatest(raw, -0.02), 0.02) AS ret, CAST(past < 0 AS INTEGER) AS signal FROM r WHERE raw IS NOT NULL AND past IS NOT NULL)"
 _STRATS = "s AS (SELECT date, coalesce(avg(ret) FILTER (WHERE signal = 1), 0) AS a, avg(ret) AS b FROM panel GROUP BY 1), long AS (SELECT date, 'contrarian' AS strategy, a AS ret FROM s UNION ALL SELECT date, 'hold', b FROM s)"
 
+_STRATS3 = "s AS (SELECT date, coalesce(avg(ret) FILTER (WHERE signal = 1), 0) AS a, coalesce(avg(ret) FILTER (WHERE past > 0), 0) AS b, avg(ret) AS c FROM panel GROUP BY 1), long AS (SELECT date, 'contrarian' AS strategy, a AS ret FROM s UNION ALL SELECT date, 'momentum', b FROM s UNION ALL SELECT date, 'hold', c FROM s)"
+
 
 def _panel(spark, sf):
     w = S.by("ticker")
@@ -27,6 +29,11 @@ def _strategies(spark, sf):
     return B.compare({"contrarian": B.long_only(p), "hold": B.buy_and_hold(p)})
 
 
+def _three_strategies(spark, sf):
+    p = _panel(spark, sf)
+    return B.compare({"contrarian": B.long_only(p), "momentum": B.long_only(p.withColumn("up", (F.col("past") > 0).cast("int")), "up"), "hold": B.buy_and_hold(p)})
+
+
 @query("a9_a10_b1_b2_strategies", f"WITH {_PANEL}, {_STRATS} SELECT * FROM long", ["ret"])
 def b1(spark, sf):
     return _strategies(spark, sf)
@@ -45,9 +52,20 @@ def t5(spark, sf):
     return T.paired_statistics(wide.select(F.round(F.col("contrarian") - F.col("hold"), 9).alias("a"), F.lit(0.0).alias("b")), "a", "b")
 
 
-@query("t6_spearman", f"WITH {_PANEL}, k AS (SELECT rank() OVER (ORDER BY past) + (count(*) OVER (PARTITION BY past) - 1) / 2.0 AS a, rank() OVER (ORDER BY ret) + (count(*) OVER (PARTITION BY ret) - 1) / 2.0 AS b FROM panel) SELECT 'past' AS feature, 'ret' AS against, count(*) AS n, corr(a, b) AS rho FROM k", ["rho"])
+@query("t5_paired_p_values", f"WITH {_PANEL}, {_STRATS3}, {PAIRED} SELECT strategy, n, mean_diff, t_statistic, w_statistic, p_value_ttest, p_value_wilcoxon, significant_005 FROM tested", ["mean_diff", "t_statistic", "w_statistic", "p_value_ttest", "p_value_wilcoxon"])
+def t5_p_values(spark, sf):
+    return T.paired_tests(_three_strategies(spark, sf), "hold")
+
+
+@query("t6_spearman", f"WITH {_PANEL}, k AS (SELECT rank() OVER (ORDER BY past) + (count(*) OVER (PARTITION BY past) - 1) / 2.0 AS a, rank() OVER (ORDER BY ret) + (count(*) OVER (PARTITION BY ret) - 1) / 2.0 AS b FROM panel), c AS (SELECT count(*) AS n, corr(a, b) AS rho FROM k) SELECT 'past' AS feature, 'ret' AS against, n, rho, 2 * {t_upper_sql('(abs(rho) * sqrt((n - 2) / (1 - rho * rho)))', '(n - 2)')} AS p_value FROM c", ["rho", "p_value"])
 def t6(spark, sf):
-    return T.spearman(_panel(spark, sf), [("past", "ret")])
+    return T.with_p_value(T.spearman(_panel(spark, sf), [("past", "ret")]))
+
+
+@query("t6_spearman_by_decade", f"WITH {_PANEL}, x AS (SELECT year(date) // 10 * 10 AS decade, volume, ret FROM panel), k AS (SELECT decade, rank() OVER (PARTITION BY decade ORDER BY volume) + (count(*) OVER (PARTITION BY decade, volume) - 1) / 2.0 AS a, rank() OVER (PARTITION BY decade ORDER BY ret) + (count(*) OVER (PARTITION BY decade, ret) - 1) / 2.0 AS b FROM x), c AS (SELECT decade, count(*) AS n, corr(a, b) AS rho FROM k GROUP BY 1) SELECT decade, 'volume' AS feature, 'ret' AS against, n, rho, 2 * {t_upper_sql('(abs(rho) * sqrt((n - 2) / (1 - rho * rho)))', '(n - 2)')} AS p_value FROM c", ["rho", "p_value"])
+def t6_decades(spark, sf):
+    decade = F.floor(F.year("date") / 10) * 10
+    return T.with_p_value(T.spearman(_panel(spark, sf).withColumn("decade", decade), [("volume", "ret")], ["decade"]))
 
 
 @query("t7_pearson_sign_flip", f"WITH {_PANEL}, rho AS (SELECT corr(past, ret) FILTER (WHERE date < DATE '1999-01-01') AS train_rho, corr(past, ret) FILTER (WHERE date >= DATE '1999-01-01') AS test_rho FROM panel) SELECT *, sign(train_rho) <> sign(test_rho) AS flips FROM rho", ["train_rho", "test_rho"])
@@ -74,7 +92,12 @@ def m10_monthly(spark, sf):
     return T.auc(x, "s", "y", ["month"], 20)
 
 
-@query("a21_a22_confusion", f"WITH {_PANEL}, c AS (SELECT count(*) FILTER (WHERE ret > 0 AND signal = 1) AS tp, count(*) FILTER (WHERE ret <= 0 AND signal = 1) AS fp, count(*) FILTER (WHERE ret > 0 AND signal = 0) AS fn, count(*) FILTER (WHERE ret <= 0 AND signal = 0) AS tn FROM panel) SELECT *, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS accuracy, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall, 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS f1 FROM c", ["accuracy", "precision", "recall", "f1"])
+@query("m10_share_of_months", f"WITH {_PANEL}, x AS (SELECT date_trunc('month', date)::DATE AS month, -past AS s, CAST(ret > 0 AS INTEGER) AS y FROM panel), k AS (SELECT month, y, rank() OVER (PARTITION BY month ORDER BY s) + (count(*) OVER (PARTITION BY month, s) - 1) / 2.0 AS r FROM x), g AS (SELECT month, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg, sum(r) FILTER (WHERE y = 1)::DOUBLE AS sr FROM k GROUP BY 1), monthly AS (SELECT month, n_pos, n_neg, (sr - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg) AS auc FROM g WHERE n_pos > 0 AND n_neg > 0 AND n_pos + n_neg >= 20) SELECT count(*) AS n_months, avg(auc) AS auc_mean, stddev_samp(auc) AS auc_std, avg(CAST(auc > 0.55 AS INTEGER)) AS share_over FROM monthly", ["auc_mean", "auc_std", "share_over"])
+def m10_share(spark, sf):
+    return T.auc_summary(m10_monthly(spark, sf))
+
+
+@query("a21_a22_confusion", f"WITH {_PANEL}, c AS (SELECT count(*) FILTER (WHERE ret > 0 AND signal = 1) AS tp, count(*) FILTER (WHERE ret <= 0 AND signal = 1) AS fp, count(*) FILTER (WHERE ret > 0 AND signal = 0) AS fn, count(*) FILTER (WHERE ret <= 0 AND signal = 0) AS tn FROM panel) SELECT *, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS accuracy, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall, 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS f1, tn::DOUBLE / (tn + fn) AS precision_0, tn::DOUBLE / (tn + fp) AS recall_0, 2.0::DOUBLE * tn / (2 * tn + fp + fn) AS f1_0 FROM c", ["accuracy", "precision", "recall", "f1", "precision_0", "recall_0", "f1_0"])
 def a21(spark, sf):
     return T.confusion(_panel(spark, sf).withColumn("y", (F.col("ret") > 0).cast("int")), "y", "signal")
 
@@ -84,6 +107,11 @@ def b4(spark, sf):
     return B.top_fraction_backtest(_panel(spark, sf).withColumn("s", -F.col("past")), "s", "ret", 5)
 
 
+@query("b4_backtest_against_benchmark", f"WITH {_PANEL}, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM panel)), x AS (SELECT p.*, quantile_cont(-past, 0.9) OVER (PARTITION BY date) AS cut, count(*) OVER (PARTITION BY date) AS n FROM panel p JOIN d USING (date) WHERE k % 5 = 0), q AS (SELECT date, avg(ret) FILTER (WHERE -past >= cut) - 0.002 AS top, avg(ret) AS bench, count(*) FILTER (WHERE -past >= cut) AS trades FROM x WHERE n >= 10 GROUP BY 1), l AS (SELECT 'top' AS strategy, date, top AS ret, trades FROM q UNION ALL SELECT 'benchmark', date, bench, 0 FROM q), w AS (SELECT *, product(1 + ret) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS wealth FROM l), p AS (SELECT *, max(wealth) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM w) SELECT strategy, count(*) AS n, product(1 + ret) - 1 AS cumulative, avg(ret) * sqrt(252 / 5.0) / stddev_samp(ret) AS sharpe, -min(wealth / peak - 1) + 0.0 AS max_drawdown, sum(trades)::BIGINT AS trades FROM p GROUP BY 1", ["cumulative", "sharpe", "max_drawdown"])
+def b4_benchmark(spark, sf):
+    return B.backtest_against_benchmark(_panel(spark, sf).withColumn("s", -F.col("past")), "s", "ret", 5)
+
+
 @query("b5_a16_decile_spread", f"""WITH {_PANEL}, m AS (SELECT ticker, date_trunc('month', date)::DATE AS month, avg(past) AS x, avg(ret) AS ret FROM panel GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY x, ticker) AS r, count(*) OVER (PARTITION BY month) AS n FROM m),
  q AS (SELECT *, greatest(ceil((r - 1) * 5 / greatest(n - 1, 1)::DOUBLE)::INTEGER - 1, 0) AS d FROM k WHERE n >= 5) SELECT month, avg(ret) FILTER (WHERE d = 0) AS low, avg(ret) FILTER (WHERE d = 4) AS high, avg(ret) FILTER (WHERE d = 0) - avg(ret) FILTER (WHERE d = 4) AS long_short, (month + INTERVAL 1 MONTH)::DATE AS realised FROM q GROUP BY month""", ["low", "high", "long_short"])
 def b5(spark, sf):
