@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from panelforge.storage import discard, stored
+
 
 def by(key: str | list[str], order: str = "date") -> WindowSpec:
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
@@ -74,47 +76,84 @@ def qcut_bucket(rank: Column, n: Column, buckets: int) -> Column:
     return F.greatest(F.ceil((rank - 1) * buckets / F.greatest(n - 1, F.lit(1))).cast("int") - 1, F.lit(0))
 
 
-def _ewm(x: np.ndarray, alpha: float) -> np.ndarray:
-    """y[0] = x[0]; y[t] = (1 - a) y[t-1] + a x[t]."""
-    out = np.empty(len(x))
-    last = np.nan
-    for i, v in enumerate(x):
-        last = v if i == 0 else (1 - alpha) * last + alpha * v
-        out[i] = last
-    return out
-
-
-def momentum(close: pd.Series, rsi_n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> pd.DataFrame:
-    """RSI, MACD line, signal and histogram of one ordered series; null until warmed up."""
-    x = close.to_numpy(float)
-    n = len(x)
-    out = {c: np.full(n, np.nan) for c in ("rsi", "macd", "macd_signal", "macd_hist")}
-    step = np.diff(x, prepend=x[:1])
-    up, down = _ewm(np.maximum(step, 0), 1 / rsi_n), _ewm(np.maximum(-step, 0), 1 / rsi_n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rsi = np.where(down == 0, 100.0, 100 - 100 / (1 + up / down))
-    out["rsi"][rsi_n - 1 :] = rsi[rsi_n - 1 :]
-    if n >= slow:
-        line = _ewm(x, 2 / (fast + 1)) - _ewm(x, 2 / (slow + 1))
-        out["macd"][slow - 1 :] = line[slow - 1 :]
-        sig = _ewm(line[slow - 1 :], 2 / (signal + 1))
-        at = slow - 1 + signal - 1
-        if n > at:
-            out["macd_signal"][at:] = sig[signal - 1 :]
-            out["macd_hist"][at:] = line[at:] - sig[signal - 1 :]
-    return pd.DataFrame(out, index=close.index)
-
-
-def with_momentum(bars: DataFrame, key: str = "ticker", order: str = "date", close: str = "close", least: int = 26) -> DataFrame:
-    """bars with RSI and MACD columns, one grouped-map task for each key; keys with fewer than ``least`` bars get nulls."""
-    fields = ", ".join(f"`{n}` {t}" for n, t in bars.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        made = momentum(pdf[close]) if len(pdf) >= least else pd.DataFrame(np.nan, index=pdf.index, columns=["rsi", "macd", "macd_signal", "macd_hist"])
-        return pd.concat([pdf, made], axis=1)
-
-    return bars.groupBy(key).applyInPandas(run, f"{fields}, rsi double, macd double, macd_signal double, macd_hist double")
+#: What lies so many halvings back no longer reaches a double.
+_HALVINGS = 80
+
+
+def scan_blocks(rows: DataFrame, key: str, order: str, block: Column, last: str, written: list[DataFrame]) -> DataFrame:
+    """rows with es_block, es_k (their number in the key, from 1), es_first (that of their block's first row), es_n (rows of the key) and es_before (``last`` of the row before).
+
+    A block must hold few rows; only one row a block is put in order over a whole key.
+    What is read twice is written once, and added to ``written``.
+    """
+    marked = stored(rows.withColumn("es_block", block), "series")
+    written.append(marked)
+    sizes = marked.groupBy(key, "es_block").agg(F.count(F.lit(1)).alias("es_rows"), F.max_by(last, order).alias("es_last"))
+    over = Window.partitionBy(key).orderBy("es_block")
+    ahead = F.coalesce(F.sum("es_rows").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = sizes.select(key, "es_block", (ahead + 1).alias("es_first"), F.lag("es_last").over(over).alias("es_last"), F.sum("es_rows").over(Window.partitionBy(key)).alias("es_n"))
+    inside = Window.partitionBy(key, "es_block").orderBy(order)
+    placed = marked.join(heads, [key, "es_block"])
+    return placed.withColumn("es_k", F.col("es_first") + F.row_number().over(inside) - 1).withColumn("es_before", F.coalesce(F.lag(last).over(inside), F.col("es_last"))).drop("es_last")
+
+
+def ema_scan(rows: DataFrame, key: str, order: str, averages: dict[str, tuple[Column, float, int]], written: list[DataFrame]) -> DataFrame:
+    """Exponential averages of rows from scan_blocks(); averages: name -> (values, alpha, number of the row they start at).
+
+    y = (1 - alpha) y + alpha x is a linear step, so steps of a block compose to one
+    pair (decay, sum), and the value before a block follows from the pairs of earlier
+    blocks. Only pairs cross blocks: a key of any length is worked on block by block, in
+    as many tasks as there are blocks. The first value is x itself; null before it.
+    """
+    decay = {n: -math.log(1 - alpha) for n, (_, alpha, _) in averages.items()}
+    k, first, start = F.col("es_k"), F.col("es_first"), {n: s for n, (_, _, s) in averages.items()}
+    step = {n: F.when(k > s, x * alpha).when(k == s, x) for n, (x, alpha, s) in averages.items()}
+    inside = Window.partitionBy(key, "es_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumns({f"es_y_{n}": F.sum(step[n] * F.exp((k - first) * decay[n])).over(inside) * F.exp((first - k) * decay[n]) for n in averages})
+    local = stored(local, "series")
+    written.append(local)
+    ends = local.groupBy(key, "es_block").agg(F.max("es_k").alias("es_end"), *[F.coalesce(F.max_by(f"es_y_{n}", "es_k"), F.lit(0.0)).alias(f"es_b_{n}") for n in averages])
+    over = Window.partitionBy(key).orderBy("es_end")
+    reach = math.ceil(_HALVINGS * math.log(2) / min(decay.values()))
+    near = over.rangeBetween(-reach, 0)
+
+    def summed(n: str) -> Column:
+        return F.aggregate(F.collect_list(F.struct("es_end", f"es_b_{n}")).over(near), F.lit(0.0), lambda acc, p: acc + p[f"es_b_{n}"] * F.exp((p["es_end"] - F.col("es_end")) * decay[n]))
+
+    sums = {n: summed(n) for n in averages}
+    carried = ends.select(key, "es_block", "es_end", *[c.alias(f"es_c_{n}") for n, c in sums.items()])
+    carried = carried.select(key, "es_block", *[F.coalesce(F.lag(f"es_c_{n}").over(over), F.lit(0.0)).alias(f"es_c_{n}") for n in averages])
+    whole = local.join(carried, [key, "es_block"])
+    out = {n: F.when(k >= start[n], F.coalesce(F.col(f"es_y_{n}"), F.lit(0.0)) + F.col(f"es_c_{n}") * F.exp((first - k - 1) * decay[n])) for n in averages}
+    return whole.withColumns(out).drop(*[f"es_{x}_{n}" for n in averages for x in ("y", "c")])
+
+
+def day_block(order: str = "date", days: int = 256) -> Column:
+    return F.floor(F.unix_date(order) / days)
+
+
+def with_momentum(bars: DataFrame, key: str = "ticker", order: str = "date", close: str = "close", least: int = 26, block: Column | None = None, rsi_n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """bars with RSI and MACD columns, null until warmed up; keys with fewer than ``least`` bars get nulls.
+
+    block: what cuts a key's rows into runs of few hundred, in order (256 days, if none).
+    Rows without a close take no part and get nulls.
+    """
+    names, written = bars.columns, []
+    there = scan_blocks(bars.where(F.col(close).isNotNull()), key, order, day_block(order) if block is None else block, close, written)
+    step = F.coalesce(F.col(close).cast("double") - F.col("es_before"), F.lit(0.0))
+    x = F.col(close).cast("double")
+    firsts = ema_scan(there, key, order, {"wm_up": (F.greatest(step, F.lit(0.0)), 1 / rsi_n, 1), "wm_down": (F.greatest(-step, F.lit(0.0)), 1 / rsi_n, 1), "wm_fast": (x, 2 / (fast + 1), 1), "wm_slow": (x, 2 / (slow + 1), 1)}, written)
+    line = firsts.withColumn("wm_line", F.col("wm_fast") - F.col("wm_slow"))
+    both = ema_scan(line, key, order, {"wm_signal": (F.col("wm_line"), 2 / (signal + 1), slow)}, written)
+    discard(*written[:-1])
+    k, enough = F.col("es_k"), F.col("es_n") >= least
+    ready = slow + signal - 1
+    out = {
+        "rsi": F.when(enough & (k >= rsi_n), F.when(F.col("wm_down") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("wm_up") / F.nullif("wm_down", F.lit(0.0))))),
+        "macd": F.when(enough & (k >= slow), F.col("wm_line")), "macd_signal": F.when(enough & (k >= ready), F.col("wm_signal")), "macd_hist": F.when(enough & (k >= ready), F.col("wm_line") - F.col("wm_signal")),
+    }
+    done = both.select(*names, *[c.alias(n) for n, c in out.items()])
+    return done.unionByName(bars.where(F.col(close).isNull()).select("*", *[F.lit(None).cast("double").alias(n) for n in out]))
 
 
 def ema_fold(values: Column, alpha: float) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import columns as C
 from panelforge.functions.text import native_value
+from panelforge.storage import discard, stored
 
 
 def mentions(messages: DataFrame, tickers: str = "tickers", out: str = "ticker") -> DataFrame:
@@ -90,51 +91,47 @@ def cap_per_group(df: DataFrame, key: list[str], order: list[str], n: int) -> Da
     return df.withColumn("cap_row", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("cap_row") <= n).drop("cap_row")
 
 
-def greedy_cap(messages: DataFrame, cap: int, date: str = "date", key: str = "post_id", tickers: str = "tickers", order: list[str] | None = None, rounds: int = 50) -> DataFrame:
+def _under_cap(messages: DataFrame, cap: int, date: str, tickers: str, order: list[str], identity: list[str]) -> DataFrame:
+    """Messages that are among the first ``cap`` of any of their tickers that day; what is over in a task goes before the shuffle."""
+    one = messages.withColumn("gc_ticker", F.explode(F.array_distinct(tickers)))
+    place = F.row_number().over(Window.partitionBy(date, "gc_ticker").orderBy(*order))
+    found = one.withColumn("gc_place", place).where(F.col("gc_place") <= cap).drop("gc_place", "gc_ticker")
+    return found.dropDuplicates(identity)
+
+
+def greedy_cap(messages: DataFrame, cap: int, date: str = "date", key: str = "post_id", tickers: str = "tickers", order: list[str] | None = None) -> DataFrame:
     """Messages in order, kept while any of their tickers is under the cap that day; a kept one counts for all its tickers.
 
-    order: what makes up the order of arrival (file and row; the key, if none). A key
-    is kept once over all dates. Counters never cross a date, so a date is a task;
-    only keys on several dates tie dates together: a row whose key was kept further
-    ahead is barred and its date done again, until nothing changes. What is barred
-    only depends on rows further ahead, so that ends.
+    order: what makes up the order of arrival (file and row; the key, if none), ties by
+    key. A ticker counts once in a message; messages without one are dropped. A message
+    is refused only when all its tickers are full, so as long as a ticker is not full,
+    all its earlier messages were kept: it is full exactly from the (cap + 1)-th of them
+    on. So a message is kept exactly if it is among the first ``cap`` of one of its
+    tickers, which no task needs a whole day for. A key is kept once: of its rows (on
+    several dates, say), those after the kept one count for nothing. Which they are
+    depends on rows further ahead alone, so a few rounds over the keys with several
+    rows settle it, each at least one row further ahead.
     """
-    import pandas as pd
-
-    order = order or [key]
-    names = messages.columns
-    schema = messages.schema.add("gc_barred", "boolean")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        seen: dict[str, int] = {}
-        ids: set = set()
-        keep = []
-        for one, found, barred in zip(pdf[key], pdf[tickers], pdf["gc_barred"], strict=True):
-            found = list(found) if found is not None else []
-            ok = not barred and one not in ids and any(seen.get(t, 0) < cap for t in found)
-            if ok:
-                ids.add(one)
-                for t in found:
-                    seen[t] = seen.get(t, 0) + 1
-            keep.append(ok)
-        return pdf[keep]
-
-    on_many = messages.groupBy(key).agg(F.count_distinct(date).alias("gc_dates")).where("gc_dates > 1").select(key)
-    rivals = messages.join(on_many, key, "left_semi").select(key, date, F.struct(*order).alias("gc_at"))
-    barred = None
-    for _ in range(rounds):
-        marked = messages.withColumn("gc_barred", F.lit(False)) if barred is None else messages.join(barred, [key, date], "left").withColumn("gc_barred", F.coalesce(F.struct(*order) > F.col("gc_after"), F.lit(False))).select(*names, "gc_barred")
-        kept = marked.groupBy(date).applyInPandas(run, schema).select(names)
-        if barred is None and not rivals.limit(1).count():
-            return kept
-        first = kept.join(on_many, key, "left_semi").groupBy(key).agg(F.min(F.struct(*order)).alias("gc_after"))
-        now = rivals.join(first, key).where(F.col("gc_at") > F.col("gc_after")).select(key, date, "gc_after").distinct()
-        now = now.checkpoint() if now.sparkSession.conf.get("spark.checkpoint.dir", None) else now.cache()
+    order = [*(order or []), key]
+    many = messages.groupBy(key).agg(F.count(F.lit(1)).alias("gc_n")).where("gc_n > 1").select(F.col(key).alias("gc_key"))
+    same = F.col(key).eqNullSafe(F.col("gc_key"))
+    if not many.limit(1).count():
+        return _under_cap(messages, cap, date, tickers, order, [key])
+    many = stored(many, "cap-keys")
+    numbered = messages.join(many, same, "left_semi").withColumn("gc_seq", F.row_number().over(Window.partitionBy(key).orderBy(*order, date)))
+    rivals = stored(numbered, "cap-rivals")
+    lone = messages.join(many, same, "left_anti").withColumn("gc_seq", F.lit(1))
+    barred, written = None, [many, rivals]
+    while True:
+        left = rivals if barred is None else rivals.join(barred, same, "left").where("gc_after is null or gc_seq <= gc_after").drop("gc_key", "gc_after")
+        kept = _under_cap(lone.unionByName(left), cap, date, tickers, [*order, "gc_seq"], [key, "gc_seq"])
+        now = stored(kept.join(many, same, "left_semi").groupBy(F.col(key).alias("gc_key")).agg(F.min("gc_seq").alias("gc_after")), "cap-kept")
+        written.append(now)
         if barred is not None and not now.exceptAll(barred).limit(1).count() and not barred.exceptAll(now).limit(1).count():
-            return kept
+            out = stored(kept.drop("gc_seq"), "cap-result")
+            discard(*written)
+            return out
         barred = now
-    raise RuntimeError("keys tie too many dates together")
 
 
 def cap_resumed(messages: DataFrame, written: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
-import uuid
 from datetime import date, datetime
 
 from pyspark.sql import SparkSession
@@ -16,18 +14,14 @@ from panelforge.operators import sentiment as M
 from panelforge.operators import training as L
 from panelforge.plans.fixtures import BARS, bars, messages, read
 from panelforge.plans.registry import query
-from panelforge.sources import files, replay
+from panelforge.sources import files, quoted_csv, replay
+from panelforge.storage import fresh_path
 from panelforge.streaming import incremental, live
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; a temporary one in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="panelforge-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share."""
+    return fresh_path(spark, name)
 
 
 @query("s1_s11_text_csv", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || ', \"x\"' AS n_name, '' AS missing FROM nation")
@@ -47,6 +41,14 @@ def s2(spark, sf):
     return files.read_typed_csv(spark, path, "o_orderkey long, o_totalprice double", header=False)
 
 
+@query("s1_s3_s4_quoted_newlines", "SELECT doc_id, nullif(text, '') AS text, lang FROM documents")
+def s3_quoted(spark, sf):
+    """Whole documents as CSV cells with line ends and quotes in them; an empty cell is a missing one."""
+    path = scratch(spark, "quoted")
+    read(spark, sf, "documents").select("doc_id", "text", "lang").write.option("escape", '"').csv(path, header=True)
+    return quoted_csv.read_quoted_csv(spark, path, "doc_id long, text string, lang string")
+
+
 @query("s5_s7_folder", "SELECT event_type, count(*) AS n, count(DISTINCT event_type) AS n_types FROM events GROUP BY 1")
 def s5(spark, sf):
     path = scratch(spark, "folder")
@@ -134,12 +136,43 @@ def h2(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("h3_h7_daily_stream", "WITH e AS (SELECT CAST(ts AS DATE) AS date, event_type FROM events), c AS (SELECT DISTINCT date FROM e WHERE isodow(date) < 6), r AS (SELECT e.event_type, (SELECT min(c.date) FROM c WHERE c.date >= e.date) AS trading_date FROM e) SELECT event_type, trading_date, count(*) AS n FROM r WHERE trading_date IS NOT NULL GROUP BY 1, 2")
+def _arrivals(rows, path: str, ts: str, n: int = 3) -> None:
+    """Rows as n files, each written after the one before, in order of time."""
+    lo, hi = rows.agg(F.min(F.unix_date(F.to_date(ts))), F.max(F.unix_date(F.to_date(ts)))).first()
+    part = F.floor((F.unix_date(F.to_date(ts)) - F.lit(lo)) * n / F.lit(hi - lo + 1))
+    for i in range(n):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+
+
+@query("h3_h7_daily_stream", "WITH e AS (SELECT CAST(ts AS DATE) AS date, event_type FROM events), c AS (SELECT DISTINCT date FROM e WHERE isodow(date) < 6), r AS (SELECT e.event_type, (SELECT min(c.date) FROM c WHERE c.date >= e.date) AS trading_date FROM e WHERE date + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)) SELECT event_type, trading_date, count(*) AS n FROM r WHERE trading_date IS NOT NULL GROUP BY 1, 2")
 def h3(spark, sf):
+    """Days that are final: their end lies a day or more before the last event."""
     dates = messages(spark, sf).select("date").distinct()
     calendar = M.trading_calendar(dates.where(F.weekday("date") < 5), dates)
-    daily = incremental.daily_stream(_stream(spark, sf), calendar, "ts", ["event_type"], [F.count(F.lit(1)).alias("n")])
-    return incremental.drain_to_memory(daily, f"h3_{uuid.uuid4().hex}")
+    path = scratch(spark, "days-in")
+    _arrivals(read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), path, "ts")
+    days = incremental.daily_stream(incremental.file_stream(spark, path, _STREAMED, max_files=1), "ts", ["event_type"], [F.count(F.lit(1)).alias("n")])
+    store = incremental.drain_days(days, scratch(spark, "days-out"), scratch(spark, "checkpoint"))
+    return incremental.on_trading_dates(store, calendar, ["event_type"], ["n"])
+
+
+_TWO = "p AS (SELECT event_id AS post_id, ts, CAST(ts AS DATE) AS date, [event_type, 'U' || user_id % 7] AS tickers FROM events)"
+
+
+@query("h4_h5_capped_stream", f"WITH {_TWO}, k AS (SELECT post_id, row_number() OVER (PARTITION BY date, t ORDER BY ts, post_id) AS r FROM (SELECT post_id, ts, date, unnest(tickers) AS t FROM p)) SELECT DISTINCT post_id FROM k WHERE r <= 9")
+def h5_stream(spark, sf):
+    """The greedy cap as state over arriving files, stopped after each and started again from its checkpoint."""
+    path, out, checkpoint = (scratch(spark, x) for x in ("cap-in", "cap-out", "cap-checkpoint"))
+    e = read(spark, sf, "events").select(F.col("event_id").alias("post_id"), F.col("ts").cast("timestamp").alias("ts"), F.array("event_type", F.concat(F.lit("U"), F.col("user_id") % 7)).alias("tickers"))
+    _arrivals(e, path, "ts")
+    stores = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(stores)
+    spark.conf.set(stores, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        kept = incremental.drain_to_parquet(incremental.capped_stream(incremental.file_stream(spark, path, e.schema, max_files=1), 9, "ts"), out, checkpoint)
+    finally:
+        spark.conf.set(stores, before)
+    return kept.select("post_id")
 
 
 @query("h8_prediction_log", "SELECT run, count(*) AS n FROM nation, (VALUES ('20240102_100000'), ('20240102_110000')) r(run) GROUP BY 1")

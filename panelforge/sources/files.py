@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from panelforge.sources.quoted_csv import read_quoted_csv
+
 
 def read_text_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """All columns as text, nulls as empty strings. With multiline quoted cells may hold line ends, at the price of one task a file."""
-    return spark.read.csv(path, header=True, multiLine=multiline, escape='"', inferSchema=False).na.fill("")
+    """All columns as text, nulls as empty strings. With multiline quoted cells may hold line ends; splits stay parallel (see quoted_csv)."""
+    if multiline:
+        return read_quoted_csv(spark, path)
+    return spark.read.csv(path, header=True, escape='"', inferSchema=False).na.fill("")
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: str | StructType, columns: list[str] | None = None, header: bool = True) -> DataFrame:
@@ -42,7 +46,9 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 def read_folder(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
     """A folder tree with file_path and row order, for first-come rules."""
     df = spark.read.format(fmt).options(recursiveFileLookup=True, **options).load(path)
-    return df.withColumn("file_path", F.col("_metadata.file_path")).withColumn("row_order", F.monotonically_increasing_id())
+    found = df.select("*", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("rf_block"))
+    # how splits are packed into tasks does not matter: by file, place of the split in it, and row of the split
+    return found.withColumn("row_order", F.struct("file_path", "rf_block", F.monotonically_increasing_id().alias("row"))).drop("rf_block")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -76,10 +82,10 @@ def swap_parquet(df: DataFrame, path: str) -> None:
     fs.delete(named(old), True)
 
 
-def write_by_year(df: DataFrame, path: str, date: str = "date") -> None:
-    """Partitions by year, only those written are replaced: writing twice does not double rows."""
+def write_by_year(df: DataFrame, path: str, date: str = "date", tasks: int = 8) -> None:
+    """Partitions by year, only those written are replaced: writing twice does not double rows. A year is dealt to several tasks by its dates."""
     parts = df.withColumn("year", F.year(date))
-    parts.repartition("year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    parts.repartition("year", F.pmod(F.xxhash64(date), F.lit(tasks))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:

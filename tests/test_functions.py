@@ -29,24 +29,49 @@ def test_clean_text_properties(spark):
     assert "u ir" in got[1]  # nfa has no word boundaries
 
 
-def test_momentum_against_pandas():
-    x = pd.Series(np.random.default_rng(1).normal(0, 1, 120).cumsum() + 50)
-    got = series.momentum(x)
+def pandas_momentum(x):
     step = x.diff().fillna(0)
     up, down = step.clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean(), (-step.clip(upper=0)).ewm(alpha=1 / 14, adjust=False).mean()
-    want = 100 - 100 / (1 + up / down)
-    assert np.allclose(got.rsi[13:], want[13:]) and got.rsi[:13].isna().all()
+    rsi = (100 - 100 / (1 + up / down)).where(down > 0, 100.0)
     line = x.ewm(span=12, adjust=False).mean() - x.ewm(span=26, adjust=False).mean()
-    assert np.allclose(got.macd[25:], line[25:])
-    assert np.allclose(got.macd_signal[33:], line[25:].ewm(span=9, adjust=False).mean()[8:])
+    signal = line[25:].ewm(span=9, adjust=False).mean()
+    out = pd.DataFrame({"rsi": rsi, "macd": line, "macd_signal": signal, "macd_hist": line - signal})
+    for name, warm in (("rsi", 13), ("macd", 25), ("macd_signal", 33), ("macd_hist", 33)):
+        out.loc[out.index < warm, name] = np.nan
+    return out if len(x) >= 26 else out * np.nan
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 100_000])
+def test_momentum_in_blocks_against_pandas(spark, size):
+    """Series of several lengths, one with gaps, one constant, one far from zero: blocks of any size give what pandas gives."""
+    rng = np.random.default_rng(1)
+    walks = {"long": rng.normal(0, 1, 1500).cumsum() + 500, "flat": np.full(60, 5.0), "far": rng.normal(0, 1, 300).cumsum() + 1e9, "short": rng.normal(0, 1, 25) + 9, "ready": rng.normal(0, 1, 34) + 9}
+    rows = [(t, i * 3, float(v)) for t, x in walks.items() for i, v in enumerate(x)] + [("long", 1, None), ("flat", 2, None), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "ticker string, date int, close double")
+    got = series.with_momentum(df, block=F.floor(F.col("date") / size)).toPandas().sort_values("date")
+    assert len(got) == len(rows) and got[got.close.isna()].iloc[:, 3:].isna().all(axis=None)
+    for t, x in walks.items():
+        own = got[(got.ticker == t) & got.close.notna()]
+        want = pandas_momentum(pd.Series(x))
+        for name in want:
+            assert np.allclose(own[name], want[name], rtol=1e-6, atol=1e-6 if t != "far" else 1e-3, equal_nan=True), (t, name)
+
+
+def test_momentum_is_spread_and_native(spark):
+    """No Python worker, and no exchange of rows by ticker alone."""
+    df = spark.range(1000).select(F.lit("a").alias("ticker"), F.col("id").alias("date"), F.rand(1).alias("close"))
+    plan = series.with_momentum(df, block=F.floor(F.col("date") / 50))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "hashpartitioning(ticker" in plan
+    assert "date" not in " ".join(line for line in plan.split("\n") if "Window" in line and "es_block" not in line and "es_end" not in line)
 
 
 def test_no_look_ahead(spark):
     rows = [("a", i, float(50 + (i * 7) % 11)) for i in range(60)]
     full = spark.createDataFrame(rows, "ticker string, date int, close double")
     cut = full.where("date < 40")
-    a = {r.date: r for r in series.with_momentum(full).where("date < 40").collect()}
-    b = {r.date: r for r in series.with_momentum(cut).collect()}
+    block = F.floor(F.col("date") / 16)
+    a = {r.date: r for r in series.with_momentum(full, block=block).where("date < 40").collect()}
+    b = {r.date: r for r in series.with_momentum(cut, block=block).collect()}
     assert all(x == y or (x is None) == (y is None) for d in b for x, y in zip(a[d], b[d], strict=True))
 
 

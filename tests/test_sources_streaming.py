@@ -1,9 +1,13 @@
+import csv
+import io
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import sentiment as S
-from panelforge.sources import files
+from panelforge.sources import files, quoted_csv
 from panelforge.sources.broker import Account, FractionRefused, orders, submit
 from panelforge.sources.replay import BarReplay, FetchError, PagedReplay, RateLimit, prices_with_fallback, read_forum, trending, with_retry, write_by_ticker
 from panelforge.streaming import incremental as I
@@ -180,15 +184,127 @@ def test_live_steps(spark, tmp_path):
     assert marks.lock("you")
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    events.repartition(3).write.parquet(str(tmp_path / "in"))
-    days = events.select(F.to_date("ts").alias("date")).distinct().where(F.weekday("date") < 5)
-    calendar = S.trading_calendar(days, events.select(F.to_date("ts").alias("date")).distinct())
-    stream = I.file_stream(spark, str(tmp_path / "in"), events.schema)
-    out = I.drain_to_memory(I.daily_stream(stream, calendar, "ts", ["event_type"], [F.count("*").alias("n")]), "daily_out")
-    want = events.withColumn("date", F.to_date("ts")).join(calendar, "date").where("trading_date is not null").groupBy("event_type", "trading_date").count()
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+def test_late_rows_of_days(spark, tmp_path):
+    """Rows inside the mark count, later ones do not, open days are not out yet; a replay changes nothing."""
+    at = lambda d, h: f"2024-01-{d:02d} {h:02d}:00:00"
+    files_ = [[(at(1, 1), "a"), (at(2, 1), "a")], [(at(3, 2), "b"), (at(2, 5), "a")], [(at(2, 9), "a"), (at(5, 3), "a")], [(at(1, 9), "late"), (at(8, 0), "b")]]
+    for rows in files_:
+        spark.createDataFrame(rows, "t string, k string").select(F.to_timestamp("t").alias("ts"), "k").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = I.file_stream(spark, str(tmp_path / "in"), "ts timestamp, k string", max_files=1)
+    for checkpoint in ("one", "two"):
+        out = I.drain_days(I.daily_stream(stream, "ts", ["k"], [F.count("*").alias("n")], "1 day"), str(tmp_path / "out"), str(tmp_path / checkpoint))
+        assert sorted((str(r.date), r.k, r.n) for r in out.collect()) == [("2024-01-01", "a", 1), ("2024-01-02", "a", 3), ("2024-01-03", "b", 1), ("2024-01-05", "a", 1)]
+    calendar = spark.createDataFrame([("2024-01-01", "2024-01-02"), ("2024-01-02", "2024-01-02"), ("2024-01-03", "2024-01-03"), ("2024-01-05", None)], "a string, b string").select(F.to_date("a").alias("date"), F.to_date("b").alias("trading_date"))
+    rolled = I.on_trading_dates(out, calendar, ["k"], ["n"])
+    assert sorted((r.k, str(r.trading_date), r.n) for r in rolled.collect()) == [("a", "2024-01-02", 4), ("b", "2024-01-03", 1)]
+
+
+def capped_by_hand(rows, cap):
+    """Message by message, as they come; the ids that are kept."""
+    taken, kept = {}, []
+    for post, ts, tickers in rows:
+        if any(taken.get((ts[:10], t), 0) < cap for t in tickers):
+            kept.append(post)
+            for t in tickers:
+                taken[ts[:10], t] = taken.get((ts[:10], t), 0) + 1
+    return kept
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def message_rows(n=300):
+    rng = random.Random(4)
+    return [(i, f"2024-01-{1 + i // 60:02d} {i % 60 // 3:02d}:00:00", rng.sample("ABCDE", rng.randint(1, 3))) for i in range(n)]
+
+
+_MESSAGE = "post_id long, t string, tickers array<string>"
+
+
+def test_capped_stream_equals_batch_over_restarts(spark, tmp_path, rocks):
+    """Counters come back from the state store after each stop; copies of a message count once."""
+    rows = message_rows()
+    df = spark.createDataFrame(rows, _MESSAGE).withColumn("ts", F.to_timestamp("t")).drop("t")
+    for lo, hi in ((0, 70), (70, 170), (170, 300)):
+        part = df.where(F.col("post_id").between(lo, hi - 1))
+        part.unionByName(part.limit(9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = I.file_stream(spark, str(tmp_path / "in"), df.schema, max_files=1)
+        got = I.drain_to_parquet(I.capped_stream(stream, 7, "ts"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    want = capped_by_hand(rows, 7)
+    assert sorted(r.post_id for r in got.collect()) == want
+    batch = S.greedy_cap(df.withColumn("date", F.to_date("ts")), 7)
+    assert sorted(r.post_id for r in batch.collect()) == want
+
+
+def test_capped_stream_starts_from_what_was_written(spark, tmp_path, rocks):
+    """Without a checkpoint the counters start at the rows written before."""
+    rows = message_rows(120)
+    df = spark.createDataFrame(rows, _MESSAGE).withColumn("ts", F.to_timestamp("t")).drop("t")
+    kept = capped_by_hand(rows[:80], 5)
+    written = df.where(F.col("post_id").isin(kept)).select(F.to_date("ts").alias("date"), F.explode("tickers").alias("ticker"))
+    df.where("post_id >= 80").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = I.file_stream(spark, str(tmp_path / "in"), df.schema)
+    got = I.drain_to_parquet(I.capped_stream(stream, 5, "ts", written=written), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert sorted(r.post_id for r in got.collect()) == [k for k in capped_by_hand(rows, 5) if k >= 80]
+
+
+def csv_folder(path, n=300):
+    """Files with line ends, separators and quotes in quoted cells, stray quotes and bad lines; the rows that are whole."""
+    rng, want = random.Random(6), []
+    path.mkdir()
+    for f in range(3):
+        buf = io.StringIO(newline="")
+        out = csv.writer(buf, lineterminator="\n", quoting=csv.QUOTE_NONNUMERIC)
+        out.writerow(["id", "t", "x"])
+        for i in range(n):
+            row = (f * 1000 + i, "".join(rng.choice(["a", "b ", '"', ",", "\n", "\r\n", "é", '""']) for _ in range(rng.choice([0, 1, 5, 60]))), i / 4)
+            out.writerow(row)
+            want.append((row[0], row[1] or None, row[2]))
+            if i % 50 == 0:
+                buf.write("bad,line\n")
+            if i % 70 == 0:
+                buf.write(f'{f * 1000 + 500 + i},un"quoted,1.5\n')
+                want.append((f * 1000 + 500 + i, 'un"quoted', 1.5))
+        (path / f"{f}.csv").write_text(buf.getvalue(), newline="")
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("split", ["700", "5000", "128m"])
+def test_quoted_csv_in_splits(spark, tmp_path, split):
+    """The same rows from splits of any size; Spark's whole-file reader agrees."""
+    want, schema = csv_folder(tmp_path / "in"), "id long, t string, x double"
+    names = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "10"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(map(tuple, quoted_csv.read_quoted_csv(spark, str(tmp_path / "in"), schema).collect()), key=repr)
+        texts = quoted_csv.read_quoted_csv(spark, str(tmp_path / "in"))
+        assert texts.columns == ["id", "t", "x"] and texts.where("t = 'un\"quoted'").count() == 15
+        if split == "700":
+            assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+    whole = spark.read.schema(f"{schema}, _bad string").csv(str(tmp_path / "in"), header=True, multiLine=True, escape='"', columnNameOfCorruptRecord="_bad")
+    assert sorted(map(tuple, whole.cache().where("_bad is null").select("id", "t", "x").collect()), key=repr) == want
+
+
+def test_quoted_csv_with_an_unclosed_quote(spark, tmp_path, monkeypatch):
+    """What an unclosed quote swallows is one malformed record; other files are whole, bytes that are no text are replaced."""
+    monkeypatch.setattr(quoted_csv, "MOST_CHARS", 1000)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text('id,t\n1,x\n2,"open\n' + "3,y\n" * 2000)
+    (tmp_path / "in/b.csv").write_bytes(b'id,t\n4,z\xff\n\n5,"q"\n')
+    got = quoted_csv.read_quoted_csv(spark, str(tmp_path / "in"), "id int, t string")
+    assert sorted(map(tuple, got.collect())) == [(1, "x"), (4, "z\ufffd"), (5, "q")]
 
 
 def test_incremental_append_is_idempotent(spark, tmp_path):
