@@ -15,8 +15,8 @@ from panelforge.llm.common import discard, fit_logistic, held_out, labelled_samp
 PER_CLASS = 1500
 DICT_BYTES = 112_640
 LEVEL = 3
-#: A longer text gives a dictionary so many bytes of it, in segments spread over all of it.
-TEXT_BYTES, SEGMENT = 20_480, 1024
+#: Texts are cut into segments of so many bytes; so many of a label, the first by hash over all texts, train its dictionary.
+SEGMENT, SEGMENTS = 4096, 8192
 
 
 @dataclass
@@ -49,12 +49,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -30, 30)))
 
 
-def _spread(raw: bytes, most: int) -> bytes:
-    """The text, or of a longer one segments at even distances over its whole length."""
-    if len(raw) <= most:
-        return raw
-    n = max(1, most // SEGMENT)
-    return b"".join(raw[i * (len(raw) - SEGMENT) // max(1, n - 1) :][:SEGMENT] for i in range(n))
+def _segments(raw: bytes, size: int = SEGMENT) -> list[bytes]:
+    """The whole text in pieces of one size, the last one shorter."""
+    return [raw[at : at + size] for at in range(0, len(raw), size)]
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -65,29 +62,35 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[-DICT_BYTES:] if sum(map(len, texts)) >= 8 else b""
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text_bytes: int = TEXT_BYTES, modulus: int = 5, remainder: int = 0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, segments: int = SEGMENTS, modulus: int = 5, remainder: int = 0) -> Model:
     """Dictionaries from one bounded labelled sample, the calibration from another one.
 
-    Both hold at most per_class rows of each label outside the held-out remainder; a
-    text gives the dictionaries at most text_bytes, spread over its length, so what
-    reaches the driver has a fixed bound (2 x per_class x text_bytes). Calibration is
-    over whole texts, where they lie. If the second sample is empty (few labels) the
+    Both hold at most per_class rows of each label outside the held-out remainder. All
+    segments of the first one's texts, whatever their length, are candidates for a
+    dictionary; if there are more than ``segments`` of a label, those with the least
+    hashes are taken, so what reaches the driver has a fixed bound (2 x segments x
+    SEGMENT bytes). Calibration is over whole texts, where they lie. If the second sample is empty (few labels) the
     first calibrates too; without both labels, or on empty tables, the score is 0.5
     for all. Null texts are empty; repeated ids give one row.
     """
     samples = [stored(labelled_sample(docs, labels, "quality", per_class, skip=skip, modulus=modulus, remainder=remainder), "quality-sample") for skip in (0, per_class)]
     kind = dict(samples[0].dtypes)["id"]
 
-    def spread(batches):
+    def cut(batches):
         for batch in batches:
-            texts = [_spread(t, text_bytes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], ["id", "text", "label"])
-
-    first = sorted(samples[0].mapInArrow(spread, f"id {kind}, text binary, label int").collect(), key=lambda r: (r.label, r.id))
+            for id_, text, label in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2))), strict=True):
+                found = _segments(text) or [b""]
+                yield pa.RecordBatch.from_arrays([pa.array([id_] * len(found), batch.schema.field(0).type), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary()), pa.array([label] * len(found), pa.int32())], ["id", "place", "segment", "label"])
+
+    pieces = stored(samples[0].mapInArrow(cut, f"id {kind}, place long, segment binary, label int"), "quality-segments")
+    order = [F.xxhash64("id", "place"), F.col("id"), F.col("place")]
+    first = [r for label in (0, 1) for r in pieces.where(F.col("label") == label).orderBy(*order).limit(segments).collect()]
+    discard(pieces)
+    first.sort(key=lambda r: (r.label, r.id, r.place))
     if {r.label for r in first} != {0, 1}:
         discard(*samples)
         return Model(b"", b"", (0.0,) * 6)
-    good, bad = (_dictionary([bytes(r.text) for r in first if r.label == k]) for k in (1, 0))
+    good, bad = (_dictionary([bytes(r.segment) for r in first if r.label == k]) for k in (1, 0))
     model = Model(good, bad, (0.0,) * 6)
 
     def measured(batches):
@@ -100,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text_byt
     def calibration(sample: DataFrame) -> list:
         return sorted(sample.mapInArrow(measured, f"id {kind}, label int, x array<double>").collect(), key=lambda r: (r.label, r.id))
 
-    taken = {r.id for r in first}
+    taken = {r.id for r in samples[0].select("id").collect()}
     second = [r for r in calibration(samples[1]) if r.id not in taken]
     if {r.label for r in second} != {0, 1}:
         second = calibration(samples[0])

@@ -17,8 +17,6 @@ exact cosines.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -39,13 +37,6 @@ _SLACK = 1e-9
 _REACH = np.arange(-4, 5)
 
 
-@dataclass
-class Plan:
-    """dim -> (hashes, distance)."""
-
-    by_dim: dict[int, tuple[int, float]]
-
-
 def _planes(dim: int, table: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim, table])
     return rng.standard_normal((dim, max(HASHES)))[:, :hashes], rng.uniform(0, WIDTH, max(HASHES))[:hashes]
@@ -104,13 +95,13 @@ def _vectors(packed) -> np.ndarray:
     return np.stack([np.frombuffer(v, np.float64) for v in packed])
 
 
-def _by_dim(batch, column: int):
-    """(dimension, rows, unit vectors) of a batch with packed vectors."""
-    packed = batch.column(column).to_pylist()
+def _by_dim(batch):
+    """(dimension, rows, unit vectors, hashes, distance) of a batch (key, vec, ids, hashes, distance)."""
+    packed = batch.column(1).to_pylist()
     dims = np.array([len(v) // 8 for v in packed], np.int64)
     for dim in np.unique(dims):
         rows = np.flatnonzero(dims == dim)
-        yield int(dim), rows, _unit(_vectors([packed[r] for r in rows]))
+        yield int(dim), rows, _unit(_vectors([packed[r] for r in rows])), batch.column(3)[int(rows[0])].as_py(), batch.column(4)[int(rows[0])].as_py()
 
 
 _BUCKETS = "dim int, table int, bucket long, key binary, vec binary, ids array<long>"
@@ -123,60 +114,80 @@ def _bucketed(batch, rows, who, code, dim, table):
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), dim), pa.int32()), pa.array(np.full(len(code), table), pa.int32()), pa.array(code), *(batch.column(i).take(at) for i in range(3))], _BUCKET_NAMES)
 
 
-def _indexed(plan: Plan):
+def _indexed(batches):
+    for batch in batches:
+        for dim, rows, unit, hashes, _ in _by_dim(batch) if batch.num_rows else ():
+            for table in range(TABLES):
+                a, b = _planes(dim, table, hashes)
+                yield _bucketed(batch, rows, np.arange(len(rows)), _code(np.floor((unit @ a + b) / WIDTH).astype(np.int64)), dim, table)
+
+
+def _visiting(target: float, most: int):
     def run(batches):
         for batch in batches:
-            for dim, rows, unit in _by_dim(batch, 1) if batch.num_rows else ():
-                hashes = plan.by_dim[dim][0]
-                for table in range(TABLES):
-                    a, b = _planes(dim, table, hashes)
-                    yield _bucketed(batch, rows, np.arange(len(rows)), _code(np.floor((unit @ a + b) / WIDTH).astype(np.int64)), dim, table)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for dim, rows, unit, hashes, distance in _by_dim(part):
+                    for table, (who, code) in enumerate(probes(unit, hashes, distance, target, most)):
+                        yield _bucketed(part, rows, who, code, dim, table)
 
     return run
 
 
-def _visiting(plan: Plan, target: float, most: int):
+def _unsure(target: float, most: int):
+    """Keys of the vectors whose visits end before they reach the target."""
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for dim, rows, unit in _by_dim(part, 1):
-                    for table, (who, code) in enumerate(probes(unit, *plan.by_dim[dim], target, most)):
-                        yield _bucketed(part, rows, who, code, dim, table)
+                for _, rows, unit, hashes, distance in _by_dim(part):
+                    visited = np.bincount(probes(unit, hashes, distance, target, most + 1)[0][0], minlength=len(rows))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows[visited > most]))], ["key"])
 
     return run
 
 
-def fit(entries: DataFrame, k: int) -> Plan:
-    """The distance of k-th neighbours (of 9 in 10 rows) and the number of hashes for each vector length.
+def fit(entries: DataFrame, k: int) -> DataFrame:
+    """(dim, hashes, distance) of each vector length with more than BLOCK_ROWS entries: all lengths in one grouped pass.
 
-    FIT_QUERIES entries per length, first by hash, meet all entries in one pass; the
-    work of each number of hashes is estimated on FIT_ROWS entries. Both are bounded.
+    The distance is that of k-th neighbours (of 9 in 10 rows): FIT_QUERIES entries of a
+    length, first by key, meet all its entries, in blocks. The number of hashes has the
+    least work on FIT_ROWS entries. Rarer lengths need no fit: they are searched whole.
     """
-    lengths = [r.dim for r in entries.select("dim").distinct().limit(1000).collect()]
-    by_dim = {}
-    for dim in lengths:
-        chosen = entries.where(F.col("dim") == dim)
-        sample = _unit(_vectors([bytes(r.vec) for r in chosen.orderBy("key").select("vec").limit(FIT_ROWS).collect()]))
-        asked = sample[:FIT_QUERIES]
-
-        def near(batches, asked=asked):
-            best = np.full((len(asked), 1), -2.0)
-            for batch in batches:
-                if batch.num_rows:
-                    # ids counted with their entry, but not the asked vector itself
-                    sims = asked @ _unit(_vectors(batch.column(0).to_pylist())).T
-                    sims[sims > 1 - 1e-12] = -2.0
-                    best = np.concatenate((best, sims), 1)
-                    best = -np.partition(-best, min(k, best.shape[1]) - 1, axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked)), best.shape[1])), pa.array(best.ravel())], ["q", "sim"])
-
-        found = chosen.select("vec").mapInArrow(near, "q long, sim double").where("sim > -2")
-        place = Window.partitionBy("q").orderBy(F.col("sim").desc())
-        kth = [r.sim for r in found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).groupBy("q").agg(F.min("sim").alias("sim")).collect()]
-        distance = math.sqrt(max(0.0, 2 - 2 * float(np.quantile(kth, 0.1)))) if kth else 1.4
-        by_dim[dim] = (_fewest_visits(sample, distance), distance)
-    return Plan(by_dim)
+    sizes = entries.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS).select("dim", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
+    sizes = stored(sizes, "ann-lengths")
+    frequent = entries.join(sizes, "dim")
+    first = Window.partitionBy("dim").orderBy("key")
+    sample = stored(frequent.withColumn("place", F.row_number().over(first)).where(F.col("place") <= FIT_ROWS).select("dim", "parts", "place", "vec"), "ann-sample")
+
+    def near(asked, rows):
+        if not asked.num_rows or not rows.num_rows:
+            return pa.table({"dim": pa.array([], pa.int32()), "q": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        # ids counted with their entry, but not the asked vector itself
+        sims = _unit(_vectors(asked["vec"].to_pylist())) @ _unit(_vectors(rows["vec"].to_pylist())).T
+        sims[sims > 1 - 1e-12] = -2.0
+        best = -np.partition(-sims, min(k, sims.shape[1]) - 1, axis=1)[:, :k]
+        q = np.repeat(asked["place"].to_numpy(), best.shape[1]).astype(np.int64)
+        return pa.table({"dim": pa.array(np.full(len(q), asked["dim"][0].as_py()), pa.int32()), "q": pa.array(q), "sim": pa.array(best.ravel())})
+
+    asked = sample.where(F.col("place") <= FIT_QUERIES).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("dim", "part", "place", "vec")
+    dealt = frequent.select("dim", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), "vec")
+    found = asked.groupBy("dim", "part").cogroup(dealt.groupBy("dim", "part")).applyInArrow(near, "dim int, q long, sim double").where("sim > -2")
+    place = Window.partitionBy("dim", "q").orderBy(F.col("sim").desc())
+    kth = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).groupBy("dim", "q").agg(F.min("sim").alias("sim"))
+    reach = kth.groupBy("dim").agg(F.percentile("sim", F.lit(0.1)).alias("sim"))  # FIT_QUERIES values a length
+    distance = F.coalesce(F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0))), F.lit(1.4))
+    known = sample.join(reach, "dim", "left").select("dim", distance.alias("distance"), "place", "vec")
+
+    def choose(key, rows):
+        rows = rows.sort_by("place")
+        d = rows["distance"][0].as_py()
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "hashes": pa.array([_fewest_visits(_unit(_vectors(rows["vec"].to_pylist())), d)], pa.int32()), "distance": pa.array([d])})
+
+    plan = stored(known.groupBy("dim").applyInArrow(choose, "dim int, hashes int, distance double"), "ann-plan")
+    discard(sizes, sample)
+    return plan
 
 
 def _fewest_visits(sample: np.ndarray, distance: float) -> int:
@@ -241,7 +252,7 @@ def _rank(k: int):
     return run
 
 
-def _in_blocks(visits: DataFrame, members: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _in_blocks(visits: DataFrame, members: DataFrame, keys: list[str], k: int, written: list[DataFrame]) -> DataFrame:
     """(key, vec_id, score, rank): each visiting vector against all members with its keys; large groups are cut into blocks on both sides."""
 
     def parts(side: DataFrame, name: str) -> DataFrame:
@@ -249,6 +260,7 @@ def _in_blocks(visits: DataFrame, members: DataFrame, keys: list[str], k: int) -
         return stored(many.select(*keys, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias(name)), "ann-large")
 
     m_parts, v_parts = parts(members, "mp"), parts(visits, "vp")
+    written += [m_parts, v_parts]
     every = lambda name: F.sequence(F.lit(0), F.coalesce(name, F.lit(1)) - 1)
     own = lambda name: F.pmod(F.xxhash64("key"), F.coalesce(name, F.lit(1)).cast("long")).cast("int")
 
@@ -271,8 +283,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     length are compared, whatever that is. Rows of one id are one candidate, scored by
     the best of them, and never their own query's; equal scores rank by id. Equal
     vectors are hashed once, with their k + 1 smallest ids, which no query can exhaust.
-    A query that finds fewer than k goes on to further buckets, at last to all that
-    are occupied. Other columns are ignored, whatever their names. An empty table
+    A query that finds fewer than k, or whose buckets end before the target is reached,
+    goes on to further ones, at last to all that are occupied if it still lacks some.
+    Lengths of up to BLOCK_ROWS vectors are searched whole. Other columns are ignored, whatever their names. An empty table
     gives an empty result.
     """
     x = F.col(vector_col).cast("array<double>")
@@ -295,28 +308,42 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     entries = stored(entries.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids")), "ann-entries")
     askers = stored(rows.where(asked_for).mapInArrow(pack, "id long, dim int, key binary, vec binary").select(F.col("id").alias("query_id"), "key").distinct(), "ann-askers")
     plan = fit(entries, k)
-    members = stored(entries.select("key", "vec", "ids").mapInArrow(_indexed(plan), _BUCKETS), "ann-index")
-    wanted = entries.join(askers.select("key").distinct(), "key", "left_semi").select("key", "vec", "ids", "dim")
-    found = None
+    planned = entries.join(plan, "dim").select("key", "vec", "ids", "hashes", "distance")
+    members = stored(planned.mapInArrow(_indexed, _BUCKETS), "ann-index")
+    asking = entries.join(askers.select("key").distinct(), "key", "left_semi")
+    # lengths without a fit are searched whole
+    rare = stored(asking.join(plan.select("dim"), "dim", "left_anti"), "ann-rare")
+    everyone = entries.join(plan.select("dim"), "dim", "left_anti").select("dim", "key", "vec", "ids")
+    written = [rare]
+    found = stored(_in_blocks(rare.select("dim", "key", "vec", "ids"), everyone, ["dim"], k + 1, written), "ann-found")
+    wanted = asking.join(plan, "dim").select("key", "vec", "ids", "hashes", "distance", "dim")
+    written.append(found)
     for chance, most in ((target, MOST_PROBES), (1 - 1e-6, 4 * MOST_PROBES), (1.0, None)):
         if most:
-            visits = wanted.select("key", "vec", "ids").mapInArrow(_visiting(plan, chance, most), _BUCKETS)
-            now = _in_blocks(visits, members, ["dim", "table", "bucket"], k + 1)
+            visits = wanted.select("key", "vec", "ids", "hashes", "distance").mapInArrow(_visiting(chance, most), _BUCKETS)
+            now = _in_blocks(visits, members, ["dim", "table", "bucket"], k + 1, written)
         else:  # all occupied buckets of a table: few queries come so far
             home = members.where("table = 0")
-            now = _in_blocks(wanted.select("dim", "key", "vec", "ids"), home.select("dim", "key", "vec", "ids"), ["dim"], k + 1)
+            now = _in_blocks(wanted.select("dim", "key", "vec", "ids"), home.select("dim", "key", "vec", "ids"), ["dim"], k + 1, written)
         now = stored(now, "ann-found")
+        written.append(now)
+        if most is None:
+            found = found.unionByName(now)
+            break
         enough = now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select("key")
-        short = stored(wanted.join(enough, "key", "left_anti"), "ann-short") if most else None
-        if short is None or not short.limit(1).count():
-            found = now if found is None else found.unionByName(now)
+        # those whose visits ended under the target go on too
+        unsure = wanted.select("key", "vec", "ids", "hashes", "distance").mapInArrow(_unsure(target, most), "key binary")
+        enough = stored(enough.join(unsure.distinct(), "key", "left_anti"), "ann-enough")
+        written.append(enough)
+        short = stored(wanted.join(enough, "key", "left_anti"), "ann-short")
+        written.append(short)
+        found = found.unionByName(now)  # what was found stays, further buckets add to it
+        if not short.limit(1).count():
             break
-        done = now.join(enough, "key", "left_semi")
-        found = done if found is None else found.unionByName(done)
         wanted = short
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     mine = askers.join(found, "key").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = mine.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     out = stored(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "ann-result")
-    discard(entries, members)
+    discard(entries, askers, plan, members, *written)
     return out

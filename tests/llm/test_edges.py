@@ -185,7 +185,10 @@ def test_compression_scores_equal_sizes_by_hand(spark):
         z = np.dot(model.weights, [1, diff, shrunk, diff**2, shrunk**2, diff * shrunk])
         assert got[i] == pytest.approx(1 / (1 + math.exp(-np.clip(z, -30, 30))), abs=0.02)  # a prepared dictionary may differ by a byte
     assert min(got[i] for i in range(40)) > 0.5 > max(got[i] for i in range(40, 80)) and got[900] > 0.5
-    assert compression_quality._spread(b"x" * 100, 50) and len(compression_quality._spread(bytes(range(256)) * 1000, 20_480)) == 20_480
+    assert b"".join(compression_quality._segments(bytes(range(256)) * 99)) == bytes(range(256)) * 99 and compression_quality._segments(b"") == []
+    # the end of a long text trains as well as its start
+    few = compression_quality.fit(docs, labels, per_class=1000, segments=5)
+    assert few.good and few.bad and few.weights != model.weights
     assert compression_quality.score_documents(docs.limit(0), model).count() == 0
     assert compression_quality.fit(docs.limit(0), labels.limit(0)).weights == (0.0,) * 6
 
@@ -232,6 +235,52 @@ def test_url_ties_long_and_empty(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_keep_one_with_any_column_names(spark):
+    """Columns named like the join's own, and copies of a row, do no harm."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 5, 6, 7), (2, text, 5, 6, 7), (1, text, 5, 6, 7), (3, "quite another text of a few words in a row", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, jaccard_id int, jaccard_0 int, c0 int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and rows_of(kept) == [rows[0], rows[3]]
+
+
+def test_copies_of_a_set_are_one_before_their_signatures(spark):
+    """100,000 copies of one text and two near copies: the exploded side holds three sets."""
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omikron pi rho sigma tau upsilon phi chi psi omega"
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(base).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(100_000, base + " more"), (100_001, base + " again")], "doc_id long, text string"))
+    join = jaccard._Join(docs, "doc_id", "text", 4, 85)
+    assert join.distinct_sets().count() == 3
+    got = jaccard.link_documents(docs).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 100_002)]
+
+
+@pytest.mark.parametrize("most", [3, 600])
+def test_lengths_without_a_limit(spark, monkeypatch, most):
+    """1,200 vector lengths at once, one of them frequent, one query short of its target: all found exactly as by brute force."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(neighbours, "MOST_PROBES", most)
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(400)]
+    data += [(1000 + i, [1.0] * (9 + i // 2) + [float(i % 2)]) for i in range(2400)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = np.array([v for i, v in data[:400]])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    right = 0
+    for q in range(0, 400, 50):
+        sims = unit @ unit[q]
+        sims[q] = -2
+        right += len(set(got[q]) & set(np.argsort(-sims)[:5].tolist()))
+    assert right >= 36
+    by_length = {}
+    for i, v in data[400:]:
+        by_length.setdefault(len(v), []).append(i)
+    for q in range(1000, 3400, 50):
+        assert got[q] == [i for i in by_length[len(dict(data)[q])] if i != q]
+
+
 def test_keep_one_keeps_other_texts_of_an_id(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     kind = "doc_id long, text string, first int"
