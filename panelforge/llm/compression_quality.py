@@ -16,7 +16,7 @@ PER_CLASS = 1500
 DICT_BYTES = 112_640
 LEVEL = 3
 #: Texts are cut into segments of so many bytes; so many of a label, the first by hash over all texts, train its dictionary.
-SEGMENT, SEGMENTS = 4096, 8192
+SEGMENT, SEGMENTS = 4096, 2000
 
 
 @dataclass
@@ -67,8 +67,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, segments
 
     Both hold at most per_class rows of each label outside the held-out remainder. All
     segments of the first one's texts, whatever their length, are candidates for a
-    dictionary; if there are more than ``segments`` of a label, those with the least
-    hashes are taken, so what reaches the driver has a fixed bound (2 x segments x
+    dictionary; if there are more than ``segments`` of a label, a draw by hash takes
+    them, texts alike whatever their length, so what reaches the driver has a fixed bound (2 x segments x
     SEGMENT bytes). Calibration is over whole texts, where they lie. If the second sample is empty (few labels) the
     first calibrates too; without both labels, or on empty tables, the score is 0.5
     for all. Null texts are empty; repeated ids give one row.
@@ -80,10 +80,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, segments
         for batch in batches:
             for id_, text, label in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2))), strict=True):
                 found = _segments(text) or [b""]
-                yield pa.RecordBatch.from_arrays([pa.array([id_] * len(found), batch.schema.field(0).type), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary()), pa.array([label] * len(found), pa.int32())], ["id", "place", "segment", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([id_] * len(found), batch.schema.field(0).type), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.binary()), pa.array([label] * len(found), pa.int32()), pa.array([len(found)] * len(found), pa.int64())], ["id", "place", "segment", "label", "of"])
 
-    pieces = stored(samples[0].mapInArrow(cut, f"id {kind}, place long, segment binary, label int"), "quality-segments")
-    order = [F.xxhash64("id", "place"), F.col("id"), F.col("place")]
+    pieces = stored(samples[0].mapInArrow(cut, f"id {kind}, place long, segment binary, label int, of long"), "quality-segments")
+    # an exponential draw with the mean of the text's segments: a long text is as likely to be met as a short one
+    draw = -F.log((F.pmod(F.xxhash64("id", "place"), F.lit(1 << 52)) + 1) / float(1 << 52)) * F.col("of")
+    order = [draw, F.col("id"), F.col("place")]
     first = [r for label in (0, 1) for r in pieces.where(F.col("label") == label).orderBy(*order).limit(segments).collect()]
     discard(pieces)
     first.sort(key=lambda r: (r.label, r.id, r.place))
