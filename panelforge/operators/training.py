@@ -9,36 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats as T
+from panelforge.operators import boosting
+from panelforge.operators.boosting import Params, Trees
 from panelforge.operators.portfolio import temporal_split
 
-#: Stands for a missing feature: below all values, so a split can send missing ones to a side of their own.
-MISSING = -1e12
 #: fit(train, validation) gives a function that adds proba.
 Fit = Callable[[DataFrame, DataFrame | None], Callable[[DataFrame], DataFrame]]
 
 
-def train_trees(train: DataFrame, features: list[str], label: str = "target", rounds: int = 20, depth: int = 4, seed: int = 42, validation: str | None = None, step: float = 0.05):
+def train_trees(train: DataFrame, features: list[str], label: str = "target", rounds: int = 500, depth: int = 6, seed: int = 42, validation: str | None = None, step: float = 0.05, **more) -> Trees:
     """Boosted trees on nullable features; with a validation column (true: not trained on) rounds stop when it gets no better."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+    return boosting.train(train, features, label, validation, Params(rounds=rounds, depth=depth, seed=seed, step=step, **more))
 
-    trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed)
-    if validation:
-        trees = trees.setValidationIndicatorCol(validation)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(filled(train, features))
 
-
-def filled(rows: DataFrame, features: list[str]) -> DataFrame:
-    return rows.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(MISSING)) for c in features})
-
-
-def predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    keep = [c for c in rows.columns if c not in features]
-    scored = model.transform(filled(rows, features)).withColumn("proba", vector_to_array("probability")[1])
-    return scored.select(*keep, "proba")
+def predict(model: Trees, rows: DataFrame, features: list[str]) -> DataFrame:
+    scored = boosting.predict(model, rows)
+    return scored.select(*[c for c in rows.columns if c not in features], "proba")
 
 
 def boosted(features: list[str], label: str = "target", **params) -> Fit:
@@ -140,39 +126,21 @@ def compare_models(panel: DataFrame, variants: dict[str, Fit], folds: list[dict]
     return out
 
 
-def importance(model, features: list[str]) -> list[dict]:
-    """Per feature, strongest first: mean gain and mean cover (rows) of its splits, their number, and gain by the sum of gains.
+def importance(model: Trees, features: list[str]) -> list[dict]:
+    """Per feature, strongest first: mean gain and mean cover of its splits, their number, and gain by the sum of gains."""
+    return [r for r in boosting.importance(model) if r["feature"] in features]
 
-    Walks the trees' nodes on the driver: a few hundred for each tree.
-    """
-    found = {f: [0, 0.0, 0.0] for f in features}
-    for tree in model.stages[-1]._call_java("trees"):
-        todo = [tree.rootNode()]
-        while todo:
-            node = todo.pop()
-            if node.getClass().getSimpleName() == "InternalNode":
-                one = found[features[node.split().featureIndex()]]
-                one[0] += 1
-                one[1] += node.gain()
-                one[2] += float(node.impurityStats().count())
-                todo += [node.leftChild(), node.rightChild()]
-    rows = [{"feature": f, "gain": g / n if n else 0.0, "weight": n, "cover": c / n if n else 0.0} for f, (n, g, c) in found.items()]
-    total = sum(r["gain"] for r in rows)
-    return sorted([r | {"gain_normalized": r["gain"] / total if total else 0.0} for r in rows], key=lambda r: (-r["gain"], r["feature"]))
-
-
-def save_model(model, path: str, features: list[str], split: dict) -> None:
+
+def save_model(model: Trees, path: str, features: list[str], split: dict) -> None:
     """The model, its feature names and split as JSON, and its importance as CSV, under one folder that Spark can write."""
     spark = SparkSession.active()
-    model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(json.dumps({"features": features, "split": split}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    for name, text in (("model", model.to_json()), ("metadata", json.dumps({"features": features, "split": split}))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
     rows = spark.createDataFrame(importance(model, features), "feature string, gain double, weight long, cover double, gain_normalized double")
     rows.coalesce(1).orderBy(F.col("gain").desc(), "feature").write.mode("overwrite").csv(f"{path}/importance", header=True)
 
 
 def load_model(spark: SparkSession, path: str):
     """(model, features, split)."""
-    from pyspark.ml import PipelineModel
-
     about = json.loads(spark.read.text(f"{path}/metadata").first().value)
-    return PipelineModel.load(f"{path}/model"), about["features"], about["split"]
+    return Trees.from_json(spark.read.text(f"{path}/model").first().value), about["features"], about["split"]

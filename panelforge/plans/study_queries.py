@@ -134,6 +134,25 @@ def m3(spark, sf):
     return B.class_weight(_panel(spark, sf).withColumn("target", (F.col("ret") > 0.005).cast("int")))
 
 
+_ROUND = """WITH d AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity::DOUBLE AS quantity, CASE WHEN l_linenumber > 1 THEN l_linenumber::DOUBLE END AS line FROM lineitem),
+ f AS (SELECT 0 AS feature, quantity AS v, 0.5 - y AS g FROM d UNION ALL SELECT 1, line, 0.5 - y FROM d), c AS (SELECT feature, v, sum(g)::DOUBLE AS g, count(*) * 0.25::DOUBLE AS h FROM f GROUP BY ALL),
+ k AS (SELECT feature, v, sum(g) FILTER (WHERE v IS NOT NULL) OVER w AS g, sum(h) FILTER (WHERE v IS NOT NULL) OVER w AS h, sum(g) OVER p AS gt, sum(h) OVER p AS ht, coalesce(sum(g) FILTER (WHERE v IS NULL) OVER p, 0) AS gm, coalesce(sum(h) FILTER (WHERE v IS NULL) OVER p, 0) AS hm, max(v) OVER p AS top FROM c WINDOW w AS (PARTITION BY feature ORDER BY v NULLS FIRST ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY feature)),
+ s AS (SELECT feature, v, side AS missing_left, top, g + CASE WHEN side THEN gm ELSE 0 END AS gl, h + CASE WHEN side THEN hm ELSE 0 END AS hl, gt, ht, hm FROM k, (VALUES (false), (true)) o(side) WHERE v IS NOT NULL AND (v < top OR (NOT side AND hm > 0))),
+ z AS (SELECT *, 0.5 * (pow(greatest(abs(gl) - 0.1, 0), 2) / (hl + 1) + pow(greatest(abs(gt - gl) - 0.1, 0), 2) / (ht - hl + 1) - pow(greatest(abs(gt) - 0.1, 0), 2) / (ht + 1)) AS gain FROM s WHERE hl >= 5 AND ht - hl >= 5),
+ b AS (SELECT * FROM z ORDER BY round(gain, 6) DESC, feature, missing_left, v LIMIT 1)
+ SELECT CASE feature WHEN 0 THEN 'quantity' ELSE 'line' END AS feature, CASE WHEN v = top THEN NULL ELSE v END AS threshold, missing_left, gain, -sign(gl) * greatest(abs(gl) - 0.1, 0) / (hl + 1) * 0.05 AS left_leaf, -sign(gt - gl) * greatest(abs(gt - gl) - 0.1, 0) / (ht - hl + 1) * 0.05 AS right_leaf, hl AS left_cover, ht - hl AS right_cover FROM b"""
+
+
+@query("m4_boosting_round", _ROUND, ["gain", "left_leaf", "right_leaf", "left_cover", "right_cover"])
+def m4_round(spark, sf):
+    """The first split of boosted trees over all lines, with missing values among them."""
+    d = read(spark, sf, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("target"), F.col("l_quantity").cast("double").alias("quantity"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("double")).alias("line"))
+    model = L.train_trees(d, ["quantity", "line"], rounds=1, depth=1, rows=1.0, columns=1.0)
+    root, left, right = model.trees[0]
+    row = (model.features[root["feature"]], None if root["threshold"] == float("inf") else root["threshold"], root["missing_left"], root["gain"], left["leaf"], right["leaf"], left["cover"], right["cover"])
+    return spark.createDataFrame([row], "feature string, threshold double, missing_left boolean, gain double, left_leaf double, right_leaf double, left_cover double, right_cover double")
+
+
 @query("m4_m6_m7_walk_forward")
 def m7(spark, sf):
     p = P.bar_features(_panel(spark, sf).drop("ret")).withColumn("target", (F.col("return_5d_forward") > 0).cast("int")).where("return_5d_forward is not null")
