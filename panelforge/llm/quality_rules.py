@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from panelforge.llm.common import BLANKS, discard, stored
 
 #: Rows on which costs and rejections are estimated (about so many, at random; twice that at most), and timed runs of each rule.
 SAMPLE_ROWS, RUNS = 1000, 3
+#: What the dearest rule takes at least over the repeated sample, in seconds, and the most repeats.
+LEAST_S, MOST_TIMES = 0.1, 256
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -79,37 +84,66 @@ RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def cascade_order(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[[Column], Column]] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names, most rejections per second first, by a random sample of about ``sample_rows`` rows.
+@dataclass
+class Step:
+    """A rule in its place: seconds a row, and the shares of all rows that it is run on and of those that it rejects."""
+
+    name: str
+    cost: float
+    evaluated: float
+    rejects: float
+
+
+def plan_cascade(docs: DataFrame, rules: dict[str, Column], prepare: Callable[[DataFrame], DataFrame] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[Step]:
+    """The rules, each next one with the most rejections per second among the rows that those before it let pass.
 
-    Each rule runs alone over the written sample, once to compile and RUNS times for
-    its time; its cost is the shortest time beyond that of a bare scan. The sample
-    settles only the order; the verdict of the cascade is the same in any order. Equal
-    ranks go by name; without rows the rules stay as they are.
+    Estimated on a random sample of about ``sample_rows`` rows, written once as the
+    rules will find them: after ``prepare``, which adds what is worked out anyway. One
+    aggregate counts rows by the set of rules that reject them, which gives every
+    conditional rejection; each rule then runs alone, over the sample so many times
+    over that the dearest takes LEAST_S. Costs count in halves of the dearest, down to a
+    sixteenth, below which a clock sees noise; so runs agree. The sample settles only the order: the verdict is the same in any.
+    Equal ranks go by name; without rows the rules stay as they are.
     """
-    rules = rules or RULES
     rows = docs.count()
     if not rows:
-        return list(rules)
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    sample = stored(texts.sample(min(1.0, sample_rows / rows), 7).limit(2 * sample_rows).coalesce(1), "rule-sample")
-
-    def timed(*exprs: Column):
-        job = sample.agg(F.count(F.lit(1)), *exprs)
+        return [Step(name, 0.0, 0.0, 0.0) for name in rules]
+    drawn = docs.sample(min(1.0, sample_rows / rows), 7).limit(2 * sample_rows)
+    sample = stored((prepare(drawn) if prepare else drawn).coalesce(1), "rule-sample")
+    names = list(rules)
+    mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(rules[n], 1 << i).otherwise(0) for i, n in enumerate(names)])
+    sets = {r.mask: r.n for r in sample.groupBy(mask.alias("mask")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 ** rules at most
+
+    def timed(times: int, runs: int, *rule: Column) -> float:
+        job = sample.withColumn("qr_again", F.explode(F.sequence(F.lit(1), F.lit(times)))).agg(F.count("qr_again"), *[F.count_if(r) for r in rule])
         took = []
-        for _ in range(1 + RUNS):
+        for _ in range(runs):
             began = time.perf_counter()
-            row = job.first()
+            job.first()
             took.append(time.perf_counter() - began)
-        return min(took[1:]), row
+        return min(took)
 
-    scan, (n,) = timed()
-    rank = {}
-    for name, rule in rules.items():
-        took, row = timed(F.count_if(rule(F.col("t"))))
-        rank[name] = (row[1] + 0.5) / (n + 1) / max(took - scan, 1e-3)
+    once = {n: timed(1, 2, rules[n]) for n in names}
+    times = min(MOST_TIMES, max(1, math.ceil(LEAST_S / max(max(once.values()) - timed(1, 2), 1e-3))))
+    scan = timed(times, RUNS)
+    spent = {n: max(timed(times, RUNS, rules[n]) - scan, 0.0) for n in names}
     discard(sample)
-    return sorted(rules, key=lambda name: (-rank[name], name))
+    dearest, total = max(max(spent.values()), 1e-9), max(sum(sets.values()), 1)
+    cost = {n: dearest * 2.0 ** max(round(math.log2(max(spent[n] / dearest, 1e-9))), -4) / (times * total) for n in names}
+    out: list[Step] = []
+    while len(out) < len(names):
+        left = sum(sets.values())
+        hit = {n: sum(c for m, c in sets.items() if m >> i & 1) for i, n in enumerate(names) if n not in {s.name for s in out}}
+        best = min(hit, key=lambda n: (-(hit[n] + 0.5) / (left + 1) / cost[n], n))
+        out.append(Step(best, cost[best], left / total, hit[best] / left if left else 0.0))
+        sets = {m: c for m, c in sets.items() if not m >> names.index(best) & 1}
+    return out
+
+
+def cascade_order(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[[Column], Column]] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Names of rules on a text in the order of their cascade."""
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return [s.name for s in plan_cascade(texts, {n: rule(F.col("t")) for n, rule in (rules or RULES).items()}, sample_rows=sample_rows)]
 
 
 def rejected_by(text: Column, order: list[str], rules: dict[str, Callable[[Column], Column]] | None = None) -> Column:
@@ -142,12 +176,15 @@ def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     empty result.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    order = [n for n in cascade_order(base, "t") if n not in ("few_words", "repeat_words")]
-    split = base.select("id", "t", words_of(F.col("t")).alias("w"))
-    counted = split.select(
-        "id", "t", F.size("w").cast("long").alias("n_words"), word_chars(F.col("t")).alias("word_chars"), n_symbols(F.col("t")).alias("n_symbols"),
-        n_dup_lines(F.col("t")).alias("n_dup_lines"), n_repeat_words(F.col("w")).alias("n_repeat_words"), F.size(F.split("t", "\n", -1)).alias("n_lines"),
-    )
+
+    def counts(rows: DataFrame) -> DataFrame:
+        split = rows.select("id", "t", words_of(F.col("t")).alias("w"))
+        return split.select(
+            "id", "t", F.size("w").cast("long").alias("n_words"), word_chars(F.col("t")).alias("word_chars"), n_symbols(F.col("t")).alias("n_symbols"),
+            n_dup_lines(F.col("t")).alias("n_dup_lines"), n_repeat_words(F.col("w")).alias("n_repeat_words"), F.size(F.split("t", "\n", -1)).alias("n_lines"),
+        )
+
+    counted = counts(base)
     # the rules on columns already counted; the two of base_failed come first
     known = {
         "symbols": F.col("n_symbols") * 10 > F.col("n_words") * 3,
@@ -156,6 +193,8 @@ def measure_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "letters": n_letters(F.col("t")) * 10 < F.col("word_chars") * 6,
     }
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    # estimated as they run: beside the counts, on the rows that base_failed lets pass
+    order = [step.name for step in plan_cascade(base, known, lambda rows: counts(rows).where(~failed))]
     verdict = rejected_by(F.lit(None), order, {k: lambda _, v=v: v for k, v in known.items()})
     out = counted.withColumn("base_failed", failed).withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict.isNull()))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

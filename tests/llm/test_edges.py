@@ -235,6 +235,19 @@ def test_url_ties_long_and_empty(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_cascade_orders_by_conditional_rejection_and_cost(spark):
+    """The costly rule goes last though it rejects as much; a rule that repeats an earlier one drops behind one that adds to it."""
+    docs = spark.range(600).select((F.col("id") % 10).alias("k"), F.concat(F.lit("a b c "), F.repeat(F.lit("word "), 200)).alias("t"))
+    costly = F.size(F.array_sort(F.transform(F.split("t", ""), lambda x: F.md5(x.cast("binary"))))) > F.when(F.col("k") < 5, 0).otherwise(10**6)
+    rules = {"costly": costly, "same": F.col("k") < 4, "half": F.col("k") < 5, "other": F.col("k") == 9}
+    steps = {s.name: s for s in quality_rules.plan_cascade(docs, rules)}
+    names = list(steps)
+    assert names[-1] == "costly" and names.index("half") < names.index("same") and names.index("other") < names.index("same")
+    assert steps["half"].evaluated == 1 and steps["half"].rejects == pytest.approx(0.5, abs=0.08)
+    assert steps["other"].evaluated == pytest.approx(0.5, abs=0.08) and steps["same"].rejects == 0 and steps["costly"].evaluated == pytest.approx(0.4, abs=0.08)
+    assert steps["costly"].cost == 16 * steps["half"].cost
+
+
 def test_keep_one_with_any_column_names(spark):
     """Columns named like the join's own, and copies of a row, do no harm."""
     text = "one two three four five six seven eight nine ten"
