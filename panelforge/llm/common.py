@@ -3,69 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.storage import delete_path, discard, fresh_path, shared_dir, shuffles_removed, stored  # noqa: F401
+
 #: The one-byte white space of every word contract here: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
 
 
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir). Where none is set, a temporary one in local mode only."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        set_dir = "file://" + tempfile.mkdtemp(prefix="panelforge-")
-        spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", set_dir)
-        spark.conf._jconf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Inside, a job's shuffle files go when it ends: what it wrote is whole, so nobody reads them again."""
-    before = spark.conf.get(_CLEAN_UP, "false")
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEAN_UP, before)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    with shuffles_removed(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.stored_at = path
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that stored() wrote, once nothing lazy reads them any more."""
-    for one in tables:
-        delete_path(one.sparkSession, one.stored_at)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Operators that keep a row where its scan put it.
 _NARROW = re.compile(r"^(Project|Filter|ColumnarToRow|FileScan|Scan|LocalTableScan|Range|Generate|\*|\(\d+\))")
 
