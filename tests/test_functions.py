@@ -116,3 +116,20 @@ def test_detection_reads_whole_texts(spark, tmp_path):
     f6, f9 = ({r.doc_id: set(r.tickers) for r in registry.queries()[n](spark, str(tmp_path)).collect()} for n in ("f6_f7_f8_detect", "f9_title_cashtags"))
     assert "AMD" in f6[1] and "ZZZ" not in f6[1] and all("AMD" not in f6[i] and "TSLA" in f6[i] for i in (2, 3))
     assert {"AMD", "ZZZ"} <= f9[1] and not {"AMD", "ZZZ"} & (f9[2] | f9[3])
+
+
+@pytest.mark.parametrize("few", [0, 5, 4096])
+def test_group_quantiles_against_numpy(spark, few):
+    """Groups of one value, of ties, of many magnitudes and both signs; a null key is a group, nulls and NaN do not count."""
+    rng = np.random.default_rng(2)
+    groups = {"one": [3.0], "ties": [2.0] * 50 + [5.0], "wide": (rng.standard_normal(300) * 10.0 ** rng.integers(-200, 200, 300)).tolist(), "near": (1e9 + rng.random(300)).tolist(), "zero": [0.0, -0.0, 1e-300, -1e-300], None: [1.0, 4.0]}
+    rows = [(k, v) for k, x in groups.items() for v in x] + [("one", None), ("one", float("nan")), ("gone", None)]
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: (r.n_rows, [r[f"q{i}"] for i in range(len(probs))]) for r in stats.group_quantiles(df, ["k"], "x", probs, bins=16, few=few).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert got[k][0] == len(x) and np.allclose(got[k][1], np.quantile(x, probs), rtol=1e-12), k
+    whole = [v for x in groups.values() for v in x]
+    assert np.allclose(stats.exact_quantiles(df, "x", probs), np.quantile(whole, probs), rtol=1e-12)
+    assert stats.exact_quantiles(df.where("x is null"), "x", [0.5]) == [None]
