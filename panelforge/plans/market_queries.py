@@ -9,6 +9,7 @@ from panelforge.functions import series as S
 from panelforge.functions import stats as T
 from panelforge.functions import text as X
 from panelforge.operators import evaluation as E
+from panelforge.operators import folds as K
 from panelforge.operators import panel as P
 from panelforge.operators import portfolio as B
 from panelforge.operators import sentiment as M
@@ -194,7 +195,27 @@ def _labelled(spark, sf):
 
 @query("m8_year_folds", f"WITH {_fold_sql('ticker')} SELECT * FROM fm", ["accuracy", "precision", "recall", "auc"])
 def m8(spark, sf):
-    return L.fold_metrics(L.evaluate_folds(_labelled(spark, sf), L.year_folds(1990, _TESTS), L.group_rates("ticker")))
+    return K.rate_folds(_labelled(spark, sf), ["ticker"], L.year_folds(1990, _TESTS)).drop("name")
+
+
+def _newton_sql(steps: int = 8) -> str:
+    """Newton's method for a constant and one feature, a common table expression a step."""
+    q, g0, g1 = "(1 / (1 + exp(-(b0 + b1 * x))))", "sum(target - {q})", "sum(x * (target - {q}))"
+    h = [f"sum({w} * {q} * (1 - {q}))" for w in ("1", "x", "x * x")]
+    det = f"({h[0]} * {h[2]} - {h[1]} * {h[1]})"
+    a, b = g0.format(q=q), g1.format(q=q)
+    out = f"{_PANEL}, d AS MATERIALIZED (SELECT year(date) AS y, dayofweek(date) AS weekday, month(date) AS month, CAST(ret > 0 AS INTEGER) AS target FROM panel), e AS MATERIALIZED (SELECT 'weekday' AS name, weekday::DOUBLE AS x, y, target FROM d UNION ALL SELECT 'month', month::DOUBLE, y, target FROM d), folds(first, last, test) AS (VALUES {_FOLD_ROWS}), ok AS (SELECT test, last FROM folds JOIN d ON y BETWEEN first AND last GROUP BY 1, 2 HAVING count(*) >= 50 AND count(DISTINCT target) = 2 AND (SELECT count(*) FROM d AS t WHERE t.y = test) >= 20), s0 AS (SELECT name, test, last, 0::DOUBLE AS b0, 0::DOUBLE AS b1 FROM ok, (VALUES ('weekday'), ('month')) v(name))"
+    for k in range(steps):
+        out += f", s{k + 1} AS MATERIALIZED (SELECT name, test, last, b0 + ({a} * {h[2]} - {b} * {h[1]}) / {det} AS b0, b1 + ({b} * {h[0]} - {a} * {h[1]}) / {det} AS b1 FROM s{k} JOIN e USING (name) WHERE y BETWEEN 1990 AND last GROUP BY name, test, last, s{k}.b0, s{k}.b1)"
+    return out + f", pr AS (SELECT name, test AS test_year, target, {q} AS proba FROM s{steps} JOIN e USING (name) WHERE y = test), k AS (SELECT *, {_RANK.format(p='name, test_year', c='proba')} AS r FROM pr)"
+
+
+@query("m8_logistic_folds", f"WITH {_newton_sql()} SELECT name, test_year, count(*) AS n_test, avg(CAST((proba >= 0.5) = (target = 1) AS INTEGER)) AS accuracy, (sum(r) FILTER (WHERE target = 1) - count(*) FILTER (WHERE target = 1) * (count(*) FILTER (WHERE target = 1) + 1) / 2.0)::DOUBLE / (count(*) FILTER (WHERE target = 1) * count(*) FILTER (WHERE target = 0)) AS auc, avg(-ln(CASE WHEN target = 1 THEN proba ELSE 1 - proba END)) AS log_loss FROM k GROUP BY 1, 2", ["accuracy", "auc", "log_loss"])
+def m8_logistic(spark, sf):
+    panel = _labelled(spark, sf)
+    models = K.fit_logistic_folds(panel, {"weekday": ["weekday"], "month": ["month"]}, L.year_folds(1990, _TESTS))
+    scored = K.predict_logistic_folds(panel, models, ["target"])
+    return K.prediction_metrics(scored).join(K.log_loss(scored), ["name", "test_year"]).drop("precision", "recall")
 
 
 _SUMMARY = "count(*) AS n_folds, avg(auc) AS auc_mean, avg(accuracy) AS acc_mean, avg(precision) AS prec_mean, avg(recall) AS rec_mean, count(*) FILTER (WHERE auc > 0.53) AS folds_over, count(auc) AS n_aucs"
@@ -203,7 +224,7 @@ _MEANS = ["auc_mean", "acc_mean", "prec_mean", "rec_mean"]
 
 
 def _matrix(spark, sf):
-    return L.compare_models(_labelled(spark, sf), {k: L.group_rates(k) for k in ("ticker", "weekday", "month")}, L.year_folds(1990, _TESTS))
+    return K.summarise_by(K.rate_folds(_labelled(spark, sf), ["ticker", "weekday", "month"], L.year_folds(1990, _TESTS)))
 
 
 @query("m9_model_matrix", _MATRIX, _MEANS)
