@@ -31,11 +31,13 @@ def f3(spark, sf):
     return read(spark, sf, "nation").select("n_nationkey", C.clean_symbols(F.array(F.concat(F.lit(" $"), "n_name", F.lit(" ")), F.lit("ABC"), F.lit("9X"))).alias("symbols"))
 
 
-@query("f4_p16_input_text", "WITH d AS (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN '[removed]' WHEN 1 THEN '  ' ELSE coalesce(text, '') END AS body FROM documents) SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR length(trim(body)) = 0 THEN source ELSE source || '. ' || trim(body) END AS input FROM d")
+@query("f4_p16_input_text", "WITH d AS (SELECT doc_id, trim(coalesce(source, '')) AS title, unnest(['text', '[removed]', '  ', 'nan']) AS variant, coalesce(text, '') AS text FROM documents), b AS (SELECT doc_id, variant, title, trim(CASE variant WHEN 'text' THEN text ELSE variant END) AS body FROM d), m AS (SELECT doc_id, variant, title, CASE WHEN body IN ('[removed]', '[deleted]', 'nan') THEN '' ELSE body END AS body FROM b) SELECT doc_id, variant, CASE WHEN body <> '' AND title <> '' THEN title || '. ' || body WHEN title <> '' THEN title ELSE body END AS input FROM m")
 def f4(spark, sf):
-    k = F.col("doc_id")
-    body = F.when(k % 4 == 0, "[removed]").when(k % 4 == 1, "  ").otherwise(F.coalesce("text", F.lit("")))
-    return read(spark, sf, "documents").select("doc_id", T.input_text(F.col("source"), T.drop_markers(body)).alias("input"))
+    """Every whole text as the body, and beside it a removed, a blank and a missing one."""
+    variant = F.explode(F.array(*[F.lit(v) for v in ("text", "[removed]", "  ", "nan")]))
+    d = read(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), variant.alias("variant"))
+    body = F.when(F.col("variant") == "text", F.col("text")).otherwise(F.col("variant"))
+    return d.select("doc_id", "variant", T.input_text(F.col("source"), T.drop_markers(body)).alias("input"))
 
 
 _CLEAN = "text"
@@ -100,10 +102,12 @@ def f18(spark, sf):
     return messages(spark, sf).select("post_id", (F.col("prob_positive") - F.col("prob_negative")).alias("net"), (F.col("value") * F.col("num_comments")).alias("dollar_volume"), C.staleness_band(age).alias("band"))
 
 
-@query("f22_f23_text_stats", "SELECT count(*) FILTER (WHERE doc_id % 10 = 0) AS n_empty, avg(CASE WHEN doc_id % 10 = 0 THEN 0 ELSE length(text) END) AS mean_length FROM documents", ["mean_length"])
+@query("f22_f23_text_stats", "WITH d AS (SELECT text AS t FROM documents UNION ALL SELECT CASE WHEN doc_id % 20 = 0 THEN ' ' ELSE ' NaN ' END FROM documents WHERE doc_id % 10 = 0), e AS (SELECT t, t IS NULL OR trim(t) = '' OR lower(trim(t)) = 'nan' AS blank FROM d) SELECT count(*) FILTER (WHERE blank) AS n_empty, avg(CASE WHEN blank THEN 0 ELSE length(t) END) AS mean_length FROM e", ["mean_length"])
 def f22(spark, sf):
-    t = F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text"))
-    d = read(spark, sf, "documents").select(t.alias("t"))
+    """All texts, and blank rows beside them."""
+    d = read(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
+    k = F.col("doc_id")
+    d = d.select("t").unionAll(d.where(k % 10 == 0).select(F.when(k % 20 == 0, " ").otherwise(" NaN ").alias("t")))
     return d.agg(F.count_if(C.is_blank(F.col("t"))).alias("n_empty"), F.avg(F.when(C.is_blank(F.col("t")), 0).otherwise(F.length("t"))).alias("mean_length"))
 
 

@@ -300,11 +300,11 @@ def p22(spark, sf):
     return read(spark, sf, "documents").where(X.mentions_any(F.col("text"), ["the", "of"])).select("doc_id")
 
 
-@query("f21_formats", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '$' || printf('%.1f', round(o_totalprice * 100000 / 1e9, 1)) || 'B' WHEN o_orderkey % 3 = 1 THEN '$' || printf('%.1f', round(floor(o_totalprice) * 1000 / 1e6, 1)) || 'M' ELSE '$' || o_orderkey END AS money FROM orders WHERE o_totalprice BETWEEN 10000 AND 900000 AND (o_orderkey % 3 < 2 OR o_orderkey < 1000)")
+@query("f21_formats", "WITH v AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_totalprice * 100000 WHEN 1 THEN floor(o_totalprice) * 1000 ELSE o_orderkey END::DOUBLE AS v FROM orders) SELECT o_orderkey, '$' || CASE WHEN v >= 1e9 THEN printf('%.1f', round(v / 1e9, 1)) || 'B' WHEN v >= 1e6 THEN printf('%.1f', round(v / 1e6, 1)) || 'M' WHEN v >= 1e3 THEN printf('%.0f', round(v / 1e3)) || 'K' ELSE printf('%.0f', round(v)) END AS money FROM v")
 def f21(spark, sf):
     k, t = F.col("o_orderkey"), F.col("o_totalprice")
     value = F.when(k % 3 == 0, t * 100_000).when(k % 3 == 1, F.floor(t) * 1000.0).otherwise(k)
-    return read(spark, sf, "orders").where(t.between(10_000, 900_000) & ((k % 3 < 2) | (k < 1000))).select("o_orderkey", C.human_money(value.cast("double")).alias("money"))
+    return read(spark, sf, "orders").select("o_orderkey", C.human_money(value.cast("double")).alias("money"))
 
 
 @query("f25_clock", f"WITH {MESSAGES} SELECT post_id, CASE WHEN post_id % 3 = 0 THEN '-' ELSE strftime(ts, '%H:%M') END AS at, CASE WHEN post_id % 4 = 0 THEN 0 ELSE value / (post_id % 4) - 1 END::DOUBLE AS change FROM msgs", ["change"])
