@@ -9,9 +9,10 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, IntegralType, StringType, StructType
 
 from panelforge.sources.quoted_csv import read_quoted_csv
+from panelforge.storage import discard, stored
 
 
 def read_text_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
@@ -88,15 +89,39 @@ def write_by_year(df: DataFrame, path: str, date: str = "date", tasks: int = 8)
     parts.repartition("year", F.pmod(F.xxhash64(date), F.lit(tasks))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
+def keys_to_meet(store: DataFrame, batch: DataFrame, key: str) -> DataFrame | None:
+    """The store's keys (an_key) between the batch's least and greatest, and its null keys if the batch has any; None if the batch is empty.
+
+    The bounds reach the scan, so row groups outside them are skipped. Keys of other types than whole numbers, texts and dates are all read.
+    """
+    least, most, nulls = batch.agg(F.min(key), F.max(key), F.count_if(F.col(key).isNull())).first()
+    if least is None and not nulls:
+        return None
+    wanted = F.col(key).isNull() if nulls else F.lit(False)
+    if least is not None:
+        kind = batch.schema[key].dataType
+        bounded = isinstance(kind, (IntegralType, StringType, DateType)) and kind == store.schema[key].dataType
+        wanted = wanted | (F.col(key).between(F.lit(least), F.lit(most)) if bounded else F.col(key).isNotNull())
+    return store.where(wanted).select(F.col(key).alias("an_key"))
+
+
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key is not in the store yet; a null key counts as one more key."""
+    """Append rows whose key is not in the store yet; a null key counts as one more key.
+
+    Files are sorted by key, and of the store only the key column is read, in row groups that meet the batch's range:
+    with ids that grow over time a batch costs the same however large the store is. Of rows with the same key one is kept.
+    """
     spark = df.sparkSession
     fs, named = _files(spark, path)
-    fresh = df.dropDuplicates([key])
-    if fs.exists(named(path)):
-        have = spark.read.parquet(path).select(F.col(key).alias("an_key")).distinct()
-        fresh = fresh.join(have, F.col(key).eqNullSafe(F.col("an_key")), "left_anti")
-    fresh.write.mode("append").parquet(path)
+    if not fs.exists(named(path)):
+        df.dropDuplicates([key]).sortWithinPartitions(key).write.mode("append").parquet(path)
+        return
+    batch = stored(df, "append-batch")  # read twice: bounds and rows must be of the same rows
+    have = keys_to_meet(spark.read.parquet(path), batch, key)
+    if have is not None:
+        fresh = batch.dropDuplicates([key]).join(have, F.col(key).eqNullSafe(F.col("an_key")), "left_anti")
+        fresh.sortWithinPartitions(key).write.mode("append").parquet(path)
+    discard(batch)
 
 
 def write_plain(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
