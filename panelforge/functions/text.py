@@ -178,7 +178,11 @@ def mentions_any(c: Column, terms: list[str]) -> Column:
 
 
 def scorer_udf(load, batch: int = 32):
-    """A pandas UDF around a pluggable model: load() gives texts -> (n, 3) logits, once for each worker. Blank texts are neutral."""
+    """A pandas UDF around a pluggable model: load() gives texts -> (n, 3) logits, once for each worker. Blank texts are neutral.
+
+    The texts of an Arrow batch go to the model by length, so those of one call are
+    about as long as each other; results come in the order of the rows.
+    """
     import numpy as np
 
     @F.pandas_udf("prob_positive double, prob_negative double, prob_neutral double")
@@ -187,6 +191,7 @@ def scorer_udf(load, batch: int = 32):
         for texts in parts:
             out = np.tile([0.0, 0.0, 1.0], (len(texts), 1))
             full = np.flatnonzero(texts.fillna("").str.strip() != "")
+            full = full[np.argsort(texts.str.len().to_numpy()[full], kind="stable")]
             for at in range(0, len(full), batch):
                 rows = full[at : at + batch]
                 logits = np.asarray(model(texts.iloc[rows].tolist()), float)

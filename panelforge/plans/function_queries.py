@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import columns as C
 from panelforge.functions import text as T
+from panelforge.operators.text_model import fit_text_model
 from panelforge.plans.fixtures import MESSAGES, messages, read
 from panelforge.plans.registry import query
 from panelforge.sources.files import dump_rows, html_universe
@@ -126,15 +127,27 @@ def x3(spark, sf):
     return T.lexicon_scores(read(spark, sf, "documents"), "doc_id", "text", lexicon)
 
 
-def _flat_model():
-    return lambda texts: [[float(len(t) % 5), 1.0, 0.5] for t in texts]
+_LABELLED = "CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END"
+_ODDS = "ln((p + 0.5::DOUBLE) / (np - p + 0.5::DOUBLE)) - ln((q + 0.5::DOUBLE) / (m - np - q + 0.5::DOUBLE))"
+_BUCKETS = "list_distinct(list_transform(list_filter(list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: trim(w, '.,!?')), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 4))::INTEGER))"
 
 
-@query("x2_f19_batched_scorer", "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS text FROM documents), x AS (SELECT doc_id, coalesce(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') = '' AS blank, exp((length(text) % 5)::DOUBLE) AS a, exp(1.0::DOUBLE) AS b, exp(0.5::DOUBLE) AS c FROM d) SELECT doc_id, CASE WHEN blank THEN 0 ELSE a / (a + b + c) END AS pos, CASE WHEN blank THEN 0 ELSE b / (a + b + c) END AS neg, CASE WHEN blank THEN 1 ELSE c / (a + b + c) END AS neu FROM x", ["pos", "neg", "neu"])
+@query("x2_f19_batched_scorer", f"""WITH d AS (SELECT doc_id, 'text' AS variant, text FROM documents UNION ALL SELECT doc_id, 'blank', '  ' FROM documents), b AS (SELECT doc_id, variant, unnest({_BUCKETS}) AS bucket FROM d),
+ l AS (SELECT doc_id, {_LABELLED} AS label FROM labels JOIN documents USING (doc_id)), k AS (SELECT unnest(['positive', 'negative', 'neutral']) AS label), n AS (SELECT k.label, count(l.label) AS np, (SELECT count(*) FROM l) AS m FROM k LEFT JOIN l USING (label) GROUP BY 1),
+ c AS (SELECT bucket, label, count(*) AS p FROM b JOIN l USING (doc_id) WHERE variant = 'text' GROUP BY 1, 2), t AS (SELECT bucket, sum(p) AS t FROM c GROUP BY 1),
+ o AS (SELECT t.bucket, n.label, coalesce(p, 0) AS p, t - coalesce(p, 0) AS q, np, m FROM t CROSS JOIN n LEFT JOIN c ON c.bucket = t.bucket AND c.label = n.label), z AS (SELECT bucket, label, {_ODDS} AS odds, ({_ODDS}) ** 2 / (1 / (p + 0.5::DOUBLE) + 1 / (q + 0.5::DOUBLE)) AS z2 FROM o),
+ s AS (SELECT doc_id, variant, label, sum(odds * z2 * z2 / (z2 * z2 + 900)) AS x FROM b JOIN z USING (bucket) GROUP BY 1, 2, 3),
+ g AS (SELECT doc_id, variant, n.label, ln((np + 0.5::DOUBLE) / (m + 1.5::DOUBLE)) + coalesce(x, 0) AS x FROM d CROSS JOIN n LEFT JOIN s USING (doc_id, variant, label)), w AS (SELECT doc_id, variant, max(x) FILTER (WHERE label = 'positive') AS a, max(x) FILTER (WHERE label = 'negative') AS b, max(x) FILTER (WHERE label = 'neutral') AS c FROM g GROUP BY 1, 2),
+ e AS (SELECT doc_id, variant, exp(a - greatest(a, b, c)) AS a, exp(b - greatest(a, b, c)) AS b, exp(c - greatest(a, b, c)) AS c FROM w), f AS (SELECT e.*, regexp_full_match(coalesce(d.text, ''), '\\s*') AS blank FROM e JOIN d USING (doc_id, variant))
+ SELECT doc_id, variant, CASE WHEN blank THEN 0 ELSE a / (a + b + c) END AS pos, CASE WHEN blank THEN 0 ELSE b / (a + b + c) END AS neg, CASE WHEN blank THEN 1 ELSE c / (a + b + c) END AS neu FROM f""", ["pos", "neg", "neu"])
 def x2(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("text")).alias("text"))
-    scored = d.withColumn("s", T.scorer_udf(_flat_model)(F.col("text")))
-    return scored.select("doc_id", F.col("s.prob_positive").alias("pos"), F.col("s.prob_negative").alias("neg"), F.col("s.prob_neutral").alias("neu"))
+    """A model fitted to the labelled documents scores every whole text, and a blank one beside each."""
+    documents = read(spark, sf, "documents").select("doc_id", "text")
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    model = fit_text_model(documents.join(read(spark, sf, "labels").select("doc_id", label.alias("label")), "doc_id"))
+    d = documents.withColumn("variant", F.explode(F.array(F.lit("text"), F.lit("blank")))).withColumn("text", F.when(F.col("variant") == "text", F.col("text")).otherwise("  "))
+    scored = d.withColumn("s", T.scorer_udf(model.loader(d))(F.col("text")))
+    return scored.select("doc_id", "variant", F.col("s.prob_positive").alias("pos"), F.col("s.prob_negative").alias("neg"), F.col("s.prob_neutral").alias("neu"))
 
 
 @query("s6_x6_dump_rows", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name || ' it''s, (ok)' AS name, NULL::VARCHAR AS missing FROM nation")

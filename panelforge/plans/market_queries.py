@@ -12,6 +12,7 @@ from panelforge.operators import evaluation as E
 from panelforge.operators import folds as K
 from panelforge.operators import panel as P
 from panelforge.operators import portfolio as B
+from panelforge.operators import rule_sentiment as R
 from panelforge.operators import sentiment as M
 from panelforge.operators import training as L
 from panelforge.plans.fixtures import BARS, MESSAGES, ORDER_MENTIONS, PAIRED, bars, messages, order_mentions, read
@@ -328,3 +329,33 @@ _NOT = " OR ".join(f"coalesce(b{d} IN ({', '.join(chr(39) + w.replace(chr(39), c
 def x3_compound(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit(_HEAD), F.coalesce("text", F.lit(""))).alias("text"))
     return X.compound_scores(d, "text", _WEIGHTS).select("doc_id", "compound")
+
+
+_RULE_HEAD = "not THE very the, so of! but slightly and?? never of! hardly THE "
+_TERMS = "SELECT {key} AS doc_id, w[i:i + k - 1] AS words, i - 1 AS i, k AS size FROM {src}, (SELECT unnest([1, 2, 3]) AS k), unnest(range(1, len(w) + 1)) r(i) WHERE i + k - 1 <= len(w)"
+_IN = lambda c, names: f"coalesce({c} IN ({', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in names)}), false)"
+_NEAR = " + ".join(f"CASE WHEN {_IN(f'lower(w[i + 1 - {d}])', X.STRONGER)} AND i >= {d} THEN {0.293 * near!r}::DOUBLE WHEN {_IN(f'lower(w[i + 1 - {d}])', X.WEAKER)} AND i >= {d} THEN -{0.293 * near!r}::DOUBLE ELSE 0 END" for d, near in ((1, 1.0), (2, 0.95), (3, 0.9)))
+_TURNED = " OR ".join(f"(i >= {d} AND {_IN(f'lower(w[i + 1 - {d}])', X.NEGATIONS)})" for d in (1, 2, 3))
+
+
+def _learnt_lexicon(spark, sf):
+    """Terms of one to three words that five or more labelled texts hold, by the share of good ones among them."""
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "text")
+    held = R.term_rows(R.word_rows(d, "doc_id", "text")).select("id", F.lower("written").alias("term")).distinct()
+    counts = held.join(d.select(F.col("doc_id").alias("id"), "quality"), "id").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good")).where("n >= 5")
+    return counts.select("term", F.round(4.0 * F.col("good") / F.col("n") - 3.0, 4).alias("weight"))
+
+
+@query("x3_rule_sentiment", f"""WITH d AS (SELECT doc_id, '{_RULE_HEAD}' || coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[^A-Za-z'']+'), lambda x: x <> '') AS w FROM d),
+ g AS (SELECT doc_id, quality, list_filter(regexp_split_to_array(coalesce(text, ''), '[^A-Za-z'']+'), lambda x: x <> '') AS w FROM documents JOIN labels USING (doc_id)), gt AS (SELECT DISTINCT doc_id, lower(array_to_string(words, ' ')) AS term FROM ({_TERMS.format(key='doc_id', src='g')})),
+ lex AS (SELECT term, round(4.0::DOUBLE * sum(quality) / count(*) - 3.0::DOUBLE, 4) AS weight FROM gt JOIN (SELECT doc_id, quality FROM g) USING (doc_id) GROUP BY 1 HAVING count(*) >= 5),
+ m AS (SELECT doc_id, i, size, weight, array_to_string(words, ' ') AS written FROM ({_TERMS.format(key='doc_id', src='w')}) JOIN lex ON lex.term = lower(array_to_string(words, ' ')) WHERE weight <> 0),
+ kept AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.i < m.i + m.size AND m.i < o.i + o.size AND (o.size > m.size OR (o.size = m.size AND o.i < m.i)))),
+ u AS (SELECT doc_id, w, nullif(list_position(list_transform(w, lambda x: lower(x)), 'but'), 0) - 1 AS but, len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) BETWEEN 1 AND len(w) - 1 AS mixed FROM w),
+ v AS (SELECT doc_id, (weight + sign(weight) * ({_NEAR} + CASE WHEN mixed AND upper(written) = written THEN 0.733::DOUBLE ELSE 0 END)) * CASE WHEN {_TURNED} THEN -0.74::DOUBLE ELSE 1 END * CASE WHEN i < but THEN 0.5::DOUBLE WHEN i > but THEN 1.5::DOUBLE ELSE 1 END AS x FROM kept JOIN u USING (doc_id)), s AS (SELECT doc_id, sum(x) AS x FROM v GROUP BY 1),
+ p AS (SELECT d.doc_id, coalesce(x, 0) AS x, least(length(t) - length(replace(t, '!', '')), 4) * 0.292::DOUBLE + CASE WHEN length(t) - length(replace(t, '?', '')) >= 4 THEN 0.96 WHEN length(t) - length(replace(t, '?', '')) >= 2 THEN (length(t) - length(replace(t, '?', ''))) * 0.18::DOUBLE ELSE 0 END AS loud FROM d LEFT JOIN s USING (doc_id)), y AS (SELECT doc_id, x + sign(x) * loud AS x FROM p)
+ SELECT doc_id, x / sqrt(x * x + 15) AS compound FROM y""", ["compound"])
+def x3_rules(spark, sf):
+    """Every whole text behind a head that meets each rule, by a lexicon that grows with the labelled texts."""
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit(_RULE_HEAD), F.coalesce("text", F.lit(""))).alias("text"))
+    return R.rule_sentiment(d, "doc_id", "text", _learnt_lexicon(spark, sf))
