@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 CLASSES = ("positive", "negative", "neutral")
 BUCKETS = 65_536  # four hex digits
 UPPER, LOWER, MARKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", ".,!?"
+FIT_ROWS = 200_000  # labelled rows that a fit takes at most
 HALF, SHRINK = 0.5, 30.0  # added to every count; z squared at which a ratio counts by half
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -70,6 +71,15 @@ def _ascii_words(text: str) -> list[str]:
 _SPACES = dict.fromkeys(range(0x09, 0x0E), " ")
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, rows: int = FIT_ROWS) -> DataFrame:
+    """docs with the labels of at most `rows` ids, those of the least hash (all labels, where there are fewer).
+
+    The chosen labels are so few that they are broadcast, and texts are never shuffled.
+    """
+    chosen = labels.where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    return docs.join(F.broadcast(chosen), id_col)
+
+
 def bucket_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:
     """(bucket, positive, negative, neutral): texts of each class that hold the bucket. One shuffle of at most BUCKETS rows a task."""
     rows = labelled.select(F.col(label_col).alias("label"), F.explode(word_buckets(F.col(text_col))).alias("bucket"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import columns as C
 from panelforge.functions import text as T
-from panelforge.operators.text_model import fit_text_model
+from panelforge.operators.text_model import fit_text_model, labelled_texts
 from panelforge.plans.fixtures import MESSAGES, messages, read
 from panelforge.plans.registry import query
 from panelforge.sources.files import dump_rows, html_universe
@@ -144,7 +144,7 @@ def x2(spark, sf):
     """A model fitted to the labelled documents scores every whole text, and a blank one beside each."""
     documents = read(spark, sf, "documents").select("doc_id", "text")
     label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
-    model = fit_text_model(documents.join(read(spark, sf, "labels").select("doc_id", label.alias("label")), "doc_id"))
+    model = fit_text_model(labelled_texts(documents, read(spark, sf, "labels").select("doc_id", label.alias("label")), "doc_id"))
     d = documents.withColumn("variant", F.explode(F.array(F.lit("text"), F.lit("blank")))).withColumn("text", F.when(F.col("variant") == "text", F.col("text")).otherwise("  "))
     scored = d.withColumn("s", T.scorer_udf(model.loader(d))(F.col("text")))
     return scored.select("doc_id", "variant", F.col("s.prob_positive").alias("pos"), F.col("s.prob_negative").alias("neg"), F.col("s.prob_neutral").alias("neu"))

@@ -71,6 +71,14 @@ def test_text_model_without_rows(spark):
     assert scored(spark, model, ["a b", ""]) == [pytest.approx((1 / 3, 1 / 3, 1 / 3)), (0, 0, 1)]
 
 
+def test_labelled_texts_takes_a_bounded_sample(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = spark.range(60).select(F.when(F.col("id") < 58, F.col("id")).alias("doc_id"), F.lit("neutral").alias("label"))
+    assert M.labelled_texts(docs, labels, "doc_id").count() == 50
+    few = [r.doc_id for r in M.labelled_texts(docs, labels, "doc_id", 20).collect()]
+    assert 0 < len(few) <= 20 and few and sorted(few) == sorted(r.doc_id for r in M.labelled_texts(docs, labels.repartition(7), "doc_id", 20).collect())
+
+
 def auc(x, y):
     ranks = pd.Series(x).rank().to_numpy()
     n1 = y.sum()
