@@ -340,10 +340,9 @@ _TURNED = " OR ".join(f"(i >= {d} AND {_IN(f'lower(w[i + 1 - {d}])', X.NEGATIONS
 
 def _learnt_lexicon(spark, sf):
     """Terms of one to three words that five or more labelled texts hold, by the share of good ones among them."""
-    d = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "text")
-    held = R.term_rows(R.word_rows(d, "doc_id", "text")).select("id", F.lower("written").alias("term")).distinct()
-    counts = held.join(d.select(F.col("doc_id").alias("id"), "quality"), "id").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good")).where("n >= 5")
-    return counts.select("term", F.round(4.0 * F.col("good") / F.col("n") - 3.0, 4).alias("weight"))
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id").select("text", "quality")
+    counts = R.term_counts(d, "text", "quality").where("n >= 5")
+    return counts.select("hash", F.round(4.0 * F.col("marks") / F.col("n") - 3.0, 4).alias("weight"))
 
 
 @query("x3_rule_sentiment", f"""WITH d AS (SELECT doc_id, '{_RULE_HEAD}' || coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[^A-Za-z'']+'), lambda x: x <> '') AS w FROM d),

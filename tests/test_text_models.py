@@ -141,3 +141,30 @@ def test_rule_sentiment_empty(spark):
     df = spark.createDataFrame([(1, "good")], "id int, body string")
     assert [tuple(r) for r in R.rule_sentiment(df, "id", "body", nothing).collect()] == [(1, 0.0)]
     assert R.rule_sentiment(df.limit(0), "id", "body", nothing).count() == 0
+
+def test_rule_sentiment_shuffles_no_words(spark, monkeypatch):
+    """A lexicon larger than those that are broadcast gives the same scores; the broadcast way has no shuffle of words at all."""
+    words = ["good", "GOOD", "bad", "not", "idea", "very", "but", "it's", "x", "!", "??", "é"]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(200)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string").repartition(3)
+    lexicon = {"good": 1.5, "bad": -2.0, "bad idea": -1.0, "not bad idea": 0.5, "Good": 9.0, "a b c d": 9.0}
+    terms = spark.createDataFrame(list(lexicon.items()), "term string, weight double")
+    told = R.rule_sentiment(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text", terms)
+    assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    told = {r.id: r.compound for r in R.rule_sentiment(df, "id", "body", terms).collect()}
+    monkeypatch.setattr(R, "MOST_TERMS", 0)
+    monkeypatch.setattr(R, "GROUP_BYTES", 500)
+    met = {r.id: r.compound for r in R.rule_sentiment(df, "id", "body", terms).collect()}
+    assert len(met) == len(texts)
+    for i, t in enumerate(texts):
+        want = plain_sentiment(t, {k: w for k, w in lexicon.items() if k == k.lower()})
+        assert told[i] == pytest.approx(want, abs=1e-9) and met[i] == pytest.approx(want, abs=1e-9), t
+
+
+def test_term_counts(spark):
+    df = spark.createDataFrame([("The cat, the CAT", 1), ("cat the", None), ("dog", None), (None, 1)], "t string, m int")
+    counts = {r.hash: (r.n, r.marks) for r in R.term_counts(df.repartition(3), "t", "m").collect()}
+    names = ["the", "cat", "the cat", "cat the", "the cat the", "cat the cat", "dog"]
+    hashes = [R.hashed_terms(spark.createDataFrame([(w, 1.0)], "term string, weight double")).first().hash for w in names]
+    assert [counts.pop(h) for h in hashes] == [(2, 1), (2, 1), (1, 1), (2, 1), (1, 1), (1, 1), (1, None)] and not counts
