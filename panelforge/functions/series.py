@@ -65,12 +65,6 @@ def wealth(ret: Column, w: WindowSpec) -> Column:
     return F.product(1 + ret).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def average_rank(c: Column, part: list[str]) -> Column:
-    """Rank with ties averaged."""
-    over = Window.partitionBy(*part)
-    return F.rank().over(over.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*part, c)) - 1) / 2.0
-
-
 def qcut_bucket(rank: Column, n: Column, buckets: int) -> Column:
     """Bucket 0..buckets-1 of a rank 1..n by interpolated quantiles of the ranks, right-closed."""
     return F.greatest(F.ceil((rank - 1) * buckets / F.greatest(n - 1, F.lit(1))).cast("int") - 1, F.lit(0))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from panelforge.functions.series import average_rank
 from panelforge.storage import discard, stored
 
 
@@ -38,24 +37,50 @@ def drawdowns(returns: DataFrame, key: str, order: str = "date", ret: str = "ret
     return curve.groupBy(key).agg((-F.min(F.col("wealth") / F.col("peak") - 1) + 0.0).alias("max_drawdown"))
 
 
-def value_ranks(df: DataFrame, column: str, sums: list[Column] | None = None, bins: int = 256) -> DataFrame:
-    """(value, n, before, sums): each distinct value, how often it occurs, and how many rows lie below it.
+#: Ranks of so many distinct values are broadcast to the rows; beyond, rows and ranks meet in a shuffle.
+BROADCAST_VALUES = 200_000
+
+
+def value_ranks(df: DataFrame, column: str, sums: list[Column] | None = None, bins: int = 256, part: list[str] | None = None, exact: bool = False) -> DataFrame:
+    """(part, value, n, before, sums): each distinct value of a part, how often it occurs, and how many of the part's rows lie below it.
 
     Equal values are added up first, in a shuffle with partial sums. Approximate
     quantiles then cut the values into bins that are counted on their own; only one
-    total for each bin meets in one task. So no task sees all rows, whatever is tied.
+    total for each bin of a part meets in one task. So no task sees all rows of a part, whatever is tied.
+    exact: values keep their type (else they are doubles), and nulls are values too, the last ones.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"), *(sums or []))
-    cuts = values.agg(F.percentile_approx("value", [i / bins for i in range(1, bins)], 10_000).alias("cuts")).first().cuts
+    part = part or []
+    rows, value = (df, F.col(column)) if exact else (df.where(F.col(column).isNotNull()), F.col(column).cast("double"))
+    values = rows.groupBy(*part, value.alias("value")).agg(F.count(F.lit(1)).alias("n"), *(sums or []))
+    number = F.col("value").cast("double")
+    cuts = values.agg(F.percentile_approx(number, [i / bins for i in range(1, bins)], 10_000).alias("cuts")).first().cuts
     edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<double>")
-    binned = values.withColumn("vr_bin", F.size(F.filter(edges, lambda e: e < F.col("value"))))
-    totals = binned.groupBy("vr_bin").agg(F.sum("n").alias("vr_n"))
-    under = totals.withColumn("vr_under", F.coalesce(F.sum("vr_n").over(Window.orderBy("vr_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("vr_n")  # one row a bin
-    here = F.coalesce(F.sum("n").over(Window.partitionBy("vr_bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = binned.withColumn("vr_here", here).join(F.broadcast(under), "vr_bin")  # one row a bin
+    binned = values.withColumn("vr_bin", F.when(F.col("value").isNull(), bins).otherwise(F.size(F.filter(edges, lambda e: e < number))))
+    totals = binned.groupBy(*part, "vr_bin").agg(F.sum("n").alias("vr_n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    under = totals.withColumn("vr_under", F.coalesce(F.sum("vr_n").over(earlier(Window.partitionBy(*part).orderBy("vr_bin"))), F.lit(0))).drop("vr_n")  # one row a bin
+    here = F.coalesce(F.sum("n").over(earlier(Window.partitionBy(*part, "vr_bin").orderBy("value"))), F.lit(0))
+    ranked = binned.withColumn("vr_here", here)
+    if part:
+        ranked = _beside(ranked, under, [*part, "vr_bin"])
+    else:
+        ranked = ranked.join(F.broadcast(under), "vr_bin")  # one row a bin
     return ranked.withColumn("before", F.col("vr_here") + F.col("vr_under")).drop("vr_bin", "vr_here", "vr_under")
 
 
+def _beside(rows: DataFrame, found: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
+    """rows with the other columns of their match in found; keys may be null."""
+    named = found.withColumnsRenamed({k: f"b_{i}_{k}" for i, k in enumerate(keys)})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"b_{i}_{k}")) for i, k in enumerate(keys)])
+    return rows.join(F.broadcast(named) if small else named, same).drop(*[f"b_{i}_{k}" for i, k in enumerate(keys)])
+
+
+def average_ranks(df: DataFrame, column: str, part: list[str], out: str) -> DataFrame:
+    """df with the rank of a number among its part's rows, ties averaged, nulls last. Ranks belong to values, so no task holds a part."""
+    ranks = stored(value_ranks(df, column, part=part, exact=True).select(*part, F.col("value").alias("ar_value"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(out)), "average-ranks")
+    return _beside(df.withColumn("ar_value", F.col(column)), ranks, [*part, "ar_value"], ranks.count() <= BROADCAST_VALUES).drop("ar_value")
+
+
 def _digit(v: Column, lo: Column, hi: Column, inside: Column, bins: int, few: int) -> Column:
     """A number that never falls as v grows: v itself among few values, steps of an eighth of an octave over wide brackets, equal steps over narrow ones."""
     octave = F.floor(F.signum(v) * (F.log2(F.abs(F.nullif(v, F.lit(0.0)))) + 1100) * 8)
@@ -121,14 +146,9 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float]) -> list[floa
 def auc(df: DataFrame, score: str, label: str, part: list[str] | None = None, least: int = 1) -> DataFrame:
     """Exact AUC by average ranks, for each group with both labels and ``least`` rows."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    if part:
-        ranked = rows.withColumn("r", average_rank(F.col(score), part))
-        pos, neg, above = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0), F.sum(F.when(F.col(label) == 1, F.col("r")))
-        counted = ranked.groupBy(*part)
-    else:
-        ranked = value_ranks(rows, score, [F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")])
-        pos, neg, above = F.sum("p"), F.sum("q"), F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2.0))
-        counted = ranked.groupBy()
+    ranked = value_ranks(rows, score, [F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")], part=part)
+    pos, neg, above = F.sum("p"), F.sum("q"), F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2.0))
+    counted = ranked.groupBy(*(part or []))
     out = counted.agg(pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(above - pos * (pos + 1) / 2.0, (pos * neg).cast("double")).alias("auc"))
     return out.where((F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_pos") + F.col("n_neg") >= least))
 
@@ -144,17 +164,13 @@ def spearman(df: DataFrame, pairs: list[tuple[str, str]], part: list[str] | None
     out = None
     for x, y in pairs:
         both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        if part:
-            ranked = both.withColumn("rx", average_rank(F.col(x), part)).withColumn("ry", average_rank(F.col(y), part)).withColumn("c", F.lit(1))
-            distinct = [F.count_distinct(x), F.count_distinct(y)]
-        else:
-            # ranks belong to values, so equal pairs are added up and meet the ranks of their values
-            rank = (F.col("before") + (F.col("n") + 1) / 2.0)
-            rx = value_ranks(both, x).select(F.col("value").alias("vx"), rank.alias("rx"))
-            ry = value_ranks(both, y).select(F.col("value").alias("vy"), rank.alias("ry"))
-            counted = both.groupBy(F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy")).agg(F.count(F.lit(1)).alias("c"))
-            ranked = counted.join(rx, "vx").join(ry, "vy")
-            distinct = [F.count_distinct("vx"), F.count_distinct("vy")]
+        # ranks belong to values, so equal pairs are added up and meet the ranks of their values
+        rank = (F.col("before") + (F.col("n") + 1) / 2.0)
+        rx = value_ranks(both, x, part=part).select(*part, F.col("value").alias("vx"), rank.alias("rx"))
+        ry = value_ranks(both, y, part=part).select(*part, F.col("value").alias("vy"), rank.alias("ry"))
+        counted = both.groupBy(*part, F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy")).agg(F.count(F.lit(1)).alias("c"))
+        ranked = _beside(_beside(counted, rx, [*part, "vx"]), ry, [*part, "vy"])
+        distinct = [F.count_distinct("vx"), F.count_distinct("vy")]
         c, a, b = F.col("c"), F.col("rx"), F.col("ry")
         n = F.sum(c)
         cov = F.sum(c * a * b) - F.sum(c * a) * F.sum(c * b) / n

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import series as S
+from panelforge.functions import stats as T
 from panelforge.operators import panel as P
 from panelforge.operators import sentiment as M
 from panelforge.plans.fixtures import BARS, MESSAGES, bars, messages, read
@@ -115,7 +116,8 @@ def w22(spark, sf):
 
 @query("w23_average_ranks", "SELECT l_orderkey, l_linenumber, l_partkey, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS r FROM lineitem", ["r"])
 def w23(spark, sf):
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.average_rank(F.col("l_quantity"), ["l_returnflag"]).alias("r"))
+    rows = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
+    return T.average_ranks(rows, "l_quantity", ["l_returnflag"], "r").select("l_orderkey", "l_linenumber", "l_partkey", "r")
 
 
 @query("w24_g5_month_ends", f"WITH {BARS}, l AS (SELECT ticker, date_trunc('month', date)::DATE AS month, arg_max(close, date) AS close FROM bars WHERE month(date) <> 3 GROUP BY 1, 2), s AS (SELECT ticker, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM l GROUP BY 1) SELECT ticker, month, close FROM s LEFT JOIN l USING (ticker, month)", ["close"])

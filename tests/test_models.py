@@ -123,3 +123,18 @@ def test_trees_folds_importance_persistence(spark, tmp_path):
     same = [[r.proba for r in L.predict(x, panel, features).orderBy("date").collect()] for x in (model, again)]
     assert same[0] == same[1] and split == {"train": 10}
     assert L.feature_sets({"x": ["a"], "y": ["b"]}, ["x"]) == {"x": ["a"], "y": ["b"], "all": ["a", "b"], "all_but_x": ["b"]}
+
+
+def test_average_ranks_in_parts(spark):
+    """Ranks of values meet the rows in a join: no window holds a part, nulls stand last, null parts count."""
+    rng = np.random.default_rng(6)
+    x = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 3000, p=[0.9, 0.09, 0.01]), "x": np.round(rng.normal(0, 2, 3000), 1)})
+    x.loc[::97, "x"], x.loc[::101, "g"] = np.nan, None
+    rows = [(i, None if g is None or g != g else g, None if v != v else float(v)) for i, (g, v) in enumerate(zip(x.g, x.x, strict=True))]
+    df = spark.createDataFrame(rows, "i int, g string, x double")
+    found = T.average_ranks(df, "x", ["g"], "r")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    want = x.groupby(x.g.fillna("none")).x.rank(na_option="bottom")
+    assert {r.i: r.r for r in found.collect()} == want.to_dict()
+    whole = spark.createDataFrame([(1, 2**62), (2, 2**62 + 1), (3, 2**62 + 1)], "i int, x long")
+    assert {r.i: r.r for r in T.average_ranks(whole, "x", [], "r").collect()} == {1: 1.0, 2: 2.5, 3: 2.5}
