@@ -45,14 +45,20 @@ BARS = """bars AS (SELECT n_name AS ticker, CAST(l_shipdate AS DATE) AS date, fl
  CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE isodow(l_shipdate) < 6 GROUP BY 1, 2)"""
 
 
+#: Lines whose mentions one task groups by order.
+LINES_A_TASK = 250_000
+
+
 def order_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as messages with the nations of their lines as tickers."""
     o, l, s, n = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "supplier", "nation"))
     lines = l.select("l_orderkey", "l_suppkey").join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(n.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+    # as many partitions as the lines need, so that what a task groups and counts does not grow with them
+    lines = lines.select("l_orderkey", "n_name").repartition(max(1, -(-l.count() // LINES_A_TASK)), "l_orderkey")
     tickers = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("n_name")).alias("tickers"))
     k = F.col("o_orderkey")
     label = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "positive").when(F.col("o_orderpriority") == "5-LOW", "negative").otherwise("neutral")
-    return o.join(tickers, k == F.col("l_orderkey")).select(k.alias("post_id"), F.col("o_orderdate").cast("date").alias("date"), "tickers", label.alias("label"), ((k % 10) / F.lit(10.0)).alias("prob_positive"), ((k % 7) / F.lit(10.0)).alias("prob_negative"), ((k % 3) / F.lit(10.0)).alias("prob_neutral"), (k % 11).alias("score"), (k % 5).alias("num_comments"))
+    return o.join(tickers.hint("merge"), k == F.col("l_orderkey")).select(k.alias("post_id"), F.col("o_orderdate").cast("date").alias("date"), "tickers", label.alias("label"), ((k % 10) / F.lit(10.0)).alias("prob_positive"), ((k % 7) / F.lit(10.0)).alias("prob_negative"), ((k % 3) / F.lit(10.0)).alias("prob_neutral"), (k % 11).alias("score"), (k % 5).alias("num_comments"))
 
 
 ORDER_MENTIONS = """om AS (SELECT DISTINCT o_orderkey AS post_id, CAST(o_orderdate AS DATE) AS date, n_name AS ticker,
