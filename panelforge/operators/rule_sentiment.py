@@ -106,9 +106,11 @@ def _scores(texts: list[bytes], seen: _Words, keys: np.ndarray, weights: np.ndar
     size, weight = np.zeros(len(words), np.int64), np.zeros(len(words))
     for k, (h, there) in enumerate(seen.terms(words), 1):
         if len(keys):  # of several terms at one place the longest counts
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = there & (keys[at] == h)
-            size[hit], weight[hit] = k, weights[at[hit]]
+            asked = np.flatnonzero(there)
+            asked = asked[np.argsort(h[asked])]  # in order, so that the search stays in the cache
+            at = np.minimum(np.searchsorted(keys, h[asked]), len(keys) - 1)
+            hit = keys[at] == h[asked]
+            size[asked[hit]], weight[asked[hit]] = k, weights[at[hit]]
     # a longer overlapping term beats it, and one as long that begins earlier
     beaten = size == 0
     for k in range(1, LONGEST):
