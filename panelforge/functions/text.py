@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Upper-case words that bare detection ignores.
 BARE_BLOCKLIST = [
@@ -37,19 +37,28 @@ BEFORE = [(r"(?m)^>+(?U:\s)?", " "), (r"(?m)^[-*_]{3,}(?U:\s)*$", " "), (r"(?i)/
 AFTER = [("|".join(p.replace(".", r"\.") for p in BOILERPLATE), " "), (r"[^a-z0-9 .,'!\?%\(\)\-]", " "), (r"\s+", " ")]
 
 
-@F.pandas_udf(StringType())
-def unescape(texts: pd.Series) -> pd.Series:
-    """HTML entities to characters; used only on rows with an ampersand."""
-    return texts.map(html.unescape, na_action="ignore")
+#: What html.unescape takes for an entity.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def unescape(entities: pd.Series) -> pd.Series:
+    """HTML entities to characters, one by one."""
+    return entities.map(lambda found: [html.unescape(e) for e in found], na_action="ignore")
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its HTML entities as characters: only the entities go to Python, never the text around them."""
+    found = unescape(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+    parts = F.zip_with(F.split(text, ENTITY), found, lambda part, e: F.concat(part, F.coalesce(e, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
 
 def clean_text(df: DataFrame, text_col: str, out: str = "clean_text", entities: bool = True) -> DataFrame:
     """The cleaning chain in its fixed order; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if entities:  # the entity step has no built-in: only rows that need it pay for Python
-        plain = df.where(~text.contains("&")).withColumn(out, text)
-        df = plain.unionByName(df.where(text.contains("&")).withColumn(out, unescape(text)))
-        text = F.col(out)
+    if entities:  # the entity step has no built-in
+        text = unescaped(text)
     for pattern, to in BEFORE:
         text = F.regexp_replace(text, pattern, to)
     text = F.lower(text)

@@ -1,3 +1,4 @@
+import html
 import numpy as np
 import pandas as pd
 import pytest
@@ -133,3 +134,13 @@ def test_group_quantiles_against_numpy(spark, few):
     whole = [v for x in groups.values() for v in x]
     assert np.allclose(stats.exact_quantiles(df, "x", probs), np.quantile(whole, probs), rtol=1e-12)
     assert stats.exact_quantiles(df.where("x is null"), "x", [0.5]) == [None]
+
+
+def test_entities_without_texts_in_python(spark):
+    """Entities equal those of html.unescape, and only they are given to Python."""
+    texts = ["", "no", "&", "&&amp;&", "a &amp; b &lt;&gt;&#65;&#x41;&#X41 &notit; &amp &ampx; &bogus; &#0; &#1114112; end&", "&quot;é\n&hearts;&hearts;&nbsp", "&" + "x" * 40 + ";", "&amp;amp;", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = df.select("i", T.unescaped(F.col("t")).alias("u"))
+    assert {r.i: r.u for r in found.collect()} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    plan = T.clean_text(df, "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unescape(regexp_extract_all(" in plan and "Union" not in plan
