@@ -214,46 +214,73 @@ def _first(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _best(found: np.ndarray, score: np.ndarray, at_q: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k best ids of each visitor, each id by its best row; ties by id."""
+    order = np.lexsort((-score, found, at_q))
+    order = order[_first(at_q[order], found[order])]
+    order = order[np.lexsort((found[order], -score[order], at_q[order]))]
+    at_q = at_q[order]
+    return order[np.arange(len(at_q)) - np.searchsorted(at_q, at_q) < k]
+
+
+def _nearest(q: np.ndarray, m: np.ndarray, held: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(visitor, id, score): the k best ids among members m, which hold these ids, for each visitor, each by the best of its vectors."""
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    ids, of = np.fromiter((i for x in held for i in x), np.int64, int(sizes.sum())), np.repeat(np.arange(len(held)), sizes)
+    order = np.argsort(ids, kind="stable")
+    ids, of = ids[order], of[order]
+    starts = np.flatnonzero(_first(ids))
+    rows = np.diff(np.append(starts, len(ids)))
+    last = max(0, len(starts) - k)
+    out_q, out_m = [], []
+    for at in range(0, len(q), 512):
+        sims = (q[at : at + 512] @ m.T)[:, of]
+        best = np.maximum.reduceat(sims, starts, axis=1)  # of each id
+        floor = np.partition(best, last, axis=1)[:, last]
+        least = np.maximum(np.repeat(best, rows, axis=1), floor[:, None])
+        hit = np.nonzero(sims >= least - _SLACK)
+        out_q.append(hit[0] + at)
+        out_m.append(hit[1])
+    at_q, at_m = np.concatenate(out_q), np.concatenate(out_m)
+    score, found = (q[at_q] * m[of[at_m]]).sum(1), ids[at_m]
+    take = _best(found, score, at_q, k)
+    return at_q[take], found[take], score[take]
+
+
 def _rank(k: int):
-    """The k best ids of a block for each visiting vector, each by the best of its vectors."""
+    """The k best ids of a block for each visiting vector; where rows have buckets, only those of one bucket meet."""
 
     def run(queries: pa.Table, members: pa.Table) -> pa.Table:
         none = pa.table({"key": pa.array([], pa.binary()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not queries.num_rows or not members.num_rows:
             return none
-        key, q, m = queries["key"].to_pylist(), _unit(_vectors(queries["vec"].to_pylist())), _unit(_vectors(members["vec"].to_pylist()))
-        held = members["ids"].to_pylist()
-        sizes = np.fromiter(map(len, held), np.int64, len(held))
-        ids, of = np.fromiter((i for x in held for i in x), np.int64, int(sizes.sum())), np.repeat(np.arange(len(held)), sizes)
-        order = np.argsort(ids, kind="stable")
-        ids, of = ids[order], of[order]
-        starts = np.flatnonzero(_first(ids))
-        rows = np.diff(np.append(starts, len(ids)))
-        last = max(0, len(starts) - k)
-        out_q, out_m = [], []
-        for at in range(0, len(q), 512):
-            sims = (q[at : at + 512] @ m.T)[:, of]
-            best = np.maximum.reduceat(sims, starts, axis=1)  # of each id
-            floor = np.partition(best, last, axis=1)[:, last]
-            least = np.maximum(np.repeat(best, rows, axis=1), floor[:, None])
-            hit = np.nonzero(sims >= least - _SLACK)
-            out_q.append(hit[0] + at)
-            out_m.append(hit[1])
-        at_q, at_m = np.concatenate(out_q), np.concatenate(out_m)
-        score, found = (q[at_q] * m[of[at_m]]).sum(1), ids[at_m]
-        # the best vector of each id, then k ids for each visitor, ties by id
-        order = np.lexsort((-score, found, at_q))
-        order = order[_first(at_q[order], found[order])]
-        order = order[np.lexsort((found[order], -score[order], at_q[order]))]
-        at_q, found, score = at_q[order], found[order], score[order]
-        take = np.arange(len(at_q)) - np.searchsorted(at_q, at_q) < k
-        return pa.table({"key": pa.array([key[i] for i in at_q[take]], pa.binary()), "vec_id": found[take], "score": score[take]})
+        places: dict = {}
+        who = np.array([places.setdefault(x, len(places)) for x in queries["key"].to_pylist()])
+        q, m, held = _unit(_vectors(queries["vec"].to_pylist())), _unit(_vectors(members["vec"].to_pylist())), members["ids"].to_pylist()
+        if "bucket" in queries.column_names:
+            of_q, of_m = queries["bucket"].to_numpy(), members["bucket"].to_numpy()
+            by_q, by_m = np.argsort(of_q, kind="stable"), np.argsort(of_m, kind="stable")
+            both = np.intersect1d(of_q, of_m)
+            spans = [[np.searchsorted(x, both, side) for side in ("left", "right")] for x in (of_q[by_q], of_m[by_m])]
+            meetings = [(by_q[a:b], by_m[c:d]) for a, b, c, d in zip(*spans[0], *spans[1], strict=True)]
+        else:
+            meetings = [(np.arange(len(q)), np.arange(len(m)))]
+        out = []
+        for rows_q, rows_m in meetings:
+            at_q, found, score = _nearest(q[rows_q], m[rows_m], [held[i] for i in rows_m], k)
+            out.append((who[rows_q[at_q]], found, score))
+        if not out:
+            return none
+        at_q, found, score = (np.concatenate([x[i] for x in out]) for i in range(3))
+        take = _best(found, score, at_q, k)
+        keys = list(places)
+        return pa.table({"key": pa.array([keys[i] for i in at_q[take]], pa.binary()), "vec_id": found[take], "score": score[take]})
 
     return run
 
 
 def _in_blocks(visits: DataFrame, members: DataFrame, keys: list[str], k: int, written: list[DataFrame]) -> DataFrame:
-    """(key, vec_id, score, rank): each visiting vector against all members with its keys; large groups are cut into blocks on both sides."""
+    """(key, vec_id, score, rank): each visiting vector against all members with its keys (and its bucket, if there is one); large groups are cut into blocks on both sides."""
 
     def parts(side: DataFrame, name: str) -> DataFrame:
         many = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS)
@@ -318,10 +345,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     found = stored(_in_blocks(rare.select("dim", "key", "vec", "ids"), everyone, ["dim"], k + 1, written), "ann-found")
     wanted = asking.join(plan, "dim").select("key", "vec", "ids", "hashes", "distance", "dim")
     written.append(found)
+    cell = F.pmod(F.xxhash64("bucket"), F.lit(max(1, -(-members.count() // (TABLES * BLOCK_ROWS // 2)))))
     for chance, most in ((target, MOST_PROBES), (1 - 1e-6, 4 * MOST_PROBES), (1.0, None)):
         if most:
             visits = wanted.select("key", "vec", "ids", "hashes", "distance").mapInArrow(_visiting(chance, most), _BUCKETS)
-            now = _in_blocks(visits, members, ["dim", "table", "bucket"], k + 1, written)
+            # a block takes many buckets of a table, so a visitor brings k + 1 rows from it, not from each of its buckets
+            now = _in_blocks(visits.withColumn("cell", cell), members.withColumn("cell", cell), ["dim", "table", "cell"], k + 1, written)
         else:  # all occupied buckets of a table: few queries come so far
             home = members.where("table = 0")
             now = _in_blocks(wanted.select("dim", "key", "vec", "ids"), home.select("dim", "key", "vec", "ids"), ["dim"], k + 1, written)

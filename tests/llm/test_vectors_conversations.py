@@ -218,3 +218,29 @@ def test_repair_of_an_empty_table(spark):
     gone = [(c, 0, "user", "Hi.") for c in range(400) if zlib.crc32(f"{c}:0".encode()) % 20 == 0]
     got = results(conversations.repair_conversations(conversations.damaged(spark.createDataFrame(gone, "conv_id long, turn long, role string, text string"))))
     assert set(got.values()) == {(0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())} and len(got) == len(gone)
+
+
+def test_visitors_bring_few_rows_from_a_block():
+    """Many buckets meet in one block: a visitor's best rows of all of them leave it, each id once, and no others meet."""
+    import pyarrow as pa
+
+    from panelforge.llm import neighbours
+
+    rng = np.random.default_rng(5)
+    m, q = rng.normal(size=(60, 8)), rng.normal(size=(3, 8))
+    of = rng.integers(0, 10, 60)
+    pack = lambda rows: pa.array([r.tobytes() for r in rows], pa.binary())
+    visits = [(i, b) for i in range(3) for b in range(0, 8)]
+    queries = pa.table({"bucket": pa.array([b for _, b in visits]), "key": pa.array([bytes([i]) for i, _ in visits], pa.binary()), "vec": pack([q[i] for i, _ in visits])})
+    members = pa.table({"bucket": pa.array(of), "key": pack(m), "vec": pack(m), "ids": pa.array([[int(i), 100 + int(i) % 7] for i in range(60)])})
+    got = neighbours._rank(4)(queries, members).to_pylist()
+    sims = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+    want = []
+    for i in range(3):
+        best = {}
+        for j in np.flatnonzero(of < 8):
+            for name in (int(j), 100 + int(j) % 7):
+                best[name] = max(best.get(name, -2.0), sims[i, j])
+        want += [(bytes([i]), name, score) for name, score in sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[:4]]
+    assert [(r["key"], r["vec_id"]) for r in got] == [x[:2] for x in want]
+    assert [r["score"] for r in got] == pytest.approx([x[2] for x in want])
