@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -339,3 +340,47 @@ def test_count_tree_finds_all_pairs_across():
 
 def test_common_groups_of_blank_texts_are_none():
     assert len(jaccard.Pigeonholes().every(jaccard.shingle_set(None, jaccard._Hashes()))) == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_linked_sets_share_one_of_few_signatures(percent):
+    """Sets that just link share a signature, whatever is common; a set has hardly more of them than shingles it may differ in."""
+    rng = np.random.default_rng(3)
+    linked = 0
+    for _ in range(3000):
+        n = int(rng.choice([1, 2, 4, 5, 6, 7, 9, 13, 20, 60, 400]))
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 3).astype(np.uint64))
+        shared, mine, others = n - int(rng.integers(0, n // 8 + 2)), int(rng.integers(0, n // 8 + 2)), int(rng.integers(0, n // 8 + 2))
+        order = rng.permutation(len(pool))[: shared + mine + others]
+        x, y = np.sort(pool[order[: shared + mine]]), np.sort(pool[np.concatenate((order[:shared], order[shared + mine :]))])
+        holes = jaccard.Pigeonholes(percent, rng.permutation(pool.view(np.int64))[: int(rng.integers(0, len(pool)))])
+        a, b = holes.signatures(x), holes.signatures(y)
+        assert len(a) <= len(x) * (100 - percent) / 100 + 2
+        if 0 < shared < shared + mine + others and 100 * shared >= percent * (shared + mine + others):
+            linked += 1
+            assert len(np.intersect1d(a, b))
+    assert percent == 100 or linked > 300
+
+
+def test_blocks_are_cut_between_sizes_that_cannot_link():
+    sizes = jaccard.Sizes(85)
+    name = lambda n, k: sizes.prefix(n) | k
+    rows = [(7, name(100, 1)), (7, name(100, 1)), (7, name(110, 0)), (7, name(128, 5)), (7, name(400, 2)), (8, name(10, 3)), (8, name(12, 4)), (9, name(9, 1)), (9, name(10, 3))]
+    for cut in (1, 2, 3, 5, 9):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + cut]], pa.int64()) for i in (0, 1)], ["sig", "kind"]) for at in range(0, len(rows), cut)]
+        got = [r for out in jaccard._blocks(sizes)(batches) for r in zip(*(out.column(i).to_pylist() for i in range(3)), strict=True)]
+        assert sorted(r[1:] for r in got) == sorted([(name(n, k), name(100, 1)) for n, k in ((100, 1), (110, 0), (128, 5))] + [(name(n, k), name(9, 1)) for n, k in ((9, 1), (10, 3))])
+        assert len({r[0] for r in got}) == 2
+    for n in [*range(1, 200), 1000, 33_333]:
+        assert not sizes.apart(np.int64(sizes.prefix(n)), np.int64(sizes.prefix(n * 100 // 85)))
+        assert (sizes.prefix(n * 100 // 85) - sizes.prefix(n)) >> sizes.NAME_BITS <= sizes.reach
+
+
+def test_counting_common_shingles_leaves_no_shuffle_behind(spark):
+    """These files lay on the disk until the end of the join."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a passage that every one of these texts begins with "), F.col("id").cast("string")).alias("text"))
+    join = jaccard._Join(docs, "doc_id", "text", 4, 85)
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    assert len(join.common())
+    assert not files() - before
